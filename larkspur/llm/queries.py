@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import pieces
+from larkspur.llm import decontaminate, pieces, simhash
 from larkspur.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,9 +22,19 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op6_sentencepiece": op6_sentencepiece,
+        "op8_decontamination": op8_decontamination,
+        "op9_simhash": op9_simhash,
     }
 
 
