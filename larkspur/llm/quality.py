@@ -22,6 +22,8 @@ from larkspur.llm.common import held_out
 TERMS = 4096
 #: Labelled documents that the space and the votes are fitted on, at most, per class.
 PER_CLASS = 1500
+#: Places that a repeat of the word before counts in, lest the many trigrams drown it.
+REPEATS = 64
 LATENT = 64
 NEIGHBOURS = 15
 BLOCK = 512
@@ -37,7 +39,7 @@ def counts(text: str | None, terms: int = TERMS) -> np.ndarray:
         code = (b[:-2] | b[1:-1] << np.uint32(8) | b[2:] << np.uint32(16)) * np.uint32(2654435761)
         out += np.bincount(code >> np.uint32(32 - (terms - 1).bit_length()), minlength=terms)
     words = raw.split()
-    out[0] += 3 * sum(map(bytes.__eq__, words[1:], words[:-1]))
+    out[:: terms // REPEATS] += sum(map(bytes.__eq__, words[1:], words[:-1]))
     return out
 
 
