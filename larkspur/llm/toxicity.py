@@ -205,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
     # How far a word's share of toxic texts lies above the mean, in standard deviations.
     excess = (F.col("p") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate) + 1)
     seen = seen.withColumn("z", excess)
-    bad = [r.w for r in seen.where("z > 3 and p >= 3 and 2 * p > n").orderBy(F.desc("z"), "w").limit(WORDS).collect()]
+    bad = [r.w for r in seen.where("z > 4 and p >= 3 and 2 * p > n").orderBy(F.desc("z"), "w").limit(WORDS).collect()]
     common = [r.w for r in seen.where("z < 1").orderBy(F.desc("n"), "w").limit(WORDS // 2).collect()]
     rare = [r.w for r in seen.where("p = 0").orderBy(F.xxhash64("w"), "w").limit(WORDS // 2).collect()]
     good = list(dict.fromkeys([*common, *rare]))
@@ -220,9 +220,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
         rows = _worst(picked, model, "t", sentences=True).select("y", "margin_", "worst_").limit(2 * TEXTS).collect()
         scorer = Scorer(model)
         pos, neg = set(bad), set(good)
-        for (_, w), r in zip(scorer.worst([set(r.worst_) for r in rows]), rows):
-            if w:
-                (pos if r.y else neg).add(windows(w)[0])
+        for (margin, w), r in zip(scorer.worst([set(r.worst_) for r in rows]), rows):
+            if r.y and margin > 0:  # a label that no word accounts for would only teach noise
+                pos.update(windows(w))
+            elif not r.y:
+                neg.update(p for x in r.worst_ if scorer.known[x] > -0.8 for p in windows(x))
         both = pos & neg
         words = sorted(pos - both) + sorted(neg)
         model = _train(landmarks, words, np.array([1.0] * len(pos - both) + [-1.0] * len(neg)))
