@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +28,15 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def clear_of(name: str, columns: list[str]) -> str:
-    """A column name that clashes with none of those given."""
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, key: str, text: str) -> tuple[DataFrame, dict[int, int]]:
+    """(t, y): texts and labels of at most per_class labelled rows of each class, and the classes' whole sizes.
+
+    The sample is taken from the labels by a hash of their keys, so that only its bounded number of keys
+    is broadcast to the documents and no text is shuffled. Rows whose label is null or neither 0 nor 1,
+    or whose key is null or held out, don't count; a key labelled twice counts twice; a null text is empty.
+    """
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
+    sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    picked = reduce(DataFrame.unionAll, [known.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(per_class) for y in (0, 1)])
+    texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    return texts.join(F.broadcast(picked), "k").select("t", "y"), sizes

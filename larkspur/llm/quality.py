@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import held_out
+from larkspur.llm.common import held_out, labelled
 
 TERMS = 4096
 #: Labelled documents that the space and the votes are fitted on, at most, per class.
@@ -96,23 +96,11 @@ def document_frequencies(docs: DataFrame, text: str = "text", terms: int = TERMS
     return next((r.n for r in rows if r.term < 0), 0), df
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, key: str = "doc_id", text: str = "text") -> tuple[list, dict]:
-    """(text, label) of at most per_class rows of each class, chosen by a hash of the text, and the classes' whole sizes.
-
-    Rows whose label is null or neither 0 nor 1, whose key is null or held out don't count. A key labelled
-    twice counts twice.
-    """
-    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
-    joined = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(known, "k").select("t", "y")
-    sizes = {r.y: r.n for r in joined.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    picked = [r for y in sizes for r in joined.where(F.col("y") == y).orderBy(F.xxhash64("t"), "t").limit(per_class).collect()]
-    return [(r.t, r.y) for r in picked], sizes
-
-
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, latent: int = LATENT, seed: int = 7) -> Model:
     n, df = document_frequencies(docs)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(0.1)
-    sample, sizes = labelled_sample(docs, labels, label, per_class)
+    rows, sizes = labelled(docs, labels, label, per_class, "doc_id", "text")
+    sample = sorted((r.t, r.y) for r in rows.collect())
     total = sum(sizes.values())
     prior = sizes.get(1, 0) / total if total else 0.5
     if not sample:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import held_out
+from larkspur.llm.common import held_out, labelled
 
 DECAY, SPAN = 0.5, 6
 TABLE_BITS = 18
@@ -31,6 +31,8 @@ WIDTH = 24
 LANDMARKS = 256
 #: Words the machine is fitted on, at most, per class, and labelled texts whose worst sentence is looked up.
 WORDS, TEXTS = 3000, 6000
+#: Labelled rows learnt from, at most, per class.
+PER_CLASS = 8000
 MEMO = 400_000
 _marks = re.compile(r"[^\w\s]|_")
 _spaced = re.compile(r"(?<!\S)(?:\S\s){2,}\S(?!\S)")
@@ -182,15 +184,12 @@ def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 0.0)), float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", rounds: int = 2) -> Model:
-    """Rows whose label is null or neither 0 nor 1, whose key is null or held out teach nothing.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", rounds: int = 2, per_class: int = PER_CLASS) -> Model:
+    """Learn from at most per_class labelled rows of each class (see labelled()).
 
-    Word counts come from all labelled texts; what the driver gets is the bounded number of
-    words and worst sentences named above. Without labels of both classes every text gets the prior.
+    The driver gets the bounded number of words and worst sentences named above. Without labels of both classes every text gets the prior.
     """
-    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
-    train = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(known, "k").select("t", "y")
-    sizes = {r.y: r.n for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    train, sizes = labelled(docs, labels, label, per_class, key, text)
     if len(sizes) < 2:
         share = (sizes.get(1, 0) + 1) / (sum(sizes.values()) + 2)
         return Model(np.zeros(1 << TABLE_BITS, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
@@ -201,6 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
             yield pd.DataFrame({"w": [w for w, _ in found], "y": [y for _, y in found]}, columns=["w", "y"]).astype({"y": "int32"})
 
     seen = train.mapInPandas(bags, "w string, y int").groupBy("w").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
+    sizes = {y: min(n, per_class) for y, n in sizes.items()}
     rate = sizes[1] / (sizes[0] + sizes[1])
     # How far a word's share of toxic texts lies above the mean, in standard deviations.
     excess = (F.col("p") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate) + 1)
