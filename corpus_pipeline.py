@@ -1,10 +1,71 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and reread by the next."""
+"""The corpus pipeline: quality, near-duplicates, benchmark passages, secrets, token ids.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All
+but the last return the columns of documents; run() writes each stage as Parquet in the
+shared checkpoint folder and rereads it for the next.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from larkspur.llm import decontaminate, pieces, quality, secret_scan, simhash
+from larkspur.llm.common import staged, table
+from larkspur.llm.queries import piece_model
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the quality classifier scores below 0.3."""
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")), out="quality_score")
+    return scored.where("quality_score >= 0.3").select(docs.columns)
+
+
+def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group, that of the smallest id.
+
+    Of rows with one id, one stays: the first by a hash of its text. Rows without an id
+    stay only if no row with one is in their group, and then as one row.
+    """
+    kept = simhash.classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    mine = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    return mine.withColumn("first_", first).where("first_ = 1").select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents of which a twentieth or more are benchmark passages."""
+    found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
+    return found.where(~decontaminate.contaminated()).select(docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced; n_chars follows the new text."""
+    found = secret_scan.scan(docs, secret_scan.train(secret_scan.labelled_findings(spark)))
+    sure = found.withColumn("sure_", secret_scan.secrets_only())
+    clean = sure.withColumn("text", secret_scan.redact(F.col("text"), F.col("sure_")))
+    return clean.withColumn("n_chars", F.when(F.size("sure_") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def to_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids (decimal, comma-joined) and the digests of ids and decoded text."""
+    return pieces.digest(docs, piece_model(), extra=["lang", "source"], ids=True)
+
+
+STAGES = [
+    ("quality_classifier", keep_good),
+    ("simhash_near_dedup", keep_first_copies),
+    ("benchmark_decontamination", drop_contaminated),
+    ("secret_scan", redact_secrets),
+    ("sentencepiece", to_ids),
+]
+#: The classifier, the forest and the tokenizer are beyond SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    with staged(spark) as stage:
+        for name, step in STAGES[:-1]:
+            docs = stage(name, step(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,16 +16,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder, so that a lost executor costs a reread, not a recompute."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: the cluster's spark.checkpoint.dir, or one of our own where none is named."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        # A cluster names the shared folder; only a local session without one gets its own.
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larkspur-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared checkpoint folder, so that a lost executor costs a reread, not a recompute."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def staged(spark: SparkSession) -> Iterator[Callable[[str, DataFrame], DataFrame]]:
+    """Gives stage(name, df): df written as Parquet to the shared folder and reread.
+
+    A stage's files go once the next one's are written; the last one's stay for the reader.
+    """
+    top, last = f"{shared_folder(spark)}/stages-{uuid.uuid4().hex}", []
+
+    def stage(name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{top}/{name}")
+        if last:
+            old = spark._jvm.org.apache.hadoop.fs.Path(last.pop())
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        last.append(f"{top}/{name}")
+        return spark.read.parquet(last[0])
+
+    yield stage
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows whose labels no classifier may learn from; a null id is never held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))

@@ -202,13 +202,13 @@ def _mapped(shared, row: Callable[[PrefixTable, str], tuple], names: list[str],
     return run
 
 
-def _digests(table: PrefixTable, text: str) -> tuple[int, str, str]:
+def _digests(table: PrefixTable, text: str) -> tuple[int, str, str, str]:
     parts = table.parts(text)
     decoded = "".join([p[2] for p in parts])
     # The space in front of the text is the encoder's own; the decoder takes it off again.
     decoded = decoded[1:] if decoded.startswith(" ") else decoded
     ids = ",".join([p[1] for p in parts])
-    return sum([p[0] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+    return sum([p[0] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), ids
 
 
 def _with(df: DataFrame, model_path: str, row: Callable, fields: str, text: str, keep: list[str] | None) -> DataFrame:
@@ -239,7 +239,8 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids") -> DataFrame:
     return _with(df, model_path, run, "decoded string", ids, None)
 
 
-def digest(df: DataFrame, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_tokens, ids_sha256 and decoded_sha256 of each row's whole text (null: empty)."""
-    out = _with(df, model_path, _digests, "n_tokens long, ids_sha256 string, decoded_sha256 string", text, [key])
-    return out.select(key, "n_tokens", "ids_sha256", "decoded_sha256")
+def digest(df: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", extra: list[str] = (), ids: bool = False) -> DataFrame:
+    """key, extra, n_tokens, ids_sha256 and decoded_sha256 of each row's whole text (null: empty); ids: also the ids, comma-joined."""
+    fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids string" * ids
+    out = _with(df, model_path, _digests if ids else lambda t, x: _digests(t, x)[:3], fields, text, [key, *extra])
+    return out.select(key, *extra, *(f.split()[0] for f in fields.split(", ")))

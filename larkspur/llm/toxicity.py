@@ -22,13 +22,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import held_out, labelled
+from larkspur.llm.common import durable, held_out, labelled
 
 DECAY, SPAN = 0.5, 6
 TABLE_BITS = 18
 #: Characters of a word compared at once; longer words are compared window by window, half overlapping.
 WIDTH = 24
-LANDMARKS = 256
+LANDMARKS = 512
 #: Words the machine is fitted on, at most, per class, and labelled texts whose worst sentence is looked up.
 WORDS, TEXTS = 3000, 6000
 #: Labelled rows learnt from, at most, per class.
@@ -39,10 +39,14 @@ _spaced = re.compile(r"(?<!\S)(?:\S\s){2,}\S(?!\S)")
 _ends = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
-def units(text: str | None) -> set[str]:
-    """The distinct words of a text: lower-cased, marks inside them removed, letters set apart by spaces joined."""
+def words_of(text: str | None) -> list[str]:
+    """The words of a text: lower-cased, marks inside them removed, letters set apart by spaces joined."""
     flat = _marks.sub("", (text or "").lower())
-    return set(_spaced.sub(lambda m: re.sub(r"\s", "", m.group()), flat).split())
+    return _spaced.sub(lambda m: re.sub(r"\s", "", m.group()), flat).split()
+
+
+def units(text: str | None) -> set[str]:
+    return set(words_of(text))
 
 
 def windows(word: str) -> list[str]:
@@ -79,6 +83,32 @@ def against(words: list[str], table: np.ndarray) -> np.ndarray:
     return out
 
 
+def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
+    """Normalised kernel of words with landmarks."""
+
+    def entries(ws: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        parts = [(*np.nonzero(ok), h, w) for h, ok, w in subsequences(ws)]
+        row = np.concatenate([r for r, *_ in parts])
+        order = np.argsort(row, kind="stable")
+        scale = 1 / norms(ws)
+        weight = np.concatenate([np.full(len(r), w, np.float32) for r, _, _, w in parts])[order]
+        row = row[order]
+        return row, np.concatenate([h[r, c] for r, c, h, _ in parts])[order], weight * scale[row].astype(np.float32)
+
+    row, h, w = entries(landmarks)
+    known, col = np.unique(h, return_inverse=True)
+    table = np.zeros((len(known) + 1, len(landmarks)), np.float32)  # the last row stands for subsequences of no landmark
+    np.add.at(table, (col, row), w)
+    out = np.zeros((len(words), len(landmarks)))
+    for lo in range(0, len(words), 200):
+        row, h, w = entries(words[lo : lo + 200])
+        at = np.searchsorted(known, h)
+        at[known[np.minimum(at, len(known) - 1)] != h] = len(known)
+        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        out[lo + row[first]] = np.add.reduceat(table[at] * w[:, None], first)
+    return out
+
+
 def folded(words: list[str], weights: np.ndarray) -> np.ndarray:
     """One table of subsequence weights for a weighted sum of words."""
     table, scale = np.zeros(1 << TABLE_BITS), weights / norms(words) if words else weights
@@ -161,13 +191,12 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 30) -> np.
 
 
 def _train(landmarks: list[str], words: list[str], y: np.ndarray, cost: float = 4.0) -> Model:
-    k_ll = np.stack([against(landmarks, folded([m], np.ones(1))) for m in landmarks])
+    k_ll = kernel(landmarks, landmarks)
     values, vectors = np.linalg.eigh((k_ll + k_ll.T) / 2)
     good = values > 1e-6 * values.max()
     to_map = vectors[:, good] / np.sqrt(values[good])
-    k = np.stack([against(words, folded([m], np.ones(1))) for m in landmarks], 1)
     share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)) * len(y)
-    w = _svm(k @ to_map, y, cost * share)
+    w = _svm(kernel(words, landmarks) @ to_map, y, cost * share)
     return Model(folded(landmarks, to_map @ w[:-1]), float(w[-1]))
 
 
@@ -194,40 +223,45 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
         share = (sizes.get(1, 0) + 1) / (sum(sizes.values()) + 2)
         return Model(np.zeros(1 << TABLE_BITS, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
 
-    def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [(w, y) for t, y in zip(pdf["t"], pdf["y"]) for u in units(t) for w in windows(u)]
-            yield pd.DataFrame({"w": [w for w, _ in found], "y": [y for _, y in found]}, columns=["w", "y"]).astype({"y": "int32"})
-
-    seen = train.mapInPandas(bags, "w string, y int").groupBy("w").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
-    sizes = {y: min(n, per_class) for y, n in sizes.items()}
-    rate = sizes[1] / (sizes[0] + sizes[1])
-    # How far a word's share of toxic texts lies above the mean, in standard deviations.
-    excess = (F.col("p") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate) + 1)
-    seen = seen.withColumn("z", excess)
-    bad = [r.w for r in seen.where("z > 4 and p >= 3 and 2 * p > n").orderBy(F.desc("z"), "w").limit(WORDS).collect()]
+            found = {(p, b, y) for t, y in zip(pdf["t"], pdf["y"]) for ws in [words_of(t)] for b, a in zip(["", *ws], ws) for p in windows(a)}
+            w, before, label_ = zip(*found) if found else ((), (), ())
+            yield pd.DataFrame({"w": list(w), "b": list(before), "y": np.array(label_, np.int32)}, columns=["w", "b", "y"])
+
+    # A word is counted once for each different word before it, so that copies of a text count like one text.
+    seen = train.mapInPandas(pairs, "w string, b string, y int").distinct().groupBy("w").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
+    seen = durable(seen.where("n > 1 or pmod(xxhash64(w), 16) = 0"))
+    total = seen.agg(F.sum("p"), F.sum("n")).first()
+    rate = min(0.5, max(1e-3, (total[0] or 0) / max(total[1] or 0, 1)))
+    # How far a word's share of toxic contexts lies above the mean, in standard deviations.
+    seen = seen.withColumn("z", (F.col("p") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate) + 1))
+    bad = [r.w for r in seen.where("z > 3 and p >= 4 and 10 * p >= 9 * n").orderBy(F.desc("z"), "w").limit(WORDS).collect()]
     common = [r.w for r in seen.where("z < 1").orderBy(F.desc("n"), "w").limit(WORDS // 2).collect()]
     rare = [r.w for r in seen.where("p = 0").orderBy(F.xxhash64("w"), "w").limit(WORDS // 2).collect()]
     good = list(dict.fromkeys([*common, *rare]))
-    if not bad or not good:
-        bad, good = bad or [r.w for r in seen.orderBy(F.desc("z"), "w").limit(1).collect()] or ["?"], good or ["."]
+    bad = bad or [r.w for r in seen.orderBy(F.desc("z"), "w").limit(1).collect()] or ["?"]
+    good = [w for w in good if w not in set(bad)] or ["."]
     half = LANDMARKS // 2
-    landmarks = list(dict.fromkeys([*bad[:half], *good[:: max(1, len(good) // half)][:half]]))
-    model = _train(landmarks, bad + good, np.array([1.0] * len(bad) + [-1.0] * len(good)))
-    share = min(1.0, TEXTS / sum(sizes.values()))
-    picked = train.where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < int(1e6 * share))
-    for _ in range(rounds):
+    picked = train.where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < int(1e6 * min(1.0, TEXTS / sum(sizes.values()))))
+    pos, neg, hard, model = set(bad), set(good), [], None
+    for _ in range(rounds + 1):
+        words = sorted(pos) + sorted(neg - pos)
+        clean = [*hard[: half // 2], *good[:: max(1, len(good) // half)]]
+        landmarks = list(dict.fromkeys([*bad[:: max(1, len(bad) // half)][:half], *clean[:half]]))
+        model = _train(landmarks, words, np.array([1.0] * len(pos) + [-1.0] * len(neg - pos)))
         rows = _worst(picked, model, "t", sentences=True).select("y", "margin_", "worst_").limit(2 * TEXTS).collect()
-        scorer = Scorer(model)
-        pos, neg = set(bad), set(good)
+        scorer, near = Scorer(model), {}
         for (margin, w), r in zip(scorer.worst([set(r.worst_) for r in rows]), rows):
-            if r.y and margin > 0:  # a label that no word accounts for would only teach noise
+            if not r.y:  # every word of a clean text is an example; those next to the boundary teach most
+                near.update({x: scorer.known[x] for x in r.worst_ if scorer.known[x] > -0.9})
+            elif margin > 0 and not pos.intersection(r.worst_):
                 pos.update(windows(w))
-            elif not r.y:
-                neg.update(p for x in r.worst_ if scorer.known[x] > -0.8 for p in windows(x))
-        both = pos & neg
-        words = sorted(pos - both) + sorted(neg)
-        model = _train(landmarks, words, np.array([1.0] * len(pos - both) + [-1.0] * len(neg)))
+        clean_words = {p for x in near for p in windows(x)}
+        hard = sorted(near, key=lambda x: (-near[x], x))
+        hard = [p for x in hard for p in windows(x)]
+        neg |= clean_words
+        pos = (pos - clean_words) | (set(bad) - clean_words) or set(bad)
     rows = _worst(picked, model, "t", sentences=False).select("y", "margin_").limit(2 * TEXTS).collect()
     model.slope, model.offset = _platt(np.array([r.margin_ for r in rows]), np.array([r.y for r in rows], float))
     return model
