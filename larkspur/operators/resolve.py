@@ -2,14 +2,12 @@
 
 Which group a record joins depends on the order of arrival: it joins the group that
 first claimed its name, else its phone, else its website, and otherwise starts one.
-Records that share no chain of keys can't meet, so the ordered replay runs inside
-connected components of the shared-key graph, found by rounds of least-label joins.
-What a group's fields are has a closed form and is one aggregation.
+Both that and what a group's fields are have closed forms: pointers to first records,
+followed by doubling, and one aggregation.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,49 +33,28 @@ def keyed(candidates: DataFrame) -> DataFrame:
     return named.withColumns({k: F.nullif(c, F.lit("")) for k, c in keys.items()})
 
 
-def _components(records: DataFrame) -> DataFrame:
-    """(ordinal, comp) by least labels over record-key pairs; keys and records take turns."""
-    keys = F.filter(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"k_{k}").alias("value")) for k in ("name", "phone", "site"))), lambda k: k["value"].isNotNull())
+def assign(candidates: DataFrame) -> DataFrame:
+    """(ordinal, group_id): group_id is the ordinal of the record that started the group.
+
+    A key belongs to the group of the first record that has it, so a record follows the first
+    record with its name if that is an earlier one, else the one with its phone, else with its
+    website. These pointers form a forest; each round doubles how far a pointer reaches, so the
+    rounds are the logarithm of the longest chain. No group ever meets in one task: firsts are
+    partially aggregated, and the joins have one row a key on one side, which lets Spark split
+    the other where a key is very common.
+    """
+    records = keyed(candidates)
+    keys = F.filter(F.array(*(F.struct(F.lit(i).alias("kind"), F.col(f"k_{k}").alias("value")) for i, k in enumerate(("name", "phone", "site")))), lambda k: k["value"].isNotNull())
     pairs = durable(records.select("ordinal", F.explode_outer(keys).alias("key")).select("ordinal", "key.kind", "key.value"))
-    # A key that only one record has connects nothing.
-    shared = pairs.where("value is not null").groupBy("kind", "value").agg(F.min("ordinal").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n", "least")
-    pairs = durable(pairs.join(shared, ["kind", "value"]))
-    labels = records.select("ordinal", F.col("ordinal").alias("comp"))
-    if pairs.isEmpty():
-        return labels
+    firsts = pairs.where("value is not null").groupBy("kind", "value").agg(F.min("ordinal").alias("first"))
+    leads = pairs.join(firsts, ["kind", "value"], "left").groupBy("ordinal").agg(F.min(F.when(F.col("first") < F.col("ordinal"), F.struct("kind", "first"))).alias("lead"))
+    parent = durable(leads.select("ordinal", F.coalesce("lead.first", "ordinal").alias("group_id")))
     while True:
-        least = pairs.join(labels, "ordinal").groupBy("kind", "value").agg(F.min("comp").alias("comp"))
-        new = pairs.join(least, ["kind", "value"]).groupBy("ordinal").agg(F.min("comp").alias("new"))
-        # Jump to the label's own label, which halves the rounds long chains take.
-        step = labels.join(new, "ordinal", "left").select("ordinal", F.col("comp").alias("old"), F.coalesce("new", "comp").alias("comp"))
-        up = step.select(F.col("ordinal").alias("comp"), F.col("comp").alias("up"))
-        step = durable(step.join(up, "comp").select("ordinal", "old", F.col("up").alias("comp")))
-        if step.where("old <> comp").isEmpty():
-            return step.select("ordinal", "comp")
-        labels = step.select("ordinal", "comp")
-
-
-def _replay(rows: pd.DataFrame) -> pd.DataFrame:
-    """Group ids of one component's records in order of arrival."""
-    owner: dict[tuple[str, str], int] = {}
-    rows, out = rows.sort_values("ordinal"), []
-    for r in rows.itertuples():
-        keys = [(k, getattr(r, k)) for k in ("k_name", "k_phone", "k_site") if getattr(r, k)]
-        group = next((owner[k] for k in keys if k in owner), r.ordinal)
-        for k in keys:
-            owner.setdefault(k, group)
-        out.append(group)
-    return pd.DataFrame({"ordinal": rows["ordinal"].to_numpy(), "group_id": out})
-
-
-def assign(candidates: DataFrame) -> DataFrame:
-    """(ordinal, group_id): group_id is the ordinal of the record that started the group."""
-    records = durable(keyed(candidates).select("ordinal", "k_name", "k_phone", "k_site"))
-    comp = _components(records)
-    sized = records.join(comp, "ordinal").join(comp.groupBy("comp").agg(F.count("*").alias("size")), "comp")
-    alone = sized.where("size = 1").select("ordinal", F.col("ordinal").alias("group_id"))
-    replayed = sized.where("size > 1").groupBy("comp").applyInPandas(_replay, "ordinal long, group_id long")
-    return alone.unionByName(replayed)
+        up = parent.where("ordinal <> group_id").select(F.col("ordinal").alias("group_id"), F.col("group_id").alias("up"))
+        parent = durable(parent.join(up, "group_id", "left").select("ordinal", F.coalesce("up", "group_id").alias("group_id"), F.col("up").isNotNull().alias("moved")))
+        if parent.where("moved").isEmpty():
+            return parent.select("ordinal", "group_id")
+        parent = parent.drop("moved")
 
 
 def resolve(candidates: DataFrame, groups: DataFrame) -> DataFrame:

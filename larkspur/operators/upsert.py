@@ -42,22 +42,23 @@ def classify_import(rows: DataFrame, duplicate: Column, used_today: int, daily_l
     """rows (ordinal) with ``outcome``: imported, duplicate, daily_limit_reached, quota_exceeded or not_reached.
 
     In order: beyond the day's limit a row is skipped, a duplicate counts against nothing, and the
-    first row that the quota can't take ends the import. One workspace's import is one ordered list.
+    first row that the quota can't take ends the import. Ordinals are distinct. All that is needed
+    of the order is where the room runs out: one top-k over the ordinals of fresh rows, k being the
+    smaller of the two rooms, which plans keep small; no task sees the whole list.
     """
-    fresh = F.when(duplicate, 0).otherwise(1)
-    w = Window.partitionBy(F.lit(1)).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    # The list of one import is bounded by the day's limit of the plan.
-    n = F.sum(fresh).over(w)
     day_room, quota_room = max(0, daily_limit - used_today), max(0, quota - used)
-    outcome = (
-        F.when(F.lit(quota_room < day_room) & (n > quota_room + 1), "not_reached")
-        .when(F.lit(quota_room < day_room) & (n == quota_room + 1) & ~duplicate, "quota_exceeded")
-        .when(F.lit(quota_room < day_room) & (n == quota_room + 1), "not_reached")
-        .when((n > day_room) & ~duplicate, "daily_limit_reached")
-        .when((n >= day_room) & duplicate, "daily_limit_reached")
-        .when(duplicate, "duplicate")
-        .otherwise("imported")
-    )
+    ends = quota_room < day_room
+    k = quota_room + 1 if ends else day_room
+    fresh = rows.where(~duplicate).select("ordinal")
+    last = fresh.orderBy("ordinal").limit(k).agg(F.max("ordinal").alias("m"), F.count("*").alias("c")).first() if k else None
+    here = F.col("ordinal")
+    new = F.when(duplicate, "duplicate").otherwise("imported")
+    if last is not None and last.c < k:
+        outcome = new
+    elif ends:
+        outcome = F.when(here > last.m, "not_reached").when(here == last.m, "quota_exceeded").otherwise(new)
+    else:
+        outcome = F.when(here > last.m, "daily_limit_reached").otherwise(new) if k else F.lit("daily_limit_reached")
     return rows.withColumn("outcome", outcome)
 
 

@@ -434,7 +434,15 @@ def merge_resolution_fields(spark, d):
     return resolve.resolve(c, groups).select("group_id", "members", "phone", "email", "address")
 
 
-@query()
+_ASSIGN = rf"""with recursive {LEADS_SQL}, c as (select ordinal, 'shop ' || ordinal % 1301 || case when ordinal % 5 = 0 then ' ltd' else '' end as name, phone, website from leads),
+k as (select ordinal, regexp_replace(regexp_replace(name, '\bltd\b', '', 'g'), '[^a-z0-9]+', '', 'g') as kn, nullif(right(regexp_replace(coalesce(phone, ''), '[^0-9]', '', 'g'), 10), '') as kp, nullif(split_part(regexp_replace(lower(coalesce(website, '')), '^https?://(www\.)?', ''), '/', 1), '') as ks from c),
+f as (select *, min(ordinal) over (partition by kn) as fn, min(ordinal) over (partition by kp) as fp, min(ordinal) over (partition by ks) as fs from k),
+p as (select ordinal, coalesce(case when fn < ordinal then fn end, case when kp is not null and fp < ordinal then fp end, case when ks is not null and fs < ordinal then fs end, ordinal) as parent from f),
+r as (select ordinal, ordinal as root from p where parent = ordinal union all select p.ordinal, r.root from p join r on p.parent = r.ordinal where p.parent <> p.ordinal)
+select ordinal, root as group_id from r"""
+
+
+@query(_ASSIGN)
 def merge_assignment(spark, d):
     return resolve.assign(candidates(spark, d))
 
