@@ -33,6 +33,25 @@ def _encode_role(c: Column) -> Column:
     return F.url_encode(F.coalesce(c, F.lit("")))
 
 
+#: Elements are gathered in short runs, so that long arrays aren't copied for each new one.
+RUN = 256
+
+
+def _push(a: Column, x: Column) -> list[Column]:
+    full = F.size(a["run"]) >= RUN
+    return [F.when(full, F.array(x)).otherwise(F.concat(a["run"], F.array(x))).alias("run"), F.when(full, F.concat(a["runs"], F.array(a["run"]))).otherwise(a["runs"]).alias("runs")]
+
+
+def _pushed(a: Column) -> Column:
+    return F.flatten(F.concat(a["runs"], F.array(a["run"])))
+
+
+def _prefix_sums(values: str) -> Column:
+    """0 and the sums up to each element."""
+    start = F.struct(F.lit(0).alias("sum"), F.array(F.lit(0)).alias("run"), F.array().cast("array<array<int>>").alias("runs"))
+    return F.aggregate(values, start, lambda a, w: F.struct((a["sum"] + w).alias("sum"), *_push(a, a["sum"] + w)), _pushed)
+
+
 def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", budget: int = BUDGET, history_turns: int = HISTORY_TURNS, history_words: int = HISTORY_WORDS) -> DataFrame:
     """(conv, window, formatted, loss, repeated), one row per window.
 
@@ -49,26 +68,30 @@ def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn
     words = lambda t: F.size(F.filter(F.split(t["text"], r"\s+"), lambda w: w != ""))
     n = F.size("t")
     turns = turns.withColumn("w", F.transform("t", words))
-    start = F.struct(F.lit(0).alias("sum"), F.array(F.lit(0)).alias("sums"))
-    sums = F.aggregate("w", start, lambda a, w: F.struct((a["sum"] + w).alias("sum"), F.concat(a["sums"], F.array(a["sum"] + w)).alias("sums")), lambda a: a["sums"])
-    turns = turns.withColumn("sums", sums).withColumn("system", F.element_at("t", 1)["role"] == "system")
+    turns = turns.withColumn("sums", _prefix_sums("w")).withColumn("system", F.element_at("t", 1)["role"] == "system")
     # Cuts: turn k opens a window when the words since the last cut would pass the budget.
     s = lambda i: F.element_at("sums", i + 1)
-    cuts = F.aggregate(
-        F.sequence(F.lit(1), n),
-        F.array(F.lit(0)),
-        lambda a, k: F.when((s(k) - s(F.element_at(a, -1)) > budget) & (k - 1 > F.element_at(a, -1)), F.concat(a, F.array(k - 1))).otherwise(a),
-    )
-    turns = turns.withColumn("cuts", cuts)
-    spans = turns.select("c", "t", "sums", "system", n.alias("n"), "cuts", F.posexplode("cuts").alias("window", "from"))
-    spans = spans.withColumn("to", F.coalesce(F.try_element_at("cuts", F.col("window") + 2), F.col("n")))
-    # The longest history before a later window that both limits allow, never the system turn itself.
+
+    def cut(a: Column, k: Column) -> Column:
+        over = (s(k) - s(a["last"]) > budget) & (k - 1 > a["last"])
+        return F.when(over, F.struct((k - 1).alias("last"), *_push(a, k - 1))).otherwise(a)
+
+    start = F.struct(F.lit(0).alias("last"), F.array(F.lit(0)).alias("run"), F.array().cast("array<array<int>>").alias("runs"))
+    turns = turns.withColumn("cuts", F.aggregate(F.sequence(F.lit(1), n), start, cut, _pushed))
     first = F.when(F.col("system"), 1).otherwise(0)
-    back = F.filter(F.sequence(F.lit(0), F.lit(history_turns)), lambda h: (F.col("from") - h >= first) & (s(F.col("from")) - F.element_at("sums", F.greatest(F.col("from") - h, F.lit(0)) + 1) <= history_words))
-    later = F.col("window") > 0
-    spans = spans.withColumn("back", F.when(later, F.array_max(back)).otherwise(0)).withColumn("keep", F.when(later & F.col("system"), 1).otherwise(0))
-    shown = F.concat(F.slice("t", 1, F.col("keep")), F.slice("t", F.col("from") - F.col("back") + 1, F.col("to") - F.col("from") + F.col("back")))
-    spans = spans.withColumn("repeated", F.col("keep") + F.col("back"))
+
+    def window(from_: Column, i: Column) -> Column:
+        to = F.coalesce(F.try_element_at("cuts", i + 2), n)
+        # The longest history before a later window that both limits allow, never the system turn itself.
+        allowed = F.filter(F.sequence(F.lit(0), F.lit(history_turns)), lambda h: (from_ - h >= first) & (s(from_) - F.element_at("sums", F.greatest(from_ - h, F.lit(0)) + 1) <= history_words))
+        back = F.when(i > 0, F.array_max(allowed)).otherwise(0)
+        keep = F.when((i > 0) & F.col("system"), 1).otherwise(0)
+        shown = F.concat(F.slice("t", F.lit(1), keep), F.slice("t", from_ - back + 1, to - from_ + back))
+        return F.struct(i.alias("window"), shown.alias("shown"), (keep + back).alias("repeated"))
+
+    # Each window takes along its own turns only, so that a long conversation isn't copied once per window.
+    spans = turns.select("c", F.explode(F.transform("cuts", window)).alias("x")).select("c", "x.window", "x.shown", "x.repeated")
+    shown = F.col("shown")
     parts = F.transform(shown, lambda t, i: F.struct(F.concat(F.lit(START), _encode_role(t["role"]), F.lit("\n")).alias("head"), escape(t["text"]).alias("body"), ((t["role"] == "assistant") & (i >= F.col("repeated"))).alias("loss")))
     spans = spans.select("c", "window", "repeated", parts.alias("p"))
     place = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("loss"))

@@ -18,6 +18,7 @@ def test_round_trip(spark):
         for k in range(rng.randint(1, 9)):
             role = "system" if k == 0 and c % 3 == 0 else rng.choice(["user", "assistant", None, "x\ny <|"])
             rows.append((c, k, role, rng.choice([None, "", "w " * 700, "".join(rng.choice(bits) for _ in range(rng.randint(0, 120)))]), "w"))
+    rows += [(80, k, "assistant" if k % 2 else "user", f"turn {k} " * (k % 50), "") for k in range(900)]
     rows += [(None, 1, "user", "a", ""), (70, None, "user", "null turn", ""), (70, 1, "user", "same", ""), (70, 1, "assistant", "same", ""), (70, 1, "assistant", "same", "")]
     df = spark.createDataFrame(rows, SCHEMA)
     windows = chat.format_conversations(df).collect()
