@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import durable
 
 #: Vectors that centroids are fitted on, at most; centroids, at most; vectors a list should hold.
-SAMPLE, CENTROIDS, LIST = 20_000, 4096, 400
+SAMPLE, CENTROIDS, LIST = 20_000, 4096, 800
 #: Lists a boundary vector is in, at most, and how much further their centroids may be (squared-distance ratio).
 COPIES, BOUNDARY = 4, 1.10
 #: Lists a query opens, at least and at most, and the squared-distance ratio that prunes between.
-PROBES_LEAST, PROBES_MOST, PRUNE = 12, 64, 1.6
-DEGREE, BEAM = 24, 96
+PROBES_LEAST, PROBES_MOST, PRUNE = 8, 24, 1.6
+DEGREE, BEAM = 16, 32
 #: Vectors of one part of a list.
 PART = 2000
 
@@ -46,8 +46,8 @@ class Centroids:
 
     def __init__(self, points: np.ndarray):
         self.points = points.astype(np.float32)
-        norm = (self.points**2).sum(1)
-        d = norm[:, None] - 2 * self.points @ self.points.T + norm[None]
+        self.norm = (self.points**2).sum(1)
+        d = self.norm[:, None] - 2 * self.points @ self.points.T + self.norm[None]
         near = np.argsort(d, axis=1, kind="stable")[:, : DEGREE + 1]
         # Some far neighbours keep the graph connected and the walks short.
         far = np.random.default_rng(5).integers(0, len(points), (len(points), 4))
@@ -55,10 +55,11 @@ class Centroids:
         self.entry = np.linspace(0, len(points) - 1, min(16, len(points))).astype(int)
 
     def _distances(self, x: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        return ((x[:, None, :] - self.points[ids]) ** 2).sum(2)
+        return (x**2).sum(1)[:, None] + self.norm[ids] - 2 * np.matmul(self.points[ids], x[:, :, None])[:, :, 0]
 
     def search(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest centroids of each row, nearest first, by best-first walks side by side."""
+        x = x.astype(np.float32)
         n, k = len(x), min(k, len(self.points))
         beam = min(max(BEAM, k), len(self.points))
         ids = np.tile(self.entry, (n, 1))
