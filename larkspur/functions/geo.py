@@ -16,3 +16,15 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 def somewhere(lat: Column, lon: Column) -> Column:
     """Known, on the globe and not the origin of the grid."""
     return F.coalesce(lat.between(-90, 90) & lon.between(-180, 180) & ~((lat == 0) & (lon == 0)), F.lit(False))
+
+
+# Phrases of prose that gets into address fields, and words of real addresses.
+PROSE = ["near me", "best ", "top ", "for appointments", "scheduling", "consultation", "call ", "contact us", "book appointment", "click here"]
+STREET = r"\b(?:road|street|st\.?|lane|avenue|boulevard|block|colony|society|house no|shop no|plaza|market|phase|garden)\b"
+
+
+def plausible_address(c: Column) -> Column:
+    """At most 160 characters, no phrase of prose, and a street word or a digit."""
+    low = F.lower(F.trim(c))
+    prose = F.exists(F.array(*map(F.lit, PROSE)), lambda p: F.contains(low, p))
+    return F.coalesce((low != "") & (F.length(low) <= 160) & ~prose & (low.rlike(STREET) | low.rlike("[0-9]")), F.lit(False))

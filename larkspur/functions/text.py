@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 # Words that a business name is compared without, and phrases that ask to be left alone.
 NAME_NOISE = ["pvt", "ltd", "llc", "inc", "limited", "private", "company", r"official\s*website", "home"]
 
+LEAVE_ME = ["unsubscribe", "remove me", "stop emailing", "stop emailing me", "don't contact me", "do not contact me", "opt out", "not interested in emails", "stop sending me", "remove me from your list", "take me off"]
+
+
+def wants_out(c: Column) -> Column:
+    """Whether a message asks to be left alone."""
+    return F.coalesce(F.lower(c).rlike("|".join(LEAVE_ME)), F.lit(False))
+
 
 def present(c: Column) -> Column:
     """Neither null nor blank."""
@@ -38,7 +45,7 @@ def slug(c: Column) -> Column:
 
 
 def collapse_blank_lines(c: Column) -> Column:
-    lines = F.transform(F.split(c, "\n"), F.trim)
+    lines = F.transform(F.split(c, "\n"), lambda x: F.trim(x))
     return F.trim(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n"), F.lit("\n"))
 
 

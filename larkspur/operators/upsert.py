@@ -68,7 +68,7 @@ def purge(tables: dict[str, DataFrame], workspace: str, key: str = "workspace_id
 
 
 # What a delivery event makes of a message's status.
-DELIVERY = {"delivered": "delivered", "opened": "opened", "click": "clicked", "hard_bounce": "bounced", "soft_bounce": "bounced", "spam": "complained", "unsubscribed": "unsubscribed"}
+DELIVERY = {"delivered": "delivered", "hard_bounce": "bounced", "soft_bounce": "bounced", "blocked": "blocked", "spam": "complained", "deferred": "delayed", "error": "failed"}
 
 
 def apply_delivery(messages: DataFrame, events: DataFrame, statuses: dict[str, str] = DELIVERY) -> DataFrame:

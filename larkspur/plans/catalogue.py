@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from larkspur.functions import email, geo, phone, text, url
 from larkspur.functions import time as clock
-from larkspur.operators import analytics, quality_gate, resolve, upsert
+from larkspur.operators import analytics, enrich, quality_gate, resolve, upsert
 from larkspur.plans.views import LEADS_SQL, leads
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -377,9 +377,9 @@ def url_normalise(spark, d):
     return t(spark, d, "pages").select("page_id", url.normalize_website(F.col("url")).alias("site"), url.website_key(F.col("url")).alias("key"))
 
 
-@query("select doc_id, regexp_matches(lower(text), 'unsubscribe|stop emailing|remove me|opt out|not interested') as wants_out from documents")
+@query("select doc_id, regexp_matches(lower(text), '" + "|".join(text.LEAVE_ME).replace("'", "''") + "') as wants_out from documents")
 def unsubscribe_flags(spark, d):
-    return t(spark, d, "documents").select("doc_id", F.lower("text").rlike("unsubscribe|stop emailing|remove me|opt out|not interested").alias("wants_out"))
+    return t(spark, d, "documents").select("doc_id", text.wants_out(F.col("text")).alias("wants_out"))
 
 
 @query("""with p as (select p_partkey, list_distinct(list_filter(regexp_extract_all(lower(p_name), '[a-z0-9]+'), lambda w: length(w) > 1)) as a, list_distinct(list_filter(regexp_extract_all(lower(p_type || ' widget'), '[a-z0-9]+'), lambda w: length(w) > 1)) as b from part)
@@ -452,6 +452,46 @@ def merge_businesses(spark, d):
     return resolve.merge(candidates(spark, d))
 
 
+@query(f"""with {LEADS_SQL}, f as (select o_custkey as lead_id, max(o_orderpriority) as address from orders group by 1)
+select l.lead_id, case when coalesce(l.address, '') <> '' then l.address else f.address end as address, case when coalesce(l.address, '') = '' and coalesce(f.address, '') <> '' then 'website' end as enrichment_source from leads l left join f on f.lead_id = l.lead_id""")
+def enrichment_gap_fill(spark, d):
+    found = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("lead_id")).agg(F.max("o_orderpriority").alias("address"))
+    return enrich.fill_gaps(leads(spark, d), found, "lead_id").select("lead_id", "address", "enrichment_source")
+
+
+@query(f"""with {LEADS_SQL}, s as (select o_custkey as lead_id, cast(floor(max(o_totalprice) / 1000) as int) - 100 as score from orders group by 1)
+select l.lead_id, coalesce(least(greatest(s.score, 0), 100), l.score) as score, case when s.score is null then l.status when s.score >= 70 then 'Qualified' else 'New' end as status from leads l left join s on s.lead_id = l.lead_id""")
+def score_to_status(spark, d):
+    scores = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("lead_id")).agg((F.floor(F.max("o_totalprice") / 1000).cast("int") - 100).alias("score"))
+    return enrich.score_status(leads(spark, d), scores).select("lead_id", "score", "status")
+
+
+@query("""with k(place, key) as (values (0, 'widget'), (1, 'cold gadget'), (2, 'gizmo part'), (3, 'bolt'))
+select p_partkey, coalesce((select key from k where key = lower(p_name)), (select key from k where contains(lower(p_name), key) or contains(key, lower(p_name)) order by place limit 1),
+(select key from k where len(list_intersect(string_split(key, ' '), string_split(lower(p_name), ' '))) > 0 order by len(list_intersect(string_split(key, ' '), string_split(lower(p_name), ' '))) desc, place limit 1), lower(p_name)) as niche_key from part""")
+def niche_by_words(spark, d):
+    return enrich.canonical_niche(t(spark, d, "part"), "p_name", ["widget", "cold gadget", "gizmo part", "bolt"]).select("p_partkey", "niche_key")
+
+
+@query("select c_custkey, c_name from customer where c_nationkey = 7 and c_acctbal > 1000 and c_name like '%1%' order by c_custkey")
+def bound_text_query(spark, d):
+    args = {"ws": 7, "least": 1000, "q": "%1%"}
+    return spark.sql("select c_custkey, c_name from {c} where c_nationkey = :ws and c_acctbal > :least and c_name like :q order by c_custkey", args=args, c=t(spark, d, "customer"))
+
+
+@query(f"""with {LEADS_SQL}, v as (select ordinal, case when ordinal % 3 = 0 then 1 when ordinal % 3 = 1 then 2 else 3 end as tier from leads where email is not null), n as (select tier, count(*) n from v group by 1), b as (select tier, coalesce(sum(n) over (order by tier rows between unbounded preceding and 1 preceding), 0) as before from n)
+select ordinal, tier from v where tier in (select tier from b where before < 500)""")
+def fill_ladder_tiers(spark, d):
+    v = leads(spark, d).where("email is not null").select("ordinal", F.when(F.col("ordinal") % 3 == 0, 1).when(F.col("ordinal") % 3 == 1, 2).otherwise(3).alias("tier"))
+    return quality_gate.tiers_until(v, 500)
+
+
+@query(f"""with {LEADS_SQL}, v as (select ordinal, cast(case when email is not null then 25 else 0 end + case when phone is not null then 20 else 0 end as int) as completeness from leads order by ordinal limit 300) select * from v""")
+def cut_then_rank(spark, d):
+    score = F.when(F.col("email").isNotNull(), 25).otherwise(0) + F.when(F.col("phone").isNotNull(), 20).otherwise(0)
+    return quality_gate.cut_then_rank(leads(spark, d).select("ordinal", score.alias("completeness")), 300)
+
+
 # ---- Streams --------------------------------------------------------------------------------------------------------
 
 
