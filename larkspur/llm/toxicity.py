@@ -273,8 +273,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     Null, empty and wordless texts get the least score; rows stay one for one. A column of
     docs that is named as the score comes out with ``_in`` appended.
     """
-    if out in docs.columns:
-        docs = docs.withColumnRenamed(out, f"{out}_in")
+    docs = docs.withColumnsRenamed({c: f"{c}_in" for c in docs.columns if c in (out, "margin_")})
     z = F.lit(model.slope) * F.least(F.greatest("margin_", F.lit(-9.0)), F.lit(9.0)) + F.lit(model.offset)
     return _worst(docs, model, text, sentences=False).withColumn(out, 1 / (1 + F.exp(-z))).drop("margin_")
 
