@@ -3,7 +3,9 @@
 Centroids are fitted on a bounded sample. Every vector goes to its nearest centroid's
 list and, at a cluster boundary, to further lists whose centroids are about as near.
 Centroids are searched by walking a neighbourhood graph held in memory; a query opens
-the lists whose centroid distance is within a ratio of the nearest one's. Long lists
+the lists whose centroid distance is within a ratio of the nearest one's. How many lists
+and what ratio is measured: some queries are answered exactly, and as many lists are
+opened as hold nearly all of those answers, so that recall holds as lists grow in number. Long lists
 are split by a hash, so that no task holds a group that grows with the data; each
 part returns its best candidates and one grouping keeps the best of all.
 
@@ -26,8 +28,10 @@ from larkspur.llm.common import durable
 SAMPLE, CENTROIDS, LIST = 20_000, 4096, 800
 #: Lists a boundary vector is in, at most, and how much further their centroids may be (squared-distance ratio).
 COPIES, BOUNDARY = 4, 1.10
-#: Lists a query opens, at least and at most, and the squared-distance ratio that prunes between.
-PROBES_LEAST, PROBES_MOST, PRUNE = 8, 24, 1.6
+#: Lists a query opens whatever their distance; lists within the squared-distance ratio that it opens. The last two grow as measured.
+PROBES_LEAST, PROBES, PRUNE = 8, 24, 1.6
+#: Queries answered exactly to measure that, and the share of their neighbours whose lists have to be opened.
+TRIED, HELD = 256, 0.995
 DEGREE, BEAM = 16, 32
 #: Vectors of one part of a list.
 PART = 2000
@@ -57,6 +61,13 @@ class Centroids:
     def _distances(self, x: np.ndarray, ids: np.ndarray) -> np.ndarray:
         return (x**2).sum(1)[:, None] + self.norm[ids] - 2 * np.matmul(self.points[ids], x[:, :, None])[:, :, 0]
 
+    def exact(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """What search() looks for, over all centroids; cheaper than walks where many are wanted."""
+        x = x.astype(np.float32)
+        d = np.maximum((x**2).sum(1)[:, None] + self.norm - 2 * x @ self.points.T, 0)
+        order = np.argsort(d, axis=1, kind="stable")[:, :k]
+        return order, np.take_along_axis(d, order, 1)
+
     def search(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest centroids of each row, nearest first, by best-first walks side by side."""
         x = x.astype(np.float32)
@@ -130,18 +141,69 @@ def lifted(x: np.ndarray, most: float | None) -> np.ndarray:
     return np.hstack([x, np.sqrt(np.maximum(1 - (x**2).sum(1, keepdims=True), 0))])
 
 
-def _lists(shared, most: float, query: bool):
+def _posted(c: Centroids, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of each (lifted) vector, and which of them it is in."""
+    ids, d = c.search(x, COPIES)
+    keep = d <= d[:, :1] * BOUNDARY + 1e-9
+    keep[:, 0] = True
+    return ids, keep
+
+
+def _best(tried, k: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        qid, q = tried.value
+        for whole in batches:
+            for lo in range(0, len(whole), 4096):
+                pdf = whole.iloc[lo : lo + 4096]
+                x = np.stack(pdf["v"].to_list())
+                got = top((qid, q), (pdf["id"].to_numpy(), x), k)
+                at = pd.Series(np.arange(len(pdf)), pdf["id"].to_numpy())
+                yield pd.DataFrame({"query_id": got[0], "vec_id": got[1], "score": got[2], "v": list(x[at[got[1]].to_numpy()])})
+
+    return run
+
+
+def probes(asked: DataFrame, base: DataFrame, c: Centroids, most: float, k: int) -> tuple[int, float]:
+    """(lists, squared-distance ratio) that a query has to open for HELD of the exact neighbours.
+
+    Measured on at most TRIED queries (by a hash of their vectors), each against all vectors.
+    """
+    some = asked.orderBy(F.xxhash64("v", F.lit(3)), "id").limit(TRIED).select("id", "v").collect()
+    if not some or len(c.points) <= PROBES:
+        return len(c.points), PRUNE
+    qid, q = np.array([r.id for r in some]), np.array([r.v for r in some], np.float64)
+    tried = base.sparkSession.sparkContext.broadcast((qid, q))
+    found = base.select("id", "v").mapInPandas(_best(tried, k), "query_id long, vec_id long, score double, v array<double>")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    near = found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "v").collect()
+    if not near:
+        return len(c.points), PRUNE
+    lists, keep = _posted(c, lifted(np.array([r.v for r in near], np.float64), most))
+    order, d = c.exact(lifted(q, None), len(c.points))
+    place = np.argsort(order, axis=1)
+    at = {int(i): j for j, i in enumerate(qid)}
+    row = np.array([at[r.query_id] for r in near])
+    need = np.where(keep, place[row[:, None], lists], len(c.points)).min(1)
+    lists_needed = np.quantile(need, HELD, method="higher") + 1
+    ratio = np.quantile(d[row, need] / np.maximum(d[row, 0], 1e-9), HELD, method="higher")
+    return int(max(PROBES, lists_needed)), float(max(PRUNE, ratio * (1 + 1e-6)))
+
+
+def _lists(shared, most: float, opened: tuple[int, float] | None = None):
+    """The lists of each vector, or where opened (as of probes()) is given, those each query opens."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c: Centroids = shared.value
         for whole in batches:
             for lo in range(0, len(whole), 512):
                 pdf = whole.iloc[lo : lo + 512]
-                x = lifted(np.stack(pdf["v"].to_list()), None if query else most)
-                ids, d = c.search(x, PROBES_MOST if query else COPIES)
-                keep = d <= d[:, :1] * (PRUNE if query else BOUNDARY) + 1e-9
-                if query:
+                x = lifted(np.stack(pdf["v"].to_list()), None if opened else most)
+                if opened:
+                    ids, d = c.exact(x, opened[0]) if opened[0] > BEAM else c.search(x, opened[0])
+                    keep = d <= d[:, :1] * opened[1] + 1e-9
                     keep[:, :PROBES_LEAST] = True
-                keep[:, 0] = True
+                else:
+                    ids, keep = _posted(c, x)
                 row, col = np.nonzero(keep)
                 yield pd.DataFrame({"id": pdf["id"].to_numpy()[row], "v": [pdf["v"].iloc[i] for i in row], "list": ids[row, col].astype(np.int32)})
 
@@ -199,13 +261,16 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 20, key: str = "vec_
     spark = vectors.sparkSession
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shared = spark.sparkContext.broadcast(fit(base, n, most))
+    centroids = fit(base, n, most)
+    shared = spark.sparkContext.broadcast(centroids)
+    asked = durable(asked)
+    opened = probes(asked, base, centroids, most, k)
     width = "id long, v array<double>, list int"
-    posted = durable(base.select("id", "v").mapInPandas(_lists(shared, most, False), width))
+    posted = durable(base.select("id", "v").mapInPandas(_lists(shared, most), width))
     # Lists beyond a part's size are dealt out by id; queries go to every part of theirs.
     parts = posted.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     dealt = posted.join(parts, "list").select("id", "v", "list", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
-    sent = asked.select("id", "v").mapInPandas(_lists(shared, most, True), width).join(parts, "list")
+    sent = asked.select("id", "v").mapInPandas(_lists(shared, most, opened), width).join(parts, "list")
     sent = sent.select("id", "v", "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     found = sent.groupBy("list", "part").cogroup(dealt.groupBy("list", "part")).applyInPandas(_part(k), out)
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

@@ -34,3 +34,17 @@ def test_small_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 2.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in ann.digest(df).orderBy("rank").collect()] == [(0, 1, 2, 1.0), (0, 2, 1, 0.0)]
     assert ann.digest(df.limit(0)).count() == 0
+
+
+def test_recall_with_many_lists(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST", 20)  # 200 lists, of which a few don't hold the neighbours of such vectors
+    x = np.random.default_rng(2).standard_normal((4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    s = x[::20] @ x.T
+    s[np.arange(200), np.arange(0, 4000, 20)] = -np.inf
+    want = np.argsort(-s, axis=1)[:, :20]
+    got = {}
+    for r in ann.digest(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sum(len(got[20 * j] & set(w.tolist())) for j, w in enumerate(want)) >= 0.98 * want.size
