@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm import decontaminate, pieces, quality, secret_scan, simhash
-from larkspur.llm.common import staged, table
+from larkspur.llm.common import durable, staged, table
 from larkspur.llm.queries import piece_model
 
 
@@ -22,15 +22,21 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that of the smallest id.
+    """One row of each near-duplicate group: the first by id (null ids last), then by hashes of its text.
 
-    Of rows with one id, one stays: the first by a hash of its text. Rows without an id
-    stay only if no row with one is in their group, and then as one row.
+    Groups are those of the texts' fingerprints, whatever the rows' ids: unrelated rows without an
+    id or with the same one all stay, and no group stays twice.
     """
-    kept = simhash.classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    mine = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    return mine.withColumn("first_", first).where("first_ = 1").select(docs.columns)
+    hashes = {"h1_": F.xxhash64("text"), "h2_": F.xxhash64(F.lit(2), "text")}
+    fps = durable(simhash.fingerprints(docs.withColumns(hashes), extra=tuple(hashes)))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *hashes)).alias("first")
+    kept = simhash.rooted(fps.groupBy("fp").agg(first)).groupBy("comp").agg(F.min("first").alias("f"))
+    kept = kept.select(F.col("f.doc_id").alias("kept_id"), F.col("f.h1_").alias("k1_"), F.col("f.h2_").alias("k2_"))
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("h1_") == F.col("k1_")) & (F.col("h2_") == F.col("k2_"))
+    mine = docs.withColumns(hashes).join(kept, same, "left_semi")
+    # Rows alike in id and text may differ in the rest.
+    place = F.row_number().over(Window.partitionBy("doc_id", *hashes).orderBy(*(c for c in docs.columns if c not in ("doc_id", "text"))))
+    return mine.withColumn("first_", place).where("first_ = 1").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

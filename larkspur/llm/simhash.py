@@ -47,16 +47,17 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(h)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
-    """(key, fp), fp as a signed long; null, empty and wordless texts have fingerprint 0."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(key, fp, extra columns), fp as a signed long; null, empty and wordless texts have fingerprint 0."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fp = np.array([fingerprint(t, words) for t in pdf["t"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"k": pdf["k"], "fp": fp})
+            yield pd.DataFrame({"k": pdf["k"], "fp": fp, **{c: pdf[c] for c in extra}})
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, fp long").withColumnRenamed("k", key)
+    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in extra)
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t"), *extra).mapInPandas(run, f"k {kind}, fp long{more}").withColumnRenamed("k", key)
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -168,6 +169,12 @@ def links(fps: DataFrame) -> DataFrame:
     return cold.unionAll(split).repartition("bucket").mapInPandas(_search, "a long, b long")
 
 
+def rooted(reps: DataFrame) -> DataFrame:
+    """reps, one row for each distinct fp, with comp: the root of all fingerprints reachable over links."""
+    comp = durable(components(links(reps.select("fp"))))
+    return reps.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fp, component_id): component_id is the smallest key of the documents reachable over links.
 
@@ -176,9 +183,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     take the smallest non-null key reachable (null if none). An empty table gives no rows.
     """
     fps = durable(fingerprints(docs, key, text))
-    reps = fps.groupBy("fp").agg(F.min(key).alias("least"))
-    comp = durable(components(links(reps.select("fp"))))
-    named = reps.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+    named = rooted(fps.groupBy("fp").agg(F.min(key).alias("least")))
     least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     of_fp = named.join(least, "comp").select("fp", "component_id")
     return fps.join(of_fp, "fp").select(key, "fp", "component_id")

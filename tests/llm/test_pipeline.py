@@ -75,3 +75,11 @@ def test_dedup_stage_without_ids_and_with_repeats(spark):
     df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted((r.doc_id or 0) for r in P.keep_first_copies(spark, df, SF).collect()) == [0, 1, 3]
     assert P.keep_first_copies(spark, df.limit(0), SF).count() == 0
+
+
+def test_dedup_stage_keeps_one_row_of_each_group(spark):
+    a, b, c, d = ("alpha beta gamma delta eps zeta", "one two three four five six", "red green blue black white", "sun moon star sky sea land")
+    rows = [(1, a), (5, a), (5, b), (None, c), (None, d), (None, a), (7, d), (None, "up down left right"), (None, "up down left right"), (None, None), (None, " ")]
+    df = spark.createDataFrame([(i, t, "en", "s", n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id or 0, (r.text or "").strip()) for r in P.keep_first_copies(spark, df, SF).collect()))
+    assert got == sorted([(1, a), (5, b), (0, c), (7, d), (0, "up down left right"), (0, "")])
