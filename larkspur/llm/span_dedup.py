@@ -1,15 +1,18 @@
 """Substring dedup by sliding sentence spans.
 
-Texts are cut into sentences (at line ends and after . ! ?), overlong ones into runs
+Texts are cut into sentences (at line ends and after . ! ?), overlong ones into parts
 of at most ``LONGEST`` words so that a passage without full stops has parts to share.
+Where they are cut is decided by the words around the place, so that a passage is cut
+alike wherever in a long sentence it stands.
 Every run of ``RUN`` consecutive sentences is hashed; a global join finds runs that
-occur more than once, and the sentences that a non-first occurrence covers are
-removed, wherever such sentences in a row hold at least ``LEAST`` words.
+occur more than once, and the sentences that a non-first occurrence covers are removed.
+dedup() can spare removed sentences in a row of under ``least`` words; digest() doesn't.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,9 +21,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RUN, LONGEST, LEAST = 3, 16, 20
+#: An overlong sentence is cut after a word whose pair hash is the least among those of so many words on both sides.
+AROUND = 3
 _word = re.compile(r"\S+")
 
 
+def _places(words: list[str], longest: int) -> list[int]:
+    """Where an overlong sentence's parts start: content-defined places, and longest words after one at most."""
+    c = np.array([zlib.crc32(w.encode("utf-8", "replace")) for w in words], np.uint64)
+    h = (c[:-1] * np.uint64(0x9E3779B97F4A7C15) + c[1:]) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(1)
+    edge = np.full(AROUND, np.iinfo(np.uint64).max)
+    wide = np.concatenate([edge, h, edge])
+    n, cut = len(h), np.ones(len(h), bool)
+    for d in range(1, AROUND + 1):
+        cut &= (h < wide[AROUND - d : AROUND - d + n]) & (h <= wide[AROUND + d : AROUND + d + n])
+    out = [0]
+    for i in [*(np.flatnonzero(cut) + 1).tolist(), len(words)]:
+        out += range(out[-1] + longest, i, longest)
+        out.append(i)
+    return out[:-1]
+
+
 def sentences(text: str | None, longest: int = LONGEST) -> list[tuple[int, int, str, int]]:
     """(start, end, normal form, words) of the sentences; together they are the whole text.
 
@@ -29,19 +50,24 @@ def sentences(text: str | None, longest: int = LONGEST) -> list[tuple[int, int,
     """
     text = text or ""
     out: list[tuple[int, int, str, int]] = []
-    start, last_end, stop, words = 0, 0, False, []
+    start, last_end, stop, words, at = 0, 0, False, [], []
 
     def close(end: int) -> None:
-        nonlocal start, words
+        nonlocal start, words, at
         if words:
-            out.append((start, end, " ".join(words), len(words)))
-            start, words = end, []
+            parts = [0] if len(words) <= longest else _places(words, longest)
+            for i, j in zip(parts, [*parts[1:], len(words)]):
+                to = end if j == len(words) else at[j]
+                out.append((start, to, " ".join(words[i:j]), j - i))
+                start = to
+            words, at = [], []
 
     for m in _word.finditer(text):
         a, b = m.span()
-        if words and (len(words) >= longest or stop or "\n" in text[last_end:a]):
+        if words and (stop or "\n" in text[last_end:a]):
             close(a)
         words.append(m.group().lower())
+        at.append(a)
         last_end = b
         stop = text[b - 1] in ".!?"
     close(len(text))
@@ -127,5 +153,5 @@ def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_removed, removed (start:end pairs, comma-joined), n_chars_kept, text (what is kept) of each document."""
     pairs = F.transform(F.sequence(F.lit(0), F.size("removed") - 2, F.lit(2)), lambda i: F.concat_ws(":", F.get("removed", i), F.get("removed", i + 1)))
     said = F.when(F.size("removed") > 0, F.array_join(pairs, ",")).otherwise("")
-    kept = dedup(docs.select("doc_id", "text"))
+    kept = dedup(docs.select("doc_id", "text"), least=1)
     return kept.select("doc_id", (F.size("removed") / 2).cast("long").alias("n_removed"), said.alias("removed"), F.length(F.coalesce("kept_text", F.lit(""))).cast("long").alias("n_chars_kept"), F.col("kept_text").alias("text"))

@@ -60,3 +60,21 @@ def test_same_as_brute_force(spark):
         t = texts[r.doc_id] or ""
         assert len(t) - sum(b - a for a, b in spans) == r.n_chars_kept
     assert S.digest(df.limit(0)).count() == 0
+
+
+def test_passages_inside_long_sentences_at_any_offset(spark):
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(3000)]
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    rows, passages = [], [some(51) for _ in range(60)]
+    for n, p in enumerate(passages):
+        for copy in range(2):
+            rows.append((2 * n + copy, " ".join(some(rng.randint(17, 90)) + p + some(rng.randint(17, 90)))))
+    rows += [(1000, "Read this. Then that. Go on."), (1001, "Read this. Then that. Go on.")]
+    got = {r.doc_id: r for r in S.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    lost = [n for n in range(60) if got[2 * n + 1].n_removed]
+    assert len(lost) >= 58 and not any(got[2 * n].n_removed for n in range(60))
+    for n in lost:
+        kept = set(got[2 * n + 1].text.split())
+        assert sum(w not in kept for w in passages[n]) >= 9
+    assert got[1000].n_removed == 0 and got[1001].text == ""  # runs of few words count as well
