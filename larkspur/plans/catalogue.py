@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -524,10 +524,20 @@ def stream_dedup(spark, d):
 @query("""with r as (select event_type as source, event_type <> 'error' as ok, row_number() over (partition by event_type order by ts desc, event_id desc) as rn from events)
 select source, cast(count(*) as int) as samples, round_even(avg(case when ok then 1.0 else 0.0 end), 3) as rate from r where rn <= 100 group by 1""")
 def stream_source_health(spark, d):
+    return _health(spark, d, F.col("event_type") != "error")
+
+
+@query("""with r as (select event_type as source, event_id % 3 <> 0 and event_type <> 'error' as ok, row_number() over (partition by event_type order by ts desc, event_id desc) as rn from events)
+select source, cast(count(*) as int) as samples, round_even(avg(case when ok then 1.0 else 0.0 end), 3) as rate from r where rn <= 100 group by 1""")
+def stream_source_health_last100(spark, d):
+    return _health(spark, d, (F.col("event_id") % 3 != 0) & (F.col("event_type") != "error"))
+
+
+def _health(spark: SparkSession, d: str, ok: Column) -> DataFrame:
     from larkspur.streaming.ingest import source_health
 
     def build(e: DataFrame) -> DataFrame:
-        o = e.select(F.col("event_type").alias("source"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_s"), (F.col("event_type") != "error").alias("ok"))
+        o = e.select(F.col("event_type").alias("source"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "event_id", ok.alias("ok"))
         return source_health(o)
 
     rows = _streamed(spark, d, build, "update")
