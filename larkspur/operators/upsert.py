@@ -38,6 +38,14 @@ def mark_known(candidates: DataFrame, leads: DataFrame, flag: str = "already_in_
     return df.withColumn(flag, F.coalesce("m_", "c_", F.lit(False))).drop("mail_", "m_", "call_", "c_")
 
 
+def mark_repeated(leads: DataFrame, flag: str = "already_in_workspace") -> DataFrame:
+    """leads with a flag as of mark_known(), each lead against all others."""
+    none = F.lit(None).cast("string")
+    mail = leads.groupBy(F.lower("email").alias("email")).count().where("count > 1").select("email", none.alias("phone"))
+    call = leads.groupBy(F.regexp_replace("phone", r"\s+", "").alias("phone")).count().where("count > 1").select(none.alias("email"), "phone")
+    return mark_known(leads, mail.unionAll(call), flag)
+
+
 def classify_import(rows: DataFrame, duplicate: Column, used_today: int, daily_limit: int, used: int, quota: int) -> DataFrame:
     """rows (ordinal) with ``outcome``: imported, duplicate, daily_limit_reached, quota_exceeded or not_reached.
 

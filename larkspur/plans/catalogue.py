@@ -217,6 +217,12 @@ def already_in_workspace(spark, d):
     return upsert.mark_known(every.where("lead_id % 2 = 0").select("lead_id", "email", "phone"), known).select("lead_id", "already_in_workspace")
 
 
+@query(f"""with {LEADS_SQL}, k as (select lead_id, lower(email) as m, replace(phone, ' ', '') as p from leads)
+select lead_id, coalesce(m in (select m from k where m <> '' group by m having count(*) > 1), false) or coalesce(p in (select p from k where p <> '' group by p having count(*) > 1), false) as already_in_workspace from k""")
+def already_among_leads(spark, d):
+    return upsert.mark_repeated(leads(spark, d).select("lead_id", "email", "phone")).select("lead_id", "already_in_workspace")
+
+
 @query("""with l as (select *, row_number() over (partition by conv_id order by turn desc, role, text) rn from conversations)
 select conv_id, turn, role, left(text, 80) as preview, conv_id in (select conv_id from conversations where role = 'system') as booked from l where rn = 1""")
 def inbox_preview_latest(spark, d):
@@ -338,6 +344,13 @@ def doc_best_email(spark, d):
     return found.where(F.size("e") == 1).select("doc_id", "best")
 
 
+@query()
+def doc_all_emails(spark, d):
+    """Every document's addresses and the best of them."""
+    e = email.collect_emails(F.coalesce("text", F.lit("")))
+    return t(spark, d, "documents").select("doc_id", F.array_join(e, ",").alias("emails"), F.size(e).cast("long").alias("n"), email.best_email(F.col("text")).alias("best"))
+
+
 @query()
 def doc_phones(spark, d):
     return t(spark, d, "documents").select("doc_id", phone.collect_phones(F.col("text")).alias("p")).where(F.size("p") > 0).select("doc_id", F.array_join("p", "|").alias("phones"), phone.best_phone(F.concat(F.lit("call "), F.element_at("p", 1)), "US").alias("first"))
@@ -400,6 +413,11 @@ def strip_page_tags(spark, d):
     return t(spark, d, "pages").select(F.col("page_id").alias("doc_id"), text.strip_tags(F.left("html", F.lit(400))).alias("plain"))
 
 
+@query(r"""select page_id as doc_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) as plain from pages""")
+def strip_whole_page_tags(spark, d):
+    return t(spark, d, "pages").select(F.col("page_id").alias("doc_id"), text.strip_tags(F.col("html")).alias("plain"))
+
+
 # ---- Entity resolution ----------------------------------------------------------------------------------------------
 
 

@@ -186,3 +186,28 @@ def test_streamed_health_is_the_tables(spark):
 
     got, want = (catalogue.queries()[n](spark, "/root/testdata/sf0.1") for n in ("stream_source_health_last100", "source_health_last100"))
     assert sorted((r.source, r.samples, r.rate) for r in got.collect()) == sorted((r.source, r.samples, r.rate) for r in want.collect())
+
+
+def test_queries_over_the_whole_input(spark, tmp_path):
+    import re
+
+    from larkspur.plans import catalogue
+
+    run = lambda name: catalogue.queries()[name](spark, str(tmp_path)).collect()
+    texts = [(1, "noreply@shop.pk then info@shop.pk"), (2, "x@y.co"), (3, "none"), (4, None), (5, "a@b.co A@b.co c@d.co")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.emails, r.n, r.best) for r in run("doc_all_emails")}
+    assert got == {1: ("noreply@shop.pk,info@shop.pk", 2, "info@shop.pk"), 2: ("x@y.co", 1, "x@y.co"), 3: ("", 0, None), 4: ("", 0, None), 5: ("a@b.co,c@d.co", 2, "a@b.co")}
+    page = "<p>" + "word <b>x</b> " * 200 + "end</p>"
+    spark.createDataFrame([(1, page)], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert run("strip_whole_page_tags")[0].plain == " ".join(re.sub("<[^>]+>", " ", page).split())
+    spark.read.parquet("/root/testdata/sf0.001/customer.parquet").write.parquet(str(tmp_path / "customer.parquet"))
+    rows = catalogue.leads(spark, str(tmp_path)).selectExpr("lead_id", "lower(email) m", "replace(phone, ' ', '') p").collect()
+    same = lambda a, b: bool(a.m and a.m == b.m or a.p and a.p == b.p)
+    want = {a.lead_id: any(same(a, b) for b in rows if b.lead_id != a.lead_id) for a in rows}
+    assert {r.lead_id: r.already_in_workspace for r in run("already_among_leads")} == want
+
+
+def test_mark_repeated(spark):
+    df = spark.createDataFrame([(1, "A@b.co", None), (2, "a@B.co", "+1 5"), (3, None, "+15"), (4, "", ""), (5, "", ""), (6, "z", "9")], "i int, email string, phone string")
+    assert {r.i: r.already_in_workspace for r in upsert.mark_repeated(df).collect()} == {1: True, 2: True, 3: True, 4: False, 5: False, 6: False}
