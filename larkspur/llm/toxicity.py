@@ -4,8 +4,8 @@ The kernel compares words by their subsequences of three characters, gaps damped
 ``DECAY`` for each character skipped, so that inserted or missing characters cost a
 little instead of all. Landmark words give the Nyström map in which the machine is
 trained. A sentence is as toxic as its worst word and a text as its worst sentence,
-so training alternates: fit on words, then take each labelled text's worst sentence
-by the present machine as that label's example.
+so training alternates: fit on words, whose labels come from the texts around them, then
+take each toxic text's worst word and clean texts' words near the boundary as examples.
 
 As the machine is linear over landmarks and the kernel linear over subsequences, a
 trained machine folds into one weight per (hashed) subsequence.
