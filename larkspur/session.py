@@ -15,14 +15,26 @@ def session(name: str = "larkspur", **conf: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a session without one (a local one) gets its own."""
+    """The cluster's shared checkpoint folder (spark.checkpoint.dir); only a local session without one gets its own.
+
+    On a cluster a folder of the driver's machine would not be seen by executors, so that its absence is an error there.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larkspur-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="larkspur-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """df cut off from its lineage through the shared checkpoint folder."""
+    """df cut off from its lineage through the shared checkpoint folder, so that a lost executor costs a reread, not a recompute."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder of any file system that Spark reads."""
+    old = spark._jvm.org.apache.hadoop.fs.Path(path)
+    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
