@@ -15,11 +15,12 @@ import gc
 import hashlib
 import heapq
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from larkspur.llm.common import mapped
+
 SPACE = "▁"
 #: Distinct chunks remembered by a worker before it starts afresh.
 MEMO = 400_000
@@ -32,7 +33,27 @@ def load_pieces(model_path: str) -> tuple[list[str], list[float], list[int]]:
     proto = sentencepiece_model_pb2.ModelProto()
     with open(model_path, "rb") as f:
         proto.ParseFromString(f.read())
-    return [p.piece for p in proto.pieces], [p.score for p in proto.pieces], [p.type for p in proto.pieces]
+    out = [p.piece for p in proto.pieces], [p.score for p in proto.pieces], [p.type for p in proto.pieces]
+    check_model(proto.trainer_spec.model_type, proto.normalizer_spec, *out)
+    return out
+
+
+def check_model(kind: int, rules, pieces: list[str], scores: list[float], types: list[int]) -> None:
+    """Raises ValueError for a model that the prefix table would not encode as its library does.
+
+    It has to be a BPE model without normaliser rules (only the space put in front and the visible space mark),
+    without user-defined pieces, whose pieces of spaces alone share one score, the lowest of all.
+    """
+    if kind != 2:
+        raise ValueError("not a BPE model")
+    if rules.precompiled_charsmap or rules.remove_extra_whitespaces or not rules.add_dummy_prefix or not rules.escape_whitespaces:
+        raise ValueError("models with normaliser rules are not supported")
+    if 4 in types:
+        raise ValueError("user-defined pieces are not supported")
+    blank = {s for p, s, t in zip(pieces, scores, types) if t == 1 and len(p) > 1 and not p.strip(SPACE)}
+    longer = [s for p, s, t in zip(pieces, scores, types) if t == 1 and len(p) > 1 and p.strip(SPACE)]
+    if len(blank) > 1 or blank and longer and min(blank) > min(longer):
+        raise ValueError("pieces of spaces must share the lowest score")
 
 
 def merge_all(symbols: list[str], rank: dict[str, float]) -> list[str]:
@@ -192,18 +213,8 @@ def _table(shared) -> PrefixTable:
     return _TABLES[key]
 
 
-def _mapped(shared, row: Callable[[PrefixTable, str], tuple], names: list[str], text: str) -> Callable:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = _table(shared)
-        for pdf in batches:
-            made = [row(table, t or "") for t in pdf[text]]
-            yield pdf.assign(**{n: [m[k] for m in made] for k, n in enumerate(names)})
-
-    return run
-
-
-def _digests(table: PrefixTable, text: str) -> tuple[int, str, str, str]:
-    parts = table.parts(text)
+def _digests(table: PrefixTable, text: str | None) -> tuple[int, str, str, str]:
+    parts = table.parts(text or "")
     decoded = "".join([p[2] for p in parts])
     # The space in front of the text is the encoder's own; the decoder takes it off again.
     decoded = decoded[1:] if decoded.startswith(" ") else decoded
@@ -216,9 +227,15 @@ def _with(df: DataFrame, model_path: str, row: Callable, fields: str, text: str,
     names = [f.split()[0] for f in fields.split(", ")]
     if clash := {c.lower() for c in df.columns} & set(names):
         df = df.withColumnsRenamed({c: f"{c}_in" for c in df.columns if c.lower() in clash})
+        text = f"{text}_in" if text.lower() in clash else text
     shared = df.sparkSession.sparkContext.broadcast(load_pieces(model_path))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), fields])
-    return df.mapInPandas(_mapped(shared, row, names, text), schema)
+
+    def make(values: list) -> list:
+        table = _table(shared)
+        made = [row(table, v) for v in values]
+        return [[m[k] for m in made] for k in range(len(names))]
+
+    return mapped(df, [text], fields, make)
 
 
 def encode(df: DataFrame, model_path: str, text: str = "text") -> DataFrame:
@@ -227,14 +244,14 @@ def encode(df: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     A null text counts as empty and has no ids. Rows are kept one for one, repeats
     included; columns named ``ids`` come out as ``ids_in``.
     """
-    return _with(df, model_path, lambda t, x: (t.encode(x),), "ids array<int>", text, None)
+    return _with(df, model_path, lambda t, x: (t.encode(x or ""),), "ids array<int>", text, None)
 
 
 def decode(df: DataFrame, model_path: str, ids: str = "ids") -> DataFrame:
-    """df with ``decoded``: the text of its ids; null or no ids give an empty text."""
+    """df with ``decoded``: the text of its ids; null or no ids give an empty text, null ids count as none."""
 
-    def run(table: PrefixTable, x) -> tuple[str]:
-        return (table.decode([int(i) for i in x]) if x is not None and len(x) else "",)
+    def run(table: PrefixTable, x: list[int | None] | None) -> tuple[str]:
+        return (table.decode([i for i in x or [] if i is not None]),)
 
     return _with(df, model_path, run, "decoded string", ids, None)
 
