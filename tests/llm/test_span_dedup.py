@@ -1,44 +1,75 @@
 import random
+import re
 from collections import defaultdict
 
 from larkspur.llm import span_dedup as S
 
 
-def brute(rows, run=3, least=20):
+M = 2**64 - 1
+K1, K2, K3 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
+
+
+def mixed(x):
+    x = (x ^ x >> 32) * K2 & M
+    x = (x ^ x >> 29) * K3 & M
+    return x ^ x >> 32
+
+
+def word_hash(w):
+    low = [c.lower() if len(c.lower()) == 1 else c for c in w]
+    return mixed(sum(mixed((ord(c) * K1 + i * K3) & M) for i, c in enumerate(low)) + len(w) & M)
+
+
+def sentences(text):
+    """(start, end, normal form) of the parts of a text, word by word."""
+    found, sents, last = [(m.start(), m.end(), m.group()) for m in re.finditer(r"\S+", text or "")], [], None
+    for w in found:
+        if last is None or last[2][-1] in ".!?" or "\n" in text[last[1] : w[0]]:
+            sents.append([])
+        sents[-1].append(w)
+        last = w
+    out = []
+    for ws in sents:
+        cuts = [0]
+        if len(ws) > S.LONGEST:
+            pair = [mixed((word_hash(a[2]) * K1 + word_hash(b[2])) & M) >> 1 for a, b in zip(ws, ws[1:])]
+            for i, p in enumerate(pair):
+                if all(p < q for q in pair[max(0, i - S.AROUND) : i]) and all(p <= q for q in pair[i + 1 : i + 1 + S.AROUND]):
+                    cuts.append(i + 1)
+        for a, b in zip(cuts, [*cuts[1:], len(ws)]):
+            for k in range(a, b, S.LONGEST):
+                out.append((ws[k][0], " ".join(w[2].lower() for w in ws[k : min(b, k + S.LONGEST)])))
+    ends = [a for a, _ in out[1:]] + [len(text or "")]
+    return [(0 if i == 0 else a, e, form) for i, ((a, form), e) in enumerate(zip(out, ends))]
+
+
+def brute(rows, run=3):
     """Kept texts, by looking at every run of every text in order."""
-    seen = defaultdict(list)
-    cut = {}
-    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0))
-    for i in order:
-        ss = S.sentences(rows[i][1])
+    seen, bad, cut = defaultdict(list), defaultdict(set), {}
+    for i in sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0)):
+        ss = sentences(rows[i][1])
         for a in range(len(ss) - run + 1):
             seen["\n".join(s[2] for s in ss[a : a + run])].append((i, a))
-    bad = defaultdict(set)
     for places in seen.values():
         for i, a in places[1:]:
             bad[i].update(range(a, a + run))
     for i, (_, t) in enumerate(rows):
-        ss, keep, k = S.sentences(t), [], 0
-        while k < len(ss):
-            j = k
-            while j < len(ss) and j in bad[i]:
-                j += 1
-            if j > k and sum(s[3] for s in ss[k:j]) >= least:
-                k = j
-                continue
-            j = max(j, k + 1)
-            keep += [t[s[0] : s[1]] for s in ss[k:j]]
-            k = j
-        cut[i] = "".join(keep) if ss else t
+        ss = sentences(t)
+        cut[i] = "".join(t[s[0] : s[1]] for k, s in enumerate(ss) if k not in bad[i]) if ss else t
     return cut
 
 
-def test_sentences_cover_text():
-    for t in ["", None, "  ", "A b. C d! E", " lead\n\nline two. x.y z ", "w " * 100, "a.\n"]:
-        ss = S.sentences(t)
-        if ss:
-            assert "".join(t[a:b] for a, b, _, _ in ss) == t
-        assert all(n <= S.LONGEST for *_, n in ss)
+EDGE = ["", "  ", "A b. C d! E", " lead\n\nline two. x.y z ", "w " * 100, "a.\n", "\n\n a", "İSTANBUL Ä ß \U0001f600 \u2003x\x1cy", "word " * 30 + "\n" + "x" * 300, "a\u00a0b. c"]
+
+
+def test_parts_as_word_by_word(monkeypatch):
+    for size in (S.SLICE, 50):
+        monkeypatch.setattr(S, "SLICE", size)
+        for texts in ([t] for t in EDGE):
+            got = list(zip(*(x.tolist() for x in S.parts(texts)[1:3])))
+            assert got == [s[:2] for s in sentences(texts[0])], texts
+        of, begin, end, *_ = S.parts(EDGE)
+        assert list(zip(of.tolist(), begin.tolist(), end.tolist())) == [(i, a, b) for i, t in enumerate(EDGE) for a, b, _ in sentences(t)]
 
 
 def test_same_as_brute_force(spark):
