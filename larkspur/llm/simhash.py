@@ -12,20 +12,21 @@ spanning forest, never as all pairs; the forests meet in connected components.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import durable
+from larkspur.llm.common import durable, mapped, star_join
 from larkspur.llm.graph import components
 
 BITS = 3
 FANOUT = 16
-#: Members of a field pattern beyond which it is split by a second mask over the other 48 bits.
+#: Members of a field pattern beyond which it is divided by a further mask.
 HOT = 4096
-#: Open (fingerprint, node) pairs of a search at once, which bounds its memory.
+#: Rows, and open (fingerprint, node) pairs, of a search at once, which bounds its memory.
 FRONT = 400_000
 
 
@@ -48,16 +49,15 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(key, fp, extra columns), fp as a signed long; null, empty and wordless texts have fingerprint 0."""
+    """(key, extra columns, fp), fp as a signed long; null, empty and wordless texts have fingerprint 0."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fp = np.array([fingerprint(t, words) for t in pdf["t"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"k": pdf["k"], "fp": fp, **{c: pdf[c] for c in extra}})
+    def make(texts: list[str | None]) -> list:
+        return [np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)]
 
-    kind = docs.schema[key].dataType.simpleString()
-    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in extra)
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t"), *extra).mapInPandas(run, f"k {kind}, fp long{more}").withColumnRenamed("k", key)
+    # Names that no column of docs can clash with; the text itself goes no further.
+    own = docs.select(F.col(key).alias("k"), *(F.col(c).alias(f"x{i}") for i, c in enumerate(extra)), F.col(text).alias("t"))
+    made = mapped(own, ["t"], "fp long", make)
+    return made.select(F.col("k").alias(key), *(F.col(f"x{i}").alias(c) for i, c in enumerate(extra)), "fp")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -139,34 +139,64 @@ def forest(fp: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    parts = list(batches)
-    if parts:
-        pdf = pd.concat(parts)
-        if len(pdf):
-            a, b = forest(pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["bucket"].to_numpy(np.int64))
-            yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
-
-
-def _fields(fp, fields: list[tuple[int, int]], extra=None):
-    """An array with one (mask, value) key for each field of (shift, width) bits."""
-    return F.array(*(F.xxhash64(F.lit(s), F.lit(w), F.shiftrightunsigned(fp, s).bitwiseAND((1 << w) - 1), *([extra] if extra is not None else [])) for s, w in fields))
+    """Forests of the buckets in rows sorted by bucket, a bounded number of whole buckets at a time."""
+    held: list[pd.DataFrame] = []
+
+    def forests(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = forest(pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["bucket"].to_numpy(np.int64))
+        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+
+    for pdf in batches:
+        held.append(pdf)
+        if sum(map(len, held)) >= FRONT:
+            pdf = pd.concat(held)
+            last = pdf["bucket"].to_numpy() == pdf["bucket"].iloc[-1]  # the last bucket may go on
+            if not last.all():
+                yield forests(pdf[~last])
+            held = [pdf[last]]
+    if sum(map(len, held)):
+        yield forests(pd.concat(held))
+
+
+#: Bits in which fingerprints of one bucket may still differ, from level to level; four fields divide them.
+LEVELS = (64, 48, 36, 27)
+
+
+def _split(rest: str, bucket: str | None, width: int):
+    """For each of four fields of the width bits in rest: a bucket of (bucket, field, its value), and the bits left."""
+    base, more = divmod(width, 4)
+    out, shift = [], 0
+    for f in range(4):
+        w = base + (f < more)
+        value = F.shiftrightunsigned(rest, shift).bitwiseAND((1 << w) - 1)
+        high = F.shiftleft(F.shiftrightunsigned(rest, shift + w), shift) if shift + w < 64 else F.lit(0).cast("long")
+        left = F.col(rest).bitwiseAND((1 << shift) - 1).bitwiseOR(high)
+        out.append(F.struct(F.xxhash64(F.lit(width), F.lit(f), value, *([bucket] if bucket else [])).alias("bucket"), left.alias("rest")))
+        shift += w
+    return F.explode(F.array(*out)).alias("x")
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """(a, b) edges over distinct fingerprints in ``fp`` whose components are those of all links."""
-    fp = F.col("fp")
-    keys = fps.select("fp", F.posexplode(_fields(fp, [(s, 16) for s in (0, 16, 32, 48)])).alias("field", "bucket"))
-    hot = keys.groupBy("bucket").count().where(F.col("count") > HOT).select("bucket", F.lit(True).alias("hot"))
-    keys = keys.join(hot, "bucket", "left")
-    # A hot pattern's members agree in one field and, if linked, in one of four 12-bit fields of the other 48 bits.
-    rot = F.when(F.col("field") == 0, F.shiftrightunsigned(fp, 16))
-    for f in (1, 2, 3):
-        low, high = fp.bitwiseAND((1 << 16 * f) - 1), F.shiftrightunsigned(fp, 16 * f + 16) if f < 3 else F.lit(0).cast("long")
-        rot = rot.when(F.col("field") == f, F.shiftleft(high, 16 * f).bitwiseOR(low))
-    second = F.explode(_fields(rot, [(s, 12) for s in (0, 12, 24, 36)], F.col("bucket")))
-    cold = keys.where("hot is null").select("fp", "bucket")
-    split = keys.where("hot").select("fp", second.alias("bucket"))
-    return cold.unionAll(split).repartition("bucket").mapInPandas(_search, "a long, b long")
+    """(a, b) edges over distinct fingerprints in ``fp`` whose components are those of all links.
+
+    Members of a bucket agree in the fields that name it; linked ones also agree in one of four further
+    fields, since they differ in three bits at most. So a bucket of over HOT members is divided by one
+    more masked pattern, up to len(LEVELS) times: what shares three quarters of all fields, 43 bits and
+    more, is searched as it is.
+    """
+    keys = fps.select("fp", F.col("fp").alias("rest")).select("fp", _split("rest", None, LEVELS[0])).select("fp", "x.bucket", "x.rest")
+    done = []
+    for width in LEVELS[1:]:
+        keys = durable(keys)
+        hot = durable(keys.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("bucket"))
+        if hot.isEmpty():
+            break
+        # One bucket in HOT is hot at most, and holds many rows: the few names are joined without moving those.
+        marked = keys.join(hot.withColumn("hot", F.lit(True)), "bucket", "left")
+        done.append(marked.where("hot is null").select("fp", "bucket"))
+        keys = marked.where("hot").select("fp", _split("rest", "bucket", width)).select("fp", "x.bucket", "x.rest")
+    done.append(keys.select("fp", "bucket"))
+    return reduce(DataFrame.unionAll, done).repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_search, "a long, b long")
 
 
 def rooted(reps: DataFrame) -> DataFrame:
@@ -182,11 +212,11 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     rows come out repeatedly; rows with a null key belong to no class of their own but
     take the smallest non-null key reachable (null if none). An empty table gives no rows.
     """
-    fps = durable(fingerprints(docs, key, text))
-    named = rooted(fps.groupBy("fp").agg(F.min(key).alias("least")))
+    fps = durable(fingerprints(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), "k", "t"))
+    named = rooted(fps.groupBy("fp").agg(F.min("k").alias("least"), F.count("*").alias("n")))
     least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    of_fp = named.join(least, "comp").select("fp", "component_id")
-    return fps.join(of_fp, "fp").select(key, "fp", "component_id")
+    of_fp = durable(named.join(least, "comp").select("fp", "component_id", "n"))
+    return star_join(fps, of_fp, "fp", fps.count(), "n").select(F.col("k").alias(key), "fp", "component_id")
 
 
 def digest(docs: DataFrame) -> DataFrame:

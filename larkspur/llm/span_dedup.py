@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import durable, mapped
 
-RUN, LONGEST = 3, 8
+#: A run is some 30 words: enough that a phrase doesn't count, few enough that a passage of over 50 words holds one wherever it is cut.
+RUN, LONGEST = 6, 8
 #: An overlong sentence is cut after a word whose pair hash is the least among those of so many words on both sides.
 AROUND = 3
 #: Characters of texts that are cut side by side, which bounds a task's memory; a longer text is read piece by piece.
@@ -150,7 +151,7 @@ def _runs(run: int):
                 n = max(len(text) - run + 1, 0)
                 whole = np.flatnonzero(text[:n] == text[run - 1 :])
                 first = np.searchsorted(text, text[whole])
-                high, low = (mix(sum(mix(h[whole + j] + np.uint64(j + 1) * K1) for j in range(run))) for h in hashes)
+                high, low = (mix(sum(mix(h[whole + j] + np.uint64((j + 1) * int(K1) & int(MOST))) for j in range(run))) for h in hashes)
                 rows = pa.array(text[whole] + lo)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array((whole - first).astype(np.int32)), pa.array(high.view(np.int64)), pa.array(low.view(np.int64))], names=["k", "h", "at", "high", "low"])
 

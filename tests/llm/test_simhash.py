@@ -75,3 +75,18 @@ def test_components(spark):
     got = {r.node: r.comp for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {n: c for n, c in union(pairs, nodes).items() if n != c}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_thousands_of_fingerprints_that_share_forty_bits(spark, monkeypatch):
+    monkeypatch.setattr(S, "FRONT", 3000)
+    rng = np.random.default_rng(8)
+    fp = np.unique(np.concatenate([np.uint64(0xABCDEF0123000000) | rng.integers(0, 1 << 24, 12_000, np.uint64), rng.integers(0, 1 << 63, 500, np.uint64)]))
+    a, b = np.triu_indices(0)
+    pairs = []
+    for lo in range(0, len(fp), 500):
+        a, b = np.nonzero(np.bitwise_count(fp[lo : lo + 500, None] ^ fp[None]) <= 3)
+        pairs += [(x, y) for x, y in zip((a + lo).tolist(), b.tolist()) if x < y]
+    key = fp.view(np.int64).tolist()
+    want = union([(key[x], key[y]) for x, y in pairs], key)
+    got = {r.fp: r.comp for r in S.rooted(spark.createDataFrame([(k,) for k in key], "fp long")).collect()}
+    assert got == want and len(set(got.values())) < len(key) - 1000

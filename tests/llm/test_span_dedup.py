@@ -43,7 +43,7 @@ def sentences(text):
     return [(0 if i == 0 else a, e, form) for i, ((a, form), e) in enumerate(zip(out, ends))]
 
 
-def brute(rows, run=3):
+def brute(rows, run=S.RUN):
     """Kept texts, by looking at every run of every text in order."""
     seen, bad, cut = defaultdict(list), defaultdict(set), {}
     for i in sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0)):
@@ -77,7 +77,7 @@ def test_same_as_brute_force(spark):
     words = [f"w{k}" for k in range(300)]
     sent = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(2, 40))) + rng.choice([".", "!", "\n"])
     shared = [" ".join(sent() for _ in range(5)) for _ in range(4)]
-    texts = [" ".join([sent(), rng.choice(shared), sent(), rng.choice(shared), sent()]) for _ in range(40)] + [None, "", "a. b. c.", "a. b. c.", "x"]
+    texts = [" ".join([sent(), rng.choice(shared), sent(), rng.choice(shared), sent()]) for _ in range(40)] + [None, "", "a. b. c.", "a. b. c.", "a. b. c. d. e. f. g.", "x. a. b. c. d. e. f.", "x"]
     texts += [texts[0]]
     rows = list(enumerate(texts))
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, removed int")
@@ -101,7 +101,7 @@ def test_passages_inside_long_sentences_at_any_offset(spark):
     for n, p in enumerate(passages):
         for copy in range(2):
             rows.append((2 * n + copy, " ".join(some(rng.randint(17, 90)) + p + some(rng.randint(17, 90)))))
-    rows += [(1000, "Read this. Then that. Go on."), (1001, "Read this. Then that. Go on.")]
+    rows += [(i, "Read this. Then that. Go on. And on. Stop. Go home.") for i in (1000, 1001)]
     got = {r.doc_id: r for r in S.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     lost = [n for n in range(60) if got[2 * n + 1].n_removed]
     assert len(lost) >= 58 and not any(got[2 * n].n_removed for n in range(60))
