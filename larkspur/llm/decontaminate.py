@@ -15,10 +15,12 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.common import durable, mapped
+
 WINDOW = 13
 TABLE_BITS = 18
 #: Windows of the benchmark searched for in one pass, which bounds the broadcast; more items take more passes.
@@ -110,59 +112,74 @@ def _runs(starts: np.ndarray, ends: np.ndarray, n: int) -> list[int]:
     return np.flatnonzero(np.diff(cover)).tolist()
 
 
-def _search(shared, text: str, out: tuple[str, str, str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        patterns: Patterns = shared.value
+def _tables(shared, window: int, known: dict = {}) -> Patterns:  # noqa: B006 - the worker's memory of its last part
+    """The tables of a part of the benchmark, built once per worker."""
+    key = shared.id if hasattr(shared, "id") else id(shared)
+    if key not in known:
+        known.clear()
+        known[key] = Patterns([(i, words(t)) for i, t in shared.value], window)
+    return known[key]
+
+
+def _search(shared, window: int):
+    def make(texts: list[str | None], *earlier: list) -> list:
+        patterns = _tables(shared, window)
         get = patterns.ids.get
-        for pdf in batches:
-            texts, hits, items, counts = pdf[text].tolist(), [], [], []
-            lo = 0
-            while lo < len(texts):  # documents side by side, a zero word between them
-                parts, lens, total, hi = [], [], 0, lo
-                while hi < len(texts) and total < SLICE:
-                    ws = words(texts[hi])
-                    parts.append(np.fromiter((get(w, 0) for w in ws), np.int32, len(ws)))
-                    lens.append(len(ws))
-                    total += len(ws) + 1
-                    hi += 1
-                ids = np.concatenate([x for p in parts for x in (p, np.zeros(1, np.int32))])
-                base = np.concatenate([[0], np.cumsum(np.array(lens) + 1)])
-                got: dict[int, list] = defaultdict(list)
-                for g in patterns.groups:
-                    at, pat = patterns.search(ids, g)
-                    doc = np.searchsorted(base, at, "right") - 1
-                    order = np.argsort(doc, kind="stable")
-                    for d, a, p in zip(*(np.split(x[order], np.flatnonzero(np.diff(doc[order])) + 1) for x in (doc, at, pat))) if len(at) else ():
-                        got[int(d[0])].append((a - base[d[0]], np.unique(p), g))
-                for k, n in enumerate(lens):
-                    here = got.get(k, [])
-                    runs = _runs(np.concatenate([a - g["m"] + 1 for a, _, g in here]), np.concatenate([a + 1 for a, _, g in here]), n) if here else []
-                    hits.append(runs)
-                    items.append(sorted({i for _, ps, g in here for p in ps for i in g["items"][p]}))
-                    counts.append(n)
-                lo = hi
-            if out[0] in pdf:  # a later pass adds to what earlier ones found
-                for k, (old, o) in enumerate(zip(pdf[out[0]], pdf[out[1]])):
-                    if len(old):
-                        both = np.array([*old, *hits[k]], np.int64)
-                        hits[k] = _runs(both[::2], both[1::2], counts[k])
-                    items[k] = sorted({*o, *items[k]})
-            yield pdf.assign(**{out[0]: hits, out[1]: items, out[2]: counts})
-
-    return run
-
-
-def passes(benchmark: DataFrame, item: str, text: str, limit: int = PASS_WINDOWS) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Items in parts of a bounded number of windows; the driver holds one part at a time."""
-    part, size = [], 0
-    for r in benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null").toLocalIterator():
-        ws = words(r.t)
-        if part and size + len(ws) > limit:
-            yield part
-            part, size = [], 0
-        part.append((r.i, ws))
-        size += len(ws)
-    yield part
+        hits, items, counts = [], [], []
+        lo = 0
+        while lo < len(texts):  # documents side by side, a zero word between them
+            parts, lens, total, hi = [], [], 0, lo
+            while hi < len(texts) and total < SLICE:
+                ws = words(texts[hi])
+                parts.append(np.fromiter((get(w, 0) for w in ws), np.int32, len(ws)))
+                lens.append(len(ws))
+                total += len(ws) + 1
+                hi += 1
+            ids = np.concatenate([x for p in parts for x in (p, np.zeros(1, np.int32))])
+            base = np.concatenate([[0], np.cumsum(np.array(lens) + 1)])
+            got: dict[int, list] = defaultdict(list)
+            for g in patterns.groups:
+                at, pat = patterns.search(ids, g)
+                doc = np.searchsorted(base, at, "right") - 1
+                order = np.argsort(doc, kind="stable")
+                for d, a, p in zip(*(np.split(x[order], np.flatnonzero(np.diff(doc[order])) + 1) for x in (doc, at, pat))) if len(at) else ():
+                    got[int(d[0])].append((a - base[d[0]], np.unique(p), g))
+            for k, n in enumerate(lens):
+                here = got.get(k, [])
+                hits.append(_runs(np.concatenate([a - g["m"] + 1 for a, _, g in here]), np.concatenate([a + 1 for a, _, g in here]), n) if here else [])
+                items.append(sorted({i for _, ps, g in here for p in ps for i in g["items"][p]}))
+                counts.append(n)
+            lo = hi
+        if earlier:  # a later pass adds to what earlier ones found
+            for k, (old, o) in enumerate(zip(*earlier)):
+                if old:
+                    both = np.array([*old, *hits[k]], np.int64)
+                    hits[k] = _runs(both[::2], both[1::2], counts[k])
+                items[k] = sorted({*o, *items[k]})
+        return [hits, items, counts]
+
+    return make
+
+
+#: Words of a benchmark text that are handled as one piece; longer texts are cut into overlapping pieces.
+PIECE = 20_000
+
+
+def _pieces(window: int):
+    """Items as pieces of a bounded number of words, alike windows as in the whole text; short items as they are."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i, t in zip(*(c.to_pylist() for c in b.columns)):
+                ws = words(t)
+                step = max(PIECE - window + 1, 1)
+                for n, lo in enumerate(range(0, max(len(ws) - window + 1, 1), step)) if ws else ():
+                    part = ws[lo : lo + PIECE]
+                    rows.append((i, n, len(part), b" ".join(part).decode("utf-8", "replace")))
+            yield pa.RecordBatch.from_pylist([dict(zip(("i", "n", "size", "t"), r)) for r in rows], pa.schema([("i", pa.string()), ("n", pa.int32()), ("size", pa.int32()), ("t", pa.string())]))
+
+    return of
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -172,14 +189,26 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     Rows stay one for one, repeats included. A null or wordless text has no words and no
     hits; items of null id, null text or no words never occur; an empty benchmark hits
     nothing. Columns of docs with one of the three names come out with ``_in`` appended.
+
+    Tasks cut the benchmark's texts into words and pieces, which a hash deals to as many passes as keep a
+    pass below about PASS_WINDOWS words. Workers build a pass's tables from its broadcast words. Passes but
+    the last are written to the shared folder, so that a task holds the tables of one pass only.
     """
-    names = ("hit_words", "hit_items", "n_words")
-    docs = docs.withColumnsRenamed({c: f"{c}_in" for c in docs.columns if c.lower() in names and c != text})
-    added = "hit_words array<int>, hit_items array<string>, n_words long"
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    for part in passes(benchmark, item, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(Patterns(part, window))
-        docs = docs.mapInPandas(_search(shared, text, names), f"{own}, {added}")
+    names = ["hit_words", "hit_items", "n_words"]
+    clash = {c: f"{c}_in" for c in docs.columns if c.lower() in names}
+    docs, text = docs.withColumnsRenamed(clash), clash.get(text, text)
+    given = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
+    pieces = durable(given.mapInArrow(_pieces(window), "i string, n int, size int, t string"))
+    passes = max(1, -(-(pieces.agg(F.sum("size")).first()[0] or 0) // PASS_WINDOWS))
+    own = docs.columns
+    for k in range(passes):
+        part = pieces.where(F.pmod(F.xxhash64("i", "n", "t"), F.lit(passes)) == k).select("i", "t").distinct().collect()
+        shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in part])
+        if k:
+            held = durable(docs.withColumnsRenamed({n: f"{n}_before" for n in names}))
+            docs = mapped(held, [text, "hit_words_before", "hit_items_before"], "hit_words array<int>, hit_items array<string>, n_words long", _search(shared, window)).select(*own, *names)
+        else:
+            docs = mapped(docs, [text], "hit_words array<int>, hit_items array<string>, n_words long", _search(shared, window))
     return docs
 
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import held_out, labelled
+from larkspur.llm.common import held_out, labelled, mapped
 
 TERMS = 4096
 #: Labelled documents that the space and the votes are fitted on, at most, per class.
@@ -96,17 +96,33 @@ def document_frequencies(docs: DataFrame, text: str = "text", terms: int = TERMS
     return next((r.n for r in rows if r.term < 0), 0), df
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, latent: int = LATENT, seed: int = 7) -> Model:
-    n, df = document_frequencies(docs)
+def _sparse(texts: list[str]) -> list:
+    found = [counts(t) for t in texts]
+    at = [np.flatnonzero(c) for c in found]
+    return [[a.astype(np.int32) for a in at], [c[a] for c, a in zip(found, at)]]
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", per_class: int = PER_CLASS, latent: int = LATENT, seed: int = 7) -> Model:
+    """Term weights from all documents; space and voters from at most per_class labelled rows of each class (see labelled()).
+
+    The driver gets at most 2 * per_class vectors of at most TERMS counts. Without any usable label every text
+    gets 0.5, with labels of one class only that class's share of 1 (0 or 1).
+    """
+    n, df = document_frequencies(docs, text)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(0.1)
-    rows, sizes = labelled(docs, labels, label, per_class, "doc_id", "text")
-    sample = sorted((r.t, r.y) for r in rows.collect())
+    rows, sizes = labelled(docs, labels, label, per_class, key, text)
+    # Tasks count the terms; the driver gets what the sample's texts count, not the texts.
+    terms = mapped(rows, ["t"], "at array<int>, n array<float>", _sparse).select("y", "at", "n").collect()
+    sample = sorted((r.y, tuple(r.at), tuple(r.n)) for r in terms)
     total = sum(sizes.values())
     prior = sizes.get(1, 0) / total if total else 0.5
     if not sample:
         return Model(idf, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), np.zeros(0), prior)
-    x = weighted(np.stack([counts(t) for t, _ in sample]), idf)
-    y = np.array([v for _, v in sample], np.float64)
+    raw = np.zeros((len(sample), TERMS), np.float32)
+    for row, (_, at, many) in zip(raw, sample):
+        row[list(at)] = many
+    x = weighted(raw, idf)
+    y = np.array([v for v, *_ in sample], np.float64)
     # Randomised range finder with two power steps; its own size is fixed by terms and sample bound.
     q = x.T @ np.random.default_rng(seed).standard_normal((len(x), min(latent + 16, len(x)))).astype(np.float32)
     for _ in range(2):
@@ -116,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     # A vote stands for all labelled documents of its class that the sample left out.
     picked = {v: max(1, int((y == v).sum())) for v in (0, 1)}
     model = Model(idf, basis, np.zeros((0, 1), np.float32), y, np.array([sizes[int(v)] / picked[int(v)] for v in y]), prior)
-    model.vectors = model.latent(np.stack([counts(t) for t, _ in sample]))
+    model.vectors = model.latent(raw)
     return model
 
 
@@ -127,18 +143,15 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     of docs that is named as the score comes out with ``_in`` appended.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    if out in docs.columns:
-        docs = docs.withColumnRenamed(out, f"{out}_in")
+    if clash := [c for c in docs.columns if c.lower() == out.lower()]:
+        docs = docs.withColumnRenamed(clash[0], f"{clash[0]}_in")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(texts: list[str | None]) -> list:
         m: Model = shared.value
-        for pdf in batches:
-            texts = pdf[text].tolist()
-            made = [m.score(np.stack([counts(t, len(m.idf)) for t in texts[lo : lo + BLOCK]])) for lo in range(0, len(texts), BLOCK)]
-            yield pdf.assign(**{out: np.concatenate(made) if made else np.zeros(0)})
+        made = [m.score(np.stack([counts(t, len(m.idf)) for t in texts[lo : lo + BLOCK]])) for lo in range(0, len(texts), BLOCK)]
+        return [np.concatenate(made) if made else np.zeros(0)]
 
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInPandas(run, f"{own}, {out} double")
+    return mapped(docs, [text], f"{out} double", make)
 
 
 def digest(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, scorer: Callable = score, fitter: Callable = fit) -> DataFrame:

@@ -43,3 +43,17 @@ def test_windows_keep_budget_and_history(spark):
     got = sorted(chat.format_conversations(spark.createDataFrame(turns, SCHEMA)).collect(), key=lambda r: r.window)
     assert [r.formatted.count("<|im_start|>") - r.repeated for r in got] == [6, 5, 1] or sum(r.formatted.count("<|im_start|>") - r.repeated for r in got) == 12
     assert [r.repeated for r in got] == [0] + [2] * (len(got) - 1)  # the system turn and one turn of 100 words
+
+
+def test_no_window_beyond_its_budget(spark):
+    rng = random.Random(9)
+    rows = [(1, 0, "system", "s " * 500, "")] + [(1, k, "user", "w " * 60, "") for k in range(1, 20)]
+    for c in range(2, 40):
+        first = [(c, 0, "system", "s " * rng.randint(0, 300), "")] * (c % 2)
+        rows += first + [(c, k, rng.choice(["user", "assistant"]), "w " * rng.randint(0, 130) + "水" * rng.randint(0, 90), "") for k in range(1, 30)]
+    tokens = lambda t: len(t.replace("水", " x ").split())
+    for w in chat.format_conversations(spark.createDataFrame(rows, SCHEMA)).collect():
+        turns = [x.split("\n", 1) for x in w.formatted.split("<|im_start|>")[1:]]
+        sizes = [tokens(x[1].removesuffix("<|im_end|>\n")) for x in turns]
+        alone = len(turns) - w.repeated == 1 and w.repeated <= (turns[0][0] == "system")
+        assert sum(sizes) <= chat.BUDGET or alone

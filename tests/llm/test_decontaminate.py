@@ -29,7 +29,8 @@ def test_passes_agree(spark, monkeypatch):
     items = [" ".join(rng.choice(words) for _ in range(20)) for _ in range(9)]
     docs = [" ".join([items[k], items[k - 1], "x", items[k - 2]]) for k in range(9)]
     whole = made(spark, docs, items)
-    monkeypatch.setattr(D.passes, "__defaults__", (30,))
+    monkeypatch.setattr(D, "PASS_WINDOWS", 30)
+    monkeypatch.setattr(D, "PIECE", 15)
     assert made(spark, docs, items) == whole
 
 

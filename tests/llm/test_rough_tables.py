@@ -5,12 +5,12 @@ import pytest
 from larkspur.llm import chat, decontaminate, pieces, pii, quality, secret_scan, simhash, span_dedup, toxicity
 from larkspur.llm.queries import piece_model
 
-ROWS = [(1, "a b c", "en", "x"), (1, "a b c", "en", "x"), (None, "q r s t", None, None), (None, None, None, None), (7, None, "fr", "y"), (2**53 - 1, "", "de", "z")]
+ROWS = [(1, "a b c", "en", "x"), (1, "a b c", "en", "x"), (None, "q r s t", None, None), (None, None, None, None), (7, None, "fr", "y"), (2**60 + 1, "", "de", "z"), (2**60 + 3, "a b. c", "de", "z")]
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string").selectExpr("*", "1 as score", "2 as fp", "3 as ids", "4 as n_words", "5 as removed", "6 as secrets", "7 as kind", "8 as margin_")
+    return spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string").coalesce(1).selectExpr("*", "1 as score", "2 as fp", "3 as ids", "4 as n_words", "5 as removed", "6 as secrets", "7 as kind", "8 as margin_")
 
 
 def ids(df):
