@@ -1,14 +1,19 @@
-"""Toxicity by a support vector machine with a gapped-subsequence string kernel.
-
-The kernel compares words by their subsequences of three characters, gaps damped by
-``DECAY`` for each character skipped, so that inserted or missing characters cost a
-little instead of all. Landmark words give the Nyström map in which the machine is
-trained. A sentence is as toxic as its worst word and a text as its worst sentence,
-so training alternates: fit on words, whose labels come from the texts around them, then
-take each toxic text's worst word and clean texts' words near the boundary as examples.
-
-As the machine is linear over landmarks and the kernel linear over subsequences, a
-trained machine folds into one weight per (hashed) subsequence.
+"""Toxicity by a support vector machine with a gapped-subsequence string kernel over sentences.
+
+A sentence is compared through its subsequences of three characters, across word borders
+too, gaps damped by ``DECAY`` for each character skipped, so that inserted, missing or
+spaced-out characters cost a little instead of all. As an insult is a small part of its
+sentence, a sentence is seen through all its windows of ``WIDTH`` starting characters; it
+is as toxic as its worst window, and a text as its worst sentence. Landmark windows give
+the Nyström map in which the machine is trained.
+
+Training sentences are labelled by their texts; which window of a toxic text's sentences
+teaches is first decided by words whose contexts are toxic far more often than others,
+then by the machine itself. Clean texts' sentences teach by their worst windows.
+
+The machine is linear over landmarks and the kernel linear over subsequences, so that a
+trained machine folds into one weight per (hashed) subsequence, and a text's windows are
+running sums.
 """
 
 from __future__ import annotations
@@ -18,102 +23,101 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import durable, held_out, labelled
+from larkspur.llm.common import durable, held_out, labelled, mapped
 
 DECAY, SPAN = 0.5, 6
-TABLE_BITS = 18
-#: Characters of a word compared at once; longer words are compared window by window, half overlapping.
-WIDTH = 24
+TABLE_BITS = 20
+#: Characters at which a window's subsequences start; they end up to SPAN - 1 characters later.
+WIDTH = 12
 LANDMARKS = 512
-#: Words the machine is fitted on, at most, per class, and labelled texts whose worst sentence is looked up.
-WORDS, TEXTS = 3000, 6000
+#: Windows the machine is fitted on, at most, per class and source; characters that are scored side by side.
+WINDOWS, SLICE = 3000, 1 << 16
 #: Labelled rows learnt from, at most, per class.
 PER_CLASS = 8000
-MEMO = 400_000
-_marks = re.compile(r"[^\w\s]|_")
-_spaced = re.compile(r"(?<!\S)(?:\S\s){2,}\S(?!\S)")
-_ends = re.compile(r"(?<=[.!?])\s+|\n+")
-
-
-def words_of(text: str | None) -> list[str]:
-    """The words of a text: lower-cased, marks inside them removed, letters set apart by spaces joined."""
-    flat = _marks.sub("", (text or "").lower())
-    return _spaced.sub(lambda m: re.sub(r"\s", "", m.group()), flat).split()
-
-
-def units(text: str | None) -> set[str]:
-    return set(words_of(text))
-
-
-def windows(word: str) -> list[str]:
-    return [word] if len(word) <= WIDTH else [word[i : i + WIDTH] for i in range(0, len(word) - WIDTH // 2, WIDTH // 2)]
-
-
-def subsequences(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-    """For each gap pattern: hashed subsequences (word x start), where they exist, and their weight."""
-    width = max(map(len, words)) + 2
-    text = "".join(f"^{w}$".ljust(width, "\0") for w in words)
-    chars = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4").reshape(len(words), width)
-    for d2 in range(2, SPAN):
-        for d1 in range(1, d2):
-            if width > d2:
-                a, b, c = chars[:, :-d2], chars[:, d1 : width - d2 + d1], chars[:, d2:]
-                h = (a * np.uint32(0x9E3779B1) ^ b) * np.uint32(0x85EBCA77)
-                h = (h ^ h >> np.uint32(15) ^ c) * np.uint32(0xC2B2AE3D)
-                h = (h ^ h >> np.uint32(13)) * np.uint32(0x27D4EB2F)
-                yield (h >> np.uint32(32 - TABLE_BITS)), c != 0, DECAY ** (d2 - 2)
-
-
-def norms(words: list[str]) -> np.ndarray:
-    return np.sqrt(np.maximum(sum((ok * np.float32(w * w)).sum(1) for _, ok, w in subsequences(words)), 1e-6))
-
-
-def against(words: list[str], table: np.ndarray) -> np.ndarray:
-    """Inner product of each word's normalised subsequence vector with a table of weights."""
-    out = np.zeros(len(words))
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    for lo in range(0, len(words), 20_000):
-        part = order[lo : lo + 20_000]
-        ws = [words[i] for i in part]
-        out[part] = sum((np.where(ok, table[h], 0) * np.float32(w)).sum(1) for h, ok, w in subsequences(ws)) / norms(ws)
-    return out
-
-
-def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """Normalised kernel of words with landmarks."""
+LEAST = -9.0
+PATTERNS = [(d1, d2, DECAY ** (d2 - 2)) for d2 in range(2, SPAN) for d1 in range(1, d2)]
+NORM = (WIDTH * sum(w * w for *_, w in PATTERNS)) ** 0.5
+#: Between sentences, so that no window reaches into the next one.
+END = "\0" * WIDTH
+_ends = re.compile(r"[.!?]+\s+|\n+|[.!?]+$")
+_marks = re.compile(r"[^\w\s\0]|_")
+_spaced = re.compile(r"(?<!\S)(?:\S[^\S\0]){2,}\S(?!\S)")
+
+
+def plain(text: str | None) -> str:
+    """The sentences of a text, ends padded: lower-cased, marks inside words removed, letters set apart by spaces joined, single spaces."""
+    flat = _marks.sub("", _ends.sub("\0", (text or "").replace("\0", " ").lower()))
+    flat = _spaced.sub(lambda m: "".join(m.group().split()), flat)
+    return "".join(f" {' '.join(s.split())} {END}" for s in flat.split("\0") if s.strip())
+
+
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
+
+
+def hashed(chars: np.ndarray, d1: int, d2: int) -> np.ndarray:
+    """Hashes of the subsequences at offsets 0, d1, d2 of each place (last axis) but the last SPAN - 1."""
+    n = chars.shape[-1] - SPAN + 1
+    h = (chars[..., :n] * np.uint32(0x9E3779B1) ^ chars[..., d1 : n + d1]) * np.uint32(0x85EBCA77)
+    h ^= h >> np.uint32(15)
+    h = (h ^ chars[..., d2 : n + d2]) * np.uint32(0xC2B2AE3D)
+    h ^= h >> np.uint32(13)
+    return (h * np.uint32(0x27D4EB2F)) >> np.uint32(32 - TABLE_BITS)
+
+
+def margins(chars: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Sum of each window's subsequence weights; a window is named by its first character."""
+    out = np.empty(max(len(chars) - SPAN + 1, 0))
+    for lo in range(0, len(out), SLICE):
+        part = chars[lo : lo + SLICE + WIDTH + SPAN - 2]
+        v = np.zeros(len(part) - SPAN + 1, np.float32)
+        for d1, d2, w in PATTERNS:
+            v += table[hashed(part, d1, d2)] * np.float32(w)
+        v[part[: len(v)] == 0] = 0
+        total = np.concatenate([[0.0], np.cumsum(v, dtype=np.float64)])
+        n = min(SLICE, len(out) - lo)
+        out[lo : lo + n] = total[np.minimum(np.arange(n) + WIDTH, len(v))] - total[:n]
+    return out / NORM
+
+
+def kernel(some: list[str], landmarks: list[str]) -> np.ndarray:
+    """Kernel of windows (strings of at most WIDTH + SPAN - 1 characters) with landmark windows."""
 
     def entries(ws: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        parts = [(*np.nonzero(ok), h, w) for h, ok, w in subsequences(ws)]
-        row = np.concatenate([r for r, *_ in parts])
+        chars = codes("".join(w.ljust(WIDTH + SPAN - 1, "\0") for w in ws)).reshape(len(ws), -1)
+        row, col = np.nonzero(chars[:, :WIDTH])
+        hs = np.concatenate([hashed(chars, d1, d2)[row, col] for d1, d2, _ in PATTERNS])
+        weight = np.repeat(np.array([w / NORM**0.5 for *_, w in PATTERNS], np.float32), len(row))
+        row = np.tile(row, len(PATTERNS))
         order = np.argsort(row, kind="stable")
-        scale = 1 / norms(ws)
-        weight = np.concatenate([np.full(len(r), w, np.float32) for r, _, _, w in parts])[order]
-        row = row[order]
-        return row, np.concatenate([h[r, c] for r, c, h, _ in parts])[order], weight * scale[row].astype(np.float32)
+        return row[order], hs[order], weight[order]
 
     row, h, w = entries(landmarks)
     known, col = np.unique(h, return_inverse=True)
     table = np.zeros((len(known) + 1, len(landmarks)), np.float32)  # the last row stands for subsequences of no landmark
     np.add.at(table, (col, row), w)
-    out = np.zeros((len(words), len(landmarks)))
-    for lo in range(0, len(words), 200):
-        row, h, w = entries(words[lo : lo + 200])
-        at = np.searchsorted(known, h)
-        at[known[np.minimum(at, len(known) - 1)] != h] = len(known)
-        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-        out[lo + row[first]] = np.add.reduceat(table[at] * w[:, None], first)
+    out = np.zeros((len(some), len(landmarks)))
+    for lo in range(0, len(some), 200):
+        row, h, w = entries(some[lo : lo + 200])
+        if len(row):
+            at = np.searchsorted(known, h)
+            at[known[np.minimum(at, len(known) - 1)] != h] = len(known)
+            first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            out[lo + row[first]] = np.add.reduceat(table[at] * w[:, None], first)
     return out
 
 
-def folded(words: list[str], weights: np.ndarray) -> np.ndarray:
-    """One table of subsequence weights for a weighted sum of words."""
-    table, scale = np.zeros(1 << TABLE_BITS), weights / norms(words) if words else weights
-    for h, ok, w in subsequences(words) if words else ():
-        np.add.at(table, h, ok * w * scale[:, None])
+def folded(landmarks: list[str], weights: np.ndarray) -> np.ndarray:
+    """One table of subsequence weights for a weighted sum of landmarks."""
+    table = np.zeros(1 << TABLE_BITS)
+    chars = codes("".join(w.ljust(WIDTH + SPAN - 1, "\0") for w in landmarks)).reshape(len(landmarks), -1)
+    row, col = np.nonzero(chars[:, :WIDTH])
+    for d1, d2, w in PATTERNS:
+        np.add.at(table, hashed(chars, d1, d2)[row, col], w * weights[row])
     return table.astype(np.float32)
 
 
@@ -124,51 +128,35 @@ class Model:
     slope: float = 1.0
     offset: float = 0.0
 
-    def margins(self, words: list[str]) -> np.ndarray:
-        parts = [windows(w) for w in words]
-        flat = against([p for ps in parts for p in ps], self.table)
-        return np.maximum.reduceat(flat, np.cumsum([0, *map(len, parts)])[:-1]) + self.bias if words else np.zeros(0)
-
-
-class Scorer:
-    """Margins of words, each looked up once per worker."""
-
-    def __init__(self, model: Model):
-        self.model, self.known = model, {}
-
-    def worst(self, bags: list[set[str]]) -> list[tuple[float, str]]:
-        """The largest margin in each bag and its word; ties go to the smaller word, an empty bag has margin -9."""
-        known = self.known
-        if len(known) > MEMO:
-            known.clear()
-        new = list(set().union(*bags).difference(known)) if bags else []
-        for lo in range(0, len(new), MEMO):
-            part = new[lo : lo + MEMO]
-            known.update(zip(part, self.model.margins(part).tolist()))
-        out = []
-        for bag in bags:
-            top = max(map(known.__getitem__, bag), default=-9.0)
-            out.append((top, min((w for w in bag if known[w] == top), default="")))
+    def worst(self, texts: list[str | None]) -> list[tuple[float, str]]:
+        """The largest margin of each text's windows and that window (the first of equal ones); without words LEAST and none."""
+        flat = [plain(t) for t in texts]
+        out, lo = [(LEAST, "")] * len(flat), 0
+        while lo < len(flat):
+            hi, size = lo, 0
+            while hi < len(flat) and (hi == lo or size + len(flat[hi]) <= 32 * SLICE):
+                size += len(flat[hi])
+                hi += 1
+            chars = codes("".join(flat[lo:hi]))
+            m = margins(np.concatenate([chars, np.zeros(SPAN - 1, np.uint32)]), self.table)
+            m[chars == 0] = -np.inf  # a window starts in its own sentence
+            ends = np.cumsum([len(t) for t in flat[lo:hi]])
+            for k, (a, b) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends)):
+                if b > a:
+                    top = int(np.argmax(m[a:b]))
+                    out[lo + k] = (float(m[a + top] + self.bias), flat[lo + k][top : top + WIDTH + SPAN - 1])
+            lo = hi
         return out
 
 
-def _worst(docs: DataFrame, model: Model, text: str, sentences: bool) -> DataFrame:
-    """docs with ``margin_`` and, if asked for, the words of its worst sentence in ``worst_``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _worst(docs: DataFrame, model: Model, text: str, fields: str) -> DataFrame:
+    """docs with the margin, and the window if fields has two, of each text's worst window."""
+    shared, n = docs.sparkSession.sparkContext.broadcast(model), fields.count(",") + 1
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(shared.value)
-        for pdf in batches:
-            texts, tops = pdf[text].tolist(), []
-            for lo in range(0, len(texts), 500):
-                tops += scorer.worst([units(t) for t in texts[lo : lo + 500]])
-            pdf = pdf.assign(margin_=[m for m, _ in tops])
-            if sentences:
-                pdf["worst_"] = [next((list(u) for s in _ends.split(t or "") if w in (u := units(s))), [w]) for t, (_, w) in zip(texts, tops)]
-            yield pdf
+    def make(texts: list[str | None]) -> list:
+        return [list(x) for x in zip(*shared.value.worst(texts))][:n] if texts else [[]] * n
 
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInPandas(run, f"{own}, margin_ double" + ", worst_ array<string>" * sentences)
+    return mapped(docs, [text], fields, make)
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 30) -> np.ndarray:
@@ -190,19 +178,19 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 30) -> np.
     return w
 
 
-def _train(landmarks: list[str], words: list[str], y: np.ndarray, cost: float = 4.0) -> Model:
+def _train(landmarks: list[str], some: list[str], y: np.ndarray, cost: float = 8.0) -> Model:
     k_ll = kernel(landmarks, landmarks)
     values, vectors = np.linalg.eigh((k_ll + k_ll.T) / 2)
     good = values > 1e-6 * values.max()
     to_map = vectors[:, good] / np.sqrt(values[good])
     share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)) * len(y)
-    w = _svm(kernel(words, landmarks) @ to_map, y, cost * share)
+    w = _svm(kernel(some, landmarks) @ to_map, y, cost * share)
     return Model(folded(landmarks, to_map @ w[:-1]), float(w[-1]))
 
 
 def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     a, b = 2.0, 0.0
-    margin = np.clip(margin, -9, 9)
+    margin = np.clip(margin, LEAST, -LEAST)
     t = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
     for _ in range(50):
         p = 1 / (1 + np.exp(-(a * margin + b)))
@@ -213,57 +201,77 @@ def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 0.0)), float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", rounds: int = 2, per_class: int = PER_CLASS) -> Model:
-    """Learn from at most per_class labelled rows of each class (see labelled()).
+def _telling(train: DataFrame) -> list[str]:
+    """Words that stand in toxic texts far more often than others do, at most WINDOWS of them.
 
-    The driver gets the bounded number of words and worst sentences named above. Without labels of both classes every text gets the prior.
+    A word counts once for each different word before it, so that copies of a text count like one text.
     """
-    train, sizes = labelled(docs, labels, label, per_class, key, text)
-    if len(sizes) < 2:
-        share = (sizes.get(1, 0) + 1) / (sum(sizes.values()) + 2)
-        return Model(np.zeros(1 << TABLE_BITS, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
-
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = {(p, b, y) for t, y in zip(pdf["t"], pdf["y"]) for ws in [words_of(t)] for b, a in zip(["", *ws], ws) for p in windows(a)}
-            w, before, label_ = zip(*found) if found else ((), (), ())
-            yield pd.DataFrame({"w": list(w), "b": list(before), "y": np.array(label_, np.int32)}, columns=["w", "b", "y"])
-
-    # A word is counted once for each different word before it, so that copies of a text count like one text.
-    seen = train.mapInPandas(pairs, "w string, b string, y int").distinct().groupBy("w").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
-    seen = durable(seen.where("n > 1 or pmod(xxhash64(w), 16) = 0"))
-    total = seen.agg(F.sum("p"), F.sum("n")).first()
-    rate = min(0.5, max(1e-3, (total[0] or 0) / max(total[1] or 0, 1)))
-    # How far a word's share of toxic contexts lies above the mean, in standard deviations.
-    seen = seen.withColumn("z", (F.col("p") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate) + 1))
-    bad = [r.w for r in seen.where("z > 3 and p >= 4 and 10 * p >= 9 * n").orderBy(F.desc("z"), "w").limit(WORDS).collect()]
-    common = [r.w for r in seen.where("z < 1").orderBy(F.desc("n"), "w").limit(WORDS // 2).collect()]
-    rare = [r.w for r in seen.where("p = 0").orderBy(F.xxhash64("w"), "w").limit(WORDS // 2).collect()]
-    good = list(dict.fromkeys([*common, *rare]))
-    bad = bad or [r.w for r in seen.orderBy(F.desc("z"), "w").limit(1).collect()] or ["?"]
-    good = [w for w in good if w not in set(bad)] or ["."]
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = {(w, before, y) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for ws in [plain(t).replace("\0", "").split()] for before, w in zip(["", *ws], ws)}
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int32()))], names=["w", "b", "y"])
+
+    seen = train.select("t", "y").mapInArrow(pairs, "w string, b string, y int").distinct().groupBy("w").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
+    seen = durable(seen.where("p > 0"))
+    rates = train.agg(F.avg("y")).first()[0] or 0.0
+    rate = min(0.5, max(1e-3, rates))
+    z = (F.col("p") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate) + 1)
+    scored = seen.withColumn("z", z)
+    bad = [r.w for r in scored.where("z > 3 and p >= 4 and 10 * p >= 9 * n").orderBy(F.desc("z"), "w").limit(WINDOWS).collect()]
+    return bad or [r.w for r in scored.orderBy(F.desc("z"), "w").limit(1).collect()]
+
+
+def _labelled_windows(train: DataFrame, bad: list[str]) -> tuple[list[str], list[str]]:
+    """Windows around telling words in toxic texts' sentences, and one window of each clean text, each at most WINDOWS, by hash."""
+    shared = train.sparkSession.sparkContext.broadcast(frozenset(bad))
+
+    def make(texts: list[str], ys: list[int]) -> list:
+        out = []
+        for t, y in zip(texts, ys):
+            flat = plain(t)
+            if y:
+                at = {w: m.start() for m in re.finditer(r"[^\s\0]+", flat) if (w := m.group()) in shared.value}
+                out.append([flat[max(i - 1, 0) : max(i - 1, 0) + WIDTH + SPAN - 1] for i in at.values()])
+            else:
+                starts = [m.start() for m in re.finditer(" (?! |\0)", flat)]
+                out.append([flat[i : i + WIDTH + SPAN - 1] for i in starts[len(starts) // 2 :][:1]])
+        return [out]
+
+    rows = mapped(train, ["t", "y"], "w array<string>", make).select("y", F.explode("w").alias("w")).distinct()
+    pick = lambda y: [r.w for r in rows.where(F.col("y") == y).orderBy(F.xxhash64("w"), "w").limit(WINDOWS).collect()]
+    return pick(1), pick(0)
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", rounds: int = 3, per_class: int = PER_CLASS) -> Model:
+    """Learn from at most per_class labelled rows of each class (see labelled()), all of which every round looks at.
+
+    The driver gets a bounded number of words and windows. Without labels of both classes every text gets the prior.
+    """
+    sample, sizes = labelled(docs, labels, label, per_class, key, text)
+    prior = lambda: (sizes.get(1, 0) + 1) / (sum(sizes.values()) + 2)
+    train = durable(sample) if len(sizes) > 1 else None
+    if train is None or train.select("y").distinct().count() < 2:
+        return Model(np.zeros(1 << TABLE_BITS, np.float32), 0.0, 0.0, float(np.log(prior() / (1 - prior()))))
+    bad = _telling(train)
+    telling = frozenset(bad)
+    pos, neg = (set(x) for x in _labelled_windows(train, bad))
+    hard: list[str] = []
     half = LANDMARKS // 2
-    picked = train.where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < int(1e6 * min(1.0, TEXTS / sum(sizes.values()))))
-    pos, neg, hard, model = set(bad), set(good), [], None
-    for _ in range(rounds + 1):
-        words = sorted(pos) + sorted(neg - pos)
-        clean = [*hard[: half // 2], *good[:: max(1, len(good) // half)]]
-        landmarks = list(dict.fromkeys([*bad[:: max(1, len(bad) // half)][:half], *clean[:half]]))
-        model = _train(landmarks, words, np.array([1.0] * len(pos) + [-1.0] * len(neg - pos)))
-        rows = _worst(picked, model, "t", sentences=True).select("y", "margin_", "worst_").limit(2 * TEXTS).collect()
-        scorer, near = Scorer(model), {}
-        for (margin, w), r in zip(scorer.worst([set(r.worst_) for r in rows]), rows):
-            if not r.y:  # every word of a clean text is an example; those next to the boundary teach most
-                near.update({x: scorer.known[x] for x in r.worst_ if scorer.known[x] > -0.9})
-            elif margin > 0 and not pos.intersection(r.worst_):
-                pos.update(windows(w))
-        clean_words = {p for x in near for p in windows(x)}
-        hard = sorted(near, key=lambda x: (-near[x], x))
-        hard = [p for x in hard for p in windows(x)]
-        neg |= clean_words
-        pos = (pos - clean_words) | (set(bad) - clean_words) or set(bad)
-    rows = _worst(picked, model, "t", sentences=False).select("y", "margin_").limit(2 * TEXTS).collect()
-    model.slope, model.offset = _platt(np.array([r.margin_ for r in rows]), np.array([r.y for r in rows], float))
+    for k in range(rounds + 1):
+        some = sorted(pos) + sorted(neg - pos)
+        clean = [*hard[: half // 2], *sorted(neg)[:: max(1, len(neg) // half)]][:half]
+        landmarks = list(dict.fromkeys([*sorted(pos)[:: max(1, len(pos) // half)][:half], *clean])) or [" "]
+        model = _train(landmarks, some, np.array([1.0] * len(pos) + [-1.0] * len(neg - pos))) if some else Model(np.zeros(1 << TABLE_BITS, np.float32), 0.0)
+        rows = _worst(train.select("y", "t"), model, "t", "margin double, w string").select("y", "margin", "w").collect()
+        if k == rounds:
+            break
+        # A clean text's worst window teaches unless it holds a telling word, which speaks of a wrong label.
+        near = {r.w: r.margin for r in rows if not r.y and r.margin > -1 and not telling.intersection(r.w.replace("\0", "").split())}
+        hard = sorted(near, key=lambda w: (-near[w], w))[:WINDOWS]
+        neg |= set(hard)
+        pos -= neg
+    model.slope, model.offset = _platt(np.array([r.margin for r in rows]), np.array([r.y for r in rows], float))
     return model
 
 
@@ -273,9 +281,10 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     Null, empty and wordless texts get the least score; rows stay one for one. A column of
     docs that is named as the score comes out with ``_in`` appended.
     """
-    docs = docs.withColumnsRenamed({c: f"{c}_in" for c in docs.columns if c in (out, "margin_")})
-    z = F.lit(model.slope) * F.least(F.greatest("margin_", F.lit(-9.0)), F.lit(9.0)) + F.lit(model.offset)
-    return _worst(docs, model, text, sentences=False).withColumn(out, 1 / (1 + F.exp(-z))).drop("margin_")
+    clash = {c: f"{c}_in" for c in docs.columns if c.lower() in (out.lower(), "margin_")}
+    docs, text = docs.withColumnsRenamed(clash), clash.get(text, text)
+    z = F.lit(model.slope) * F.least(F.greatest("margin_", F.lit(LEAST)), F.lit(-LEAST)) + F.lit(model.offset)
+    return _worst(docs, model, text, "margin_ double").withColumn(out, 1 / (1 + F.exp(-z))).drop("margin_")
 
 
 def digest(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:

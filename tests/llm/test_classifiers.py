@@ -47,12 +47,50 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), toxicity.fit(docs, labels)).count() == 0
 
 
+def brute_kernel(a, b):
+    """Sum over common subsequences of three characters, word for word."""
+
+    def vector(w):
+        out = {}
+        w = w.ljust(toxicity.WIDTH + toxicity.SPAN - 1, "\0")
+        for i in range(toxicity.WIDTH):
+            for x in range(i + 1, i + toxicity.SPAN - 1):
+                for y in range(x + 1, i + toxicity.SPAN):
+                    if w[i] != "\0":
+                        k = (w[i], w[x], w[y])
+                        out[k] = out.get(k, 0) + toxicity.DECAY ** (y - i - 2)
+        return out
+
+    va, vb = vector(a), vector(b)
+    return sum(v * vb.get(k, 0) for k, v in va.items()) / toxicity.NORM
+
+
 def test_kernel_folds():
-    a, b = ["stupid", "lowei", "x", "worthless"], ["stuupid", "tupi", "thing", ""]
+    a, b = [" stupid of th", " a lowei", " x ", "worthless and th"], [" stuupid of the", "tupi", " thing in it", " s tupid man", ""]
     k = toxicity.kernel(b, a)
+    assert np.allclose(k, [[brute_kernel(x, y) for y in a] for x in b], atol=1e-4)
     for j, w in enumerate(a):
-        assert np.allclose(toxicity.against(b, toxicity.folded([w], np.ones(1))), k[:, j], atol=1e-5)
-    assert k[0, 0] > 0.5 > k[2, 0]
+        table = toxicity.folded([w], np.ones(1))
+        for i, x in enumerate(b):
+            m = toxicity.margins(toxicity.codes(x.ljust(toxicity.WIDTH + toxicity.SPAN - 1, "\0")), table)
+            assert abs((m[0] if len(m) else 0) - k[i, j]) < 1e-4
+    assert k[0, 0] > 2 * k[2, 0] and k[3, 0] > 2 * k[2, 0]  # a gap inside a word costs little, across a border too
+
+
+def test_worst_window_of_long_and_short_texts(monkeypatch):
+    monkeypatch.setattr(toxicity, "SLICE", 64)
+    model = toxicity.Model(toxicity.folded([" stupid of th"], np.ones(1)), 0.5)
+    clean = "thing and other. " * 40
+    got = model.worst([None, "", "...", clean, clean + "you stupid of them. " + clean, "stupid"])
+    assert [m for m, _ in got[:3]] == [toxicity.LEAST] * 3
+    assert got[4][0] > got[3][0] and "stupid" in got[4][1] and got[5][0] > got[3][0]
+
+
+def test_fit_looks_at_the_whole_sample_whatever_the_labels_are(spark):
+    docs, labels = corpus(spark, toxic=True)
+    more = labels.unionByName(spark.range(10_000, 610_000).selectExpr("id as doc_id", "1 as quality", "cast(id % 4 = 0 as int) as toxic"))
+    got, want = toxicity.fit(docs, more, per_class=10**7), toxicity.fit(docs, labels)
+    assert np.array_equal(got.table, want.table) and (got.bias, got.slope, got.offset) == (want.bias, want.slope, want.offset)
 
 
 def test_quality(spark):
