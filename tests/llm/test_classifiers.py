@@ -65,10 +65,12 @@ def brute_kernel(a, b):
     return sum(v * vb.get(k, 0) for k, v in va.items()) / toxicity.NORM
 
 
-def test_kernel_folds():
+def test_kernel_folds(monkeypatch):
     a, b = [" stupid of th", " a lowei", " x ", "worthless and th"], [" stuupid of the", "tupi", " thing in it", " s tupid man", ""]
     k = toxicity.kernel(b, a)
-    assert np.allclose(k, [[brute_kernel(x, y) for y in a] for x in b], atol=1e-4)
+    with monkeypatch.context() as m:
+        m.setattr(toxicity, "TABLE_BITS", 32)  # without the table's rare collisions
+        assert np.allclose(toxicity.kernel(b, a), [[brute_kernel(x, y) for y in a] for x in b], atol=1e-4)
     for j, w in enumerate(a):
         table = toxicity.folded([w], np.ones(1))
         for i, x in enumerate(b):
