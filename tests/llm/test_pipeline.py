@@ -83,3 +83,23 @@ def test_dedup_stage_keeps_one_row_of_each_group(spark):
     df = spark.createDataFrame([(i, t, "en", "s", n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted(((r.doc_id or 0, (r.text or "").strip()) for r in P.keep_first_copies(spark, df, SF).collect()))
     assert got == sorted([(1, a), (5, b), (0, c), (7, d), (0, "up down left right"), (0, "")])
+
+
+def test_columns_that_clash_stay_as_they_are(spark):
+    rows = [(n, f"alpha beta {'gamma ' * n} token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\"", "en", "s", 5, "mine", n, "own") for n in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_words string, first_ long, score string")
+    df = df.selectExpr("*", "'a' as quality_score", "'b' as hit_words", "'c' as secrets", "'d' as sure_", "'e' as fp", "'f' as h1_", "'g' as Score_In", "'h' as rest_", "'i' as seen_")
+    for step in (P.keep_good, P.keep_first_copies, P.drop_contaminated, P.redact_secrets):
+        out = step(spark, df, SF)
+        assert out.columns == df.columns
+        for r in out.collect():
+            assert (r.n_words, r.first_, r.score, r.quality_score, r.hit_words, r.secrets, r.sure_, r.fp, r.h1_, r.Score_In, r.rest_, r.seen_) == ("mine", r.doc_id, "own", *"abcdefghi")
+    assert P.redact_secrets(spark, df, SF).where("text like '%<secret>%' and n_chars = length(text)").count() == 30
+
+
+def test_dedup_stage_where_too_many_rows_go_to_name_them(spark, monkeypatch):
+    monkeypatch.setattr(P, "NAMED", 0)
+    test_dedup_stage_keeps_one_row_of_each_group(spark)
+    rows = [(1, "a b c", None, "x", 1), (1, "a b c", "x", None, 1), (1, "a b c", None, "x", 1), (2, "q r s t", None, "x", 1), (2, "q r s t", None, "x", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in P.keep_first_copies(spark, df, SF).collect()) == [1, 2]
