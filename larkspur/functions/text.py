@@ -59,11 +59,23 @@ def clean_message(c: Column) -> Column:
     return collapse_blank_lines(F.regexp_replace(text, r"(?m)^\s*(?:#{1,6}\s+|[-*•]\s+|\d+\.\s+)", ""))
 
 
+# Where a reply ends and what it quotes begins, in the order in which they are tried.
+QUOTES = [
+    r"(?i)\bOn\b[^\n]*?\bwrote\s*:\s*(?:\n|$)?",
+    r"(?i)\n\s*[-_]{3,}\s*\n?\s*(Original Message|Reply Message)\s*[-_]{3,}",
+    r"\n\s*[-_]{4,}\s*\n",
+    r"(?i)\n\s*(From|To|Sent|Cc|Bcc|Subject|Date|Reply-To|Return-Path|Message-ID|MIME-Version|Content-Type|Delivered-To):\s*\S",
+    r"\n\s*>",
+]
+
+
 def strip_quotes(c: Column) -> Column:
-    """A reply without what it quotes: cut at the first pattern, in this order, that occurs; else the first 2000 characters."""
-    cuts = [r"\nOn [^\n]{0,200}wrote:", r"\n-{2,}\s*Original Message\s*-{2,}", r"\nFrom: ", r"\n_{10,}", r"\n>"]
-    pieces = [F.when(c.rlike(p), F.element_at(F.split(c, p, 2), 1)) for p in cuts]
-    body = F.trim(F.coalesce(*pieces, c))
+    """A reply as text without what it quotes: up to a blockquote, then up to the first of QUOTES that occurs; if nothing is left, its first 2000 characters."""
+    text = F.element_at(F.split(c, "(?i)<blockquote", 2), 1)
+    text = F.regexp_replace(F.regexp_replace(text, r"(?i)<br\s*/?>", "\n"), r"(?i)</p\s*>", "\n")
+    text = unescape_common(F.regexp_replace(text, "<[^>]+>", ""))
+    pieces = [F.when(text.rlike(p), F.element_at(F.split(text, p, 2), 1)) for p in QUOTES]
+    body = collapse_blank_lines(F.coalesce(*pieces, text))
     return F.when(body != "", body).otherwise(F.left(c, F.lit(2000)))
 
 

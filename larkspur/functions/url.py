@@ -15,19 +15,20 @@ SOCIAL = {
     "tiktok": r"https?://(?:www\.)?tiktok\.com/@[^\s\"'<>]+",
     "whatsapp": r"https?://(?:www\.)?(?:wa\.me|api\.whatsapp\.com)/[^\s\"'<>]+",
 }
-CONTACT_HINT = "contact|about|team|reach|support|impressum"
-CONTACT_PATHS = ["/contact", "/contact-us", "/about", "/about-us", "/team"]
+CONTACT_HINT = r"contact|get\s*[-_]?in\s*touch|getintouch|reach\s*us|connect\s*with|about\s*us|say\s*hello|تواصل"
+CONTACT_PATHS = ["/contact", "/contact-us", "/contact.html", "/about", "/about-us"]
+CHALLENGES = ["captcha", "recaptcha", "not a robot", "unusual traffic", "access denied", "verify you are human"]
 ANCHOR = r"(?is)<a\s[^>]*?href=[\"']([^\"'#][^\"']*)[\"'][^>]*>(.*?)</a>"
 
 
 def normalize_website(c: Column) -> Column:
-    """https, lower-cased host without www., path without trailing slash; no query, no fragment; null if there is no host."""
+    """https, lower-cased host without www., path without trailing slashes (a bare / stays); no query, no fragment; null if there is no host."""
     raw = F.trim(c)
-    full = F.when(raw.rlike("(?i)^https?://"), raw).otherwise(F.concat(F.lit("https://"), raw))
-    scheme = F.lower(F.regexp_extract(full, "^([A-Za-z]+)://", 1))
-    host = F.regexp_replace(F.lower(F.regexp_extract(full, "^[A-Za-z]+://([^/?#]+)", 1)), r"^www\.", "")
-    path = F.regexp_replace(F.regexp_extract(full, "^[A-Za-z]+://[^/?#]+([^?#]*)", 1), "/+$", "")
-    return F.when((raw != "") & (host != ""), F.concat(scheme, F.lit("://"), host, path))
+    full = F.when(raw.rlike("^https?://"), raw).otherwise(F.concat(F.lit("https://"), raw))
+    host = F.regexp_replace(F.lower(F.regexp_extract(full, "^[a-z]+://([^/?#]*)", 1)), r"^www\.", "")
+    path = F.regexp_replace(F.regexp_extract(full, "^[a-z]+://[^/?#]*([^?#]*)", 1), ";[^/]*$", "")
+    path = F.when(path == "/", path).otherwise(F.regexp_replace(path, "/+$", ""))
+    return F.when((raw != "") & (host != ""), F.concat(F.lit("https://"), host, path))
 
 
 def website_key(c: Column) -> Column:
@@ -40,14 +41,26 @@ def anchors(html: Column) -> Column:
     return F.transform(pairs, lambda p: F.struct(p["href"].alias("href"), F.trim(F.regexp_replace(p["text"], "<[^>]+>", "")).alias("text")))
 
 
+def joined(page: Column, href: Column) -> Column:
+    """The address that a page's link leads to: absolute ones stay, ./ and ../ are resolved."""
+    origin = F.regexp_extract(page, "^([A-Za-z]+://[^/?#]+)", 1)
+    here = F.regexp_replace(F.regexp_replace(page, "[?#].*$", ""), "(?<![:/])/[^/]*$", "")
+    path = F.when(href.startswith("/"), href).otherwise(F.concat(F.substring(here, F.length(origin) + 1, F.length(here)), F.lit("/"), href))
+    path = F.regexp_replace(path, r"/(?:\./)+", "/")
+    for _ in range(4):
+        path = F.regexp_replace(path, r"/(?!\.\./)[^/?#]+/\.\./", "/")
+    path = F.regexp_replace(path, r"^(?:/\.\.)+/", "/")
+    return F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(F.regexp_extract(page, "^([A-Za-z]+:)", 1), href)).otherwise(F.concat(origin, path))
+
+
 def contact_pages(url: Column, html: Column, most: int = 8) -> Column:
-    """Usual contact paths first, then links of the page on the same host that look like one."""
-    origin = F.regexp_extract(url, "^([A-Za-z]+://[^/?#]+)", 1)
-    here = F.regexp_replace(url, "[^/]*$", "")
-    wanted = F.filter(anchors(html), lambda a: a["href"].rlike(f"(?i){CONTACT_HINT}") | a["text"].rlike(f"(?i){CONTACT_HINT}"))
-    full = F.transform(wanted, lambda a: F.when(a["href"].rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), a["href"]).when(a["href"].startswith("//"), F.concat(F.lit("https:"), a["href"])).when(a["href"].startswith("/"), F.concat(origin, a["href"])).otherwise(F.concat(here, a["href"])))
-    same = F.filter(full, lambda u: (u == origin) | u.startswith(F.concat(origin, F.lit("/"))))
-    return F.slice(F.array_distinct(F.concat(F.transform(F.array(*map(F.lit, CONTACT_PATHS)), lambda p: F.concat(origin, p)), same)), 1, most)
+    """Usual contact paths first, then links of the page to the same host (www. aside) whose address or text looks like one."""
+    bare = lambda u: F.regexp_replace(F.lower(F.regexp_extract(u, "^[A-Za-z]+://([^/?#]*)", 1)), r"^www\.", "")
+    wanted = F.filter(anchors(html), lambda a: F.concat_ws(" ", a["href"], a["text"]).rlike(f"(?i){CONTACT_HINT}"))
+    found = F.filter(F.transform(wanted, lambda a: joined(url, a["href"])), lambda u: u.rlike("^https?://") & (bare(u) == bare(url)))
+    usual = F.transform(F.array(*map(F.lit, CONTACT_PATHS)), lambda p: joined(url, p))
+    plain = F.transform(F.concat(usual, found), lambda u: F.regexp_replace(F.regexp_replace(u, "[?#].*$", ""), "/+$", ""))
+    return F.slice(F.array_distinct(plain), 1, most)
 
 
 def social_links(text: Column) -> Column:
@@ -73,4 +86,4 @@ def blocked_host(host: Column, domains: list[str], markers: list[str] = ()) -> C
 
 def challenge_page(status: Column, body: Column) -> Column:
     """A page that keeps robots out instead of showing its content."""
-    return status.isin(403, 429) | F.lower(body).rlike("captcha|access denied|unusual traffic|cf-chl|are you a robot|attention required")
+    return status.isin(403, 429) | F.lower(body).rlike("|".join(CHALLENGES))

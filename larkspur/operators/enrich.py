@@ -46,7 +46,8 @@ def apply_to_leads(leads: DataFrame, patch: DataFrame, key: str = "lead_id") ->
 
 def score_status(leads: DataFrame, scores: DataFrame, key: str = "lead_id", good: int = 70) -> DataFrame:
     """leads with score between 0 and 100 and the status that follows from it; without a score they stay as they are."""
-    s = scores.select(key, F.least(F.greatest("score", F.lit(0)), F.lit(100)).cast("int").alias("new_score"))
+    bounded = F.when(F.col("score").isNotNull(), F.least(F.greatest("score", F.lit(0)), F.lit(100)))
+    s = scores.select(key, bounded.cast("int").alias("new_score"))
     df = leads.join(s, key, "left")
     status = F.when(F.col("new_score").isNull(), F.col("status")).when(F.col("new_score") >= good, "Qualified").otherwise("New")
     return df.withColumns({"status": status, "score": F.coalesce("new_score", "score")}).drop("new_score")

@@ -29,10 +29,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from larkspur.plans import records  # noqa: F401 - registers its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from larkspur.plans import records  # noqa: F401
+
     return dict(SQL)
 
 
@@ -73,8 +77,8 @@ def status_breakdown_zero_filled(spark, d):
 select concat('plan_', plan) as plan, n, leads from s, e""")
 def platform_dashboard(spark, d):
     plans = t(spark, d, "nation").groupBy("n_regionkey").agg(F.count("*").alias("n"))
-    total = t(spark, d, "customer").agg(F.count("*").alias("leads"))
-    return plans.join(F.broadcast(total)).select(F.concat(F.lit("plan_"), F.col("n_regionkey").cast("string")).alias("plan"), "n", "leads")
+    total = t(spark, d, "customer").agg(F.count("*").alias("leads"))  # one row
+    return plans.join(F.broadcast(total), F.lit(True)).select(F.concat(F.lit("plan_"), F.col("n_regionkey").cast("string")).alias("plan"), "n", "leads")
 
 
 @query("""with r as (select event_type as source, event_id % 3 <> 0 and event_type <> 'error' as ok, row_number() over (partition by event_type order by ts desc, event_id desc) as rn from events)
@@ -106,7 +110,7 @@ def job_terminal_status(spark, d):
 
 
 @query(f"""with {LEADS_SQL} select lead_id, name, email, address from leads
-where lower(name) like '%gulshan 1%' or lower(email) like '%gulshan 1%' or lower(phone) like '%gulshan 1%' or lower(website) like '%gulshan 1%' or lower(address) like '%1 gulshan%' order by lead_id desc limit 25 offset 25""")
+where concat_ws(chr(10), name, email, phone, website, address) ilike '%1 gulshan%' order by lead_id desc limit 25 offset 25""")
 def lead_search_page(spark, d):
     found = analytics.search_page(leads(spark, d), "1 gulshan", ["name", "email", "phone", "website", "address"], [F.desc("lead_id")], page=2)
     return found.select("lead_id", "name", "email", "address")
@@ -164,8 +168,10 @@ def team_listing(spark, d):
 def feature_flag_effective(spark, d):
     over = t(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg((F.max("s_acctbal") > 9000).alias("own"))
     both = t(spark, d, "nation").join(over, "n_nationkey", "left")
-    flags = F.broadcast(t(spark, d, "region"))  # the catalogue of flags
-    return both.join(flags, F.lit(True)).select(F.col("n_nationkey").alias("workspace_id"), F.col("r_name").alias("flag"), F.coalesce("own", F.col("r_regionkey") % 2 == 0, F.lit(False)).alias("enabled"))
+    # All flags ride along as one array: they are a list that an administrator keeps, and each workspace has every one.
+    flags = t(spark, d, "region").agg(F.collect_list(F.struct("r_name", "r_regionkey")).alias("flags"))
+    every = both.join(F.broadcast(flags), F.lit(True)).select("*", F.explode("flags").alias("f"))
+    return every.select(F.col("n_nationkey").alias("workspace_id"), F.col("f.r_name").alias("flag"), F.coalesce("own", F.col("f.r_regionkey") % 2 == 0, F.lit(False)).alias("enabled"))
 
 
 @query("""select s_suppkey as admin, case when s_suppkey % 10 = 0 then 5 else count(distinct l_shipmode) end as permissions from (select s_suppkey, l_returnflag as l_shipmode from supplier left join lineitem on l_suppkey = s_suppkey) group by 1""")
@@ -209,12 +215,11 @@ def hot_leads_semi(spark, d):
     return leads(spark, d).where("not unsubscribed").join(met, "lead_id", "left_semi").select("lead_id", "email")
 
 
-@query(f"""with {LEADS_SQL}, c as (select lead_id, lower(email) as email, phone from leads where lead_id % 2 = 0), w as (select * from leads where lead_id % 2 = 1 and workspace_id < 5)
+@query(f"""with {LEADS_SQL}, c as (select lead_id, lower(email) as email, phone from leads), w as (select * from leads where contacted)
 select lead_id, coalesce(email in (select lower(email) from w where email is not null), false) or coalesce(replace(phone, ' ', '') in (select replace(phone, ' ', '') from w where phone is not null), false) as already_in_workspace from c""")
 def already_in_workspace(spark, d):
     every = leads(spark, d)
-    known = every.where("lead_id % 2 = 1 and workspace_id < 5")
-    return upsert.mark_known(every.where("lead_id % 2 = 0").select("lead_id", "email", "phone"), known).select("lead_id", "already_in_workspace")
+    return upsert.mark_known(every.select("lead_id", "email", "phone"), every.where("contacted")).select("lead_id", "already_in_workspace")
 
 
 @query(f"""with {LEADS_SQL}, k as (select lead_id, lower(email) as m, replace(phone, ' ', '') as p from leads)
@@ -293,9 +298,11 @@ select slot from s where not exists (select 1 from b where slot < booked + to_mi
 def meeting_slots(spark, d):
     first, last = "timestamp_ntz '2024-01-15 09:00:00'", "timestamp_ntz '2024-01-15 16:30:00'"
     slots = spark.range(1).select(F.explode(F.expr(f"sequence({first}, {last}, interval 30 minutes)")).alias("slot"))
-    booked = t(spark, d, "nation").where("n_nationkey % 4 = 0").select(F.expr(f"{first} + make_dt_interval(0, 0, n_nationkey * 25)").alias("at")).distinct()
-    half = F.expr("interval 30 minutes")
-    return slots.join(booked, (F.col("slot") < F.col("at") + half) & (F.col("at") < F.col("slot") + half), "left_anti")
+    # A booking of half an hour touches the slot it starts in and, off the grid, the one after it: an equi join, whatever the number of bookings.
+    at = t(spark, d, "nation").where("n_nationkey % 4 = 0").select((F.col("n_nationkey") * 25).cast("long").alias("m"))
+    slot = F.floor(F.col("m") / 30).cast("long") * 30
+    taken = at.select(F.explode(F.when(F.col("m") % 30 == 0, F.array("m")).otherwise(F.array(slot, slot + 30))).alias("m")).distinct()
+    return slots.withColumn("m", F.expr(f"timestampdiff(MINUTE, {first}, slot)")).join(taken, "m", "left_anti").select("slot")
 
 
 _CITIES = "select n_nationkey as city, n_regionkey as country, cast(n_nationkey * 7 % 120 as double) - 60 as lat, cast(n_nationkey * 13 % 300 as double) - 150 as lon from nation"
@@ -330,18 +337,26 @@ def country_typeahead(spark, d):
 _MAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 
 
-@query(f"""with m as (select doc_id, list_distinct(list_transform(regexp_extract_all(text, '{_MAIL}'), lambda x: lower(x))) as e from documents)
-select doc_id, array_to_string(e, ',') as emails, len(e) as n from m where len(e) = 1""")
+_LISTED = f"""with r as (select doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '{_MAIL}'), lambda x: lower(x)) as l from documents),
+f as (select doc_id, list_filter(l, lambda x: not list_contains({email.BLOCKED_DOMAINS}, split_part(x, '@', 2)) and not list_contains({email.ASSET_ENDINGS}, regexp_extract(x, '[^.]*$'))) as l from r),
+m as (select doc_id, list_filter(l, lambda x, i: list_position(l, x) = i)[1:40] as e from f)"""
+
+
+@query(f"{_LISTED} select doc_id, array_to_string(e, ',') as emails, len(e) as n from m")
 def doc_emails(spark, d):
-    e = t(spark, d, "documents").select("doc_id", email.collect_emails(F.col("text")).alias("e"))
-    return e.where(F.size("e") == 1).select("doc_id", F.array_join("e", ",").alias("emails"), F.size("e").cast("long").alias("n"))
+    e = email.collect_emails(F.coalesce("text", F.lit("")))
+    return t(spark, d, "documents").select("doc_id", e.alias("e")).select("doc_id", F.array_join("e", ",").alias("emails"), F.size("e").cast("long").alias("n"))
+
 
+_DESK = f"""case when list_contains({email.DISPOSABLE}, split_part(e, '@', 2)) then -40 else 0 end + case when regexp_matches(split_part(e, '@', 1), '{email.PLACEHOLDER}') then -25 else 0 end
++ case when list_contains({email.SYSTEM_LOCALS}, split_part(e, '@', 1)) then -30 when list_contains({email.GOOD_LOCALS}, split_part(e, '@', 1)) then 10 else 0 end + case when e like '%.gov' or e like '%.edu' then -5 else 0 end"""
 
-@query(f"""with m as (select doc_id, list_distinct(list_transform(regexp_extract_all(text, '{_MAIL}'), lambda x: lower(x))) as e from documents where text like '%@%')
-select doc_id, e[1] as best from m where len(e) = 1""")
+
+@query(f"""{_LISTED}, x as (select doc_id, unnest(e) as e, generate_subscripts(e, 1) as i from m), s as (select *, row_number() over (partition by doc_id order by {_DESK} desc, i) as rn from x)
+select doc_id, e as best from s where rn = 1 and not (list_contains({email.DISPOSABLE}, split_part(e, '@', 2)) and regexp_matches(split_part(e, '@', 1), '{email.PLACEHOLDER}'))""")
 def doc_best_email(spark, d):
-    found = t(spark, d, "documents").where(F.contains("text", F.lit("@"))).select("doc_id", email.collect_emails(F.col("text")).alias("e"), email.best_email(F.col("text")).alias("best"))
-    return found.where(F.size("e") == 1).select("doc_id", "best")
+    found = t(spark, d, "documents").where(F.contains("text", F.lit("@"))).select("doc_id", email.best_email(F.col("text")).alias("best"))
+    return found.where("best is not null")
 
 
 @query()
@@ -353,7 +368,9 @@ def doc_all_emails(spark, d):
 
 @query()
 def doc_phones(spark, d):
-    return t(spark, d, "documents").select("doc_id", phone.collect_phones(F.col("text")).alias("p")).where(F.size("p") > 0).select("doc_id", F.array_join("p", "|").alias("phones"), phone.best_phone(F.concat(F.lit("call "), F.element_at("p", 1)), "US").alias("first"))
+    """Every document's numbers and the best of them."""
+    docs = t(spark, d, "documents").where(F.col("text").rlike("[0-9]"))
+    return docs.select("doc_id", phone.collect_phones(F.col("text")).alias("p"), phone.best_phone(F.col("text"), "US").alias("best")).where(F.size("p") > 0).select("doc_id", F.array_join("p", "|").alias("phones"), "best")
 
 
 @query(f"""with {LEADS_SQL}, p as (select lead_id, phone, regexp_replace(phone, '[^0-9]', '', 'g') as d from leads)
@@ -384,8 +401,9 @@ def page_contact_pages(spark, d):
     return t(spark, d, "pages").select("page_id", F.explode(url.contact_pages(F.col("url"), F.col("html"))).alias("page"))
 
 
-@query("""select page_id, regexp_extract(url, '^([a-z]+)://', 1) || '://' || regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)), '^www[.]', '') || regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/+$', '') as site,
-split_part(regexp_replace(lower(url), '^https?://(www[.])?', ''), '/', 1) as key from pages""")
+@query("""with u as (select page_id, url, case when regexp_matches(trim(url), '^https?://') then trim(url) else 'https://' || trim(url) end as f from pages),
+p as (select *, regexp_replace(lower(regexp_extract(f, '^[a-z]+://([^/?#]*)', 1)), '^www[.]', '') as host, regexp_replace(regexp_extract(f, '^[a-z]+://[^/?#]*([^?#]*)', 1), ';[^/]*$', '') as path from u)
+select page_id, case when host <> '' then 'https://' || host || case when path = '/' then path else rtrim(path, '/') end end as site, split_part(regexp_replace(lower(url), '^https?://(www[.])?', ''), '/', 1) as key from p""")
 def url_normalise(spark, d):
     return t(spark, d, "pages").select("page_id", url.normalize_website(F.col("url")).alias("site"), url.website_key(F.col("url")).alias("key"))
 
@@ -408,9 +426,9 @@ def name_keys(spark, d):
     return t(spark, d, "supplier").select("s_suppkey", text.normalize_name(n).alias("key"), text.slug(n).alias("slug"), text.masked(n).alias("masked"))
 
 
-@query(r"""select doc_id, trim(regexp_replace(regexp_replace(left(html, 400), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) as plain from (select page_id as doc_id, html from pages)""")
+@query(r"""select doc_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) as plain from (select page_id as doc_id, html from pages)""")
 def strip_page_tags(spark, d):
-    return t(spark, d, "pages").select(F.col("page_id").alias("doc_id"), text.strip_tags(F.left("html", F.lit(400))).alias("plain"))
+    return t(spark, d, "pages").select(F.col("page_id").alias("doc_id"), text.strip_tags(F.col("html")).alias("plain"))
 
 
 @query(r"""select page_id as doc_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) as plain from pages""")
@@ -478,7 +496,7 @@ def enrichment_gap_fill(spark, d):
 
 
 @query(f"""with {LEADS_SQL}, s as (select o_custkey as lead_id, cast(floor(max(o_totalprice) / 1000) as int) - 100 as score from orders group by 1)
-select l.lead_id, coalesce(least(greatest(s.score, 0), 100), l.score) as score, case when s.score is null then l.status when s.score >= 70 then 'Qualified' else 'New' end as status from leads l left join s on s.lead_id = l.lead_id""")
+select l.lead_id, case when s.score is null then l.score else least(greatest(s.score, 0), 100) end as score, case when s.score is null then l.status when s.score >= 70 then 'Qualified' else 'New' end as status from leads l left join s on s.lead_id = l.lead_id""")
 def score_to_status(spark, d):
     scores = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("lead_id")).agg((F.floor(F.max("o_totalprice") / 1000).cast("int") - 100).alias("score"))
     return enrich.score_status(leads(spark, d), scores).select("lead_id", "score", "status")

@@ -52,14 +52,14 @@ def bubbles(df: DataFrame, html: str) -> DataFrame:
 
 def json_ld(df: DataFrame, html: str) -> DataFrame:
     """Business blocks of a page's JSON-LD, lists and @graph unwrapped."""
-    block = "struct<`@type`:string,name:string,telephone:string,email:string,url:string,address:struct<streetAddress:string,addressLocality:string,addressRegion:string,postalCode:string,addressCountry:string>,geo:struct<latitude:double,longitude:double>,aggregateRating:struct<ratingValue:double,reviewCount:int>>"
+    block = "struct<`@type`:string,name:string,telephone:string,phone:string,email:string,url:string,address:struct<streetAddress:string,addressLocality:string,addressRegion:string,postalCode:string,addressCountry:string>,geo:struct<latitude:double,longitude:double>,aggregateRating:struct<ratingValue:double,reviewCount:int>>"
     raw = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
     each = df.select(F.posexplode(raw).alias("ordinal", "j"))
     whole = F.when(F.trim("j").startswith("["), F.from_json("j", f"array<{block}>")).when(F.get_json_object("j", "$.@graph").isNotNull(), F.from_json(F.get_json_object("j", "$.@graph"), f"array<{block}>")).otherwise(F.array(F.from_json("j", block)))
     b = each.select("ordinal", F.explode(whole).alias("b")).where(F.col("b.`@type`").isin(BUSINESS) & filled(F.col("b.name")))
     a = F.col("b.address")
     return b.select(
-        F.col("ordinal").cast("long"), F.col("b.name").alias("name"), F.col("b.telephone").alias("phone"), F.lower("b.email").alias("email"), F.col("b.url").alias("website"),
+        F.col("ordinal").cast("long"), F.col("b.name").alias("name"), F.coalesce(F.nullif("b.telephone", F.lit("")), "b.phone").alias("phone"), F.lower("b.email").alias("email"), F.when(F.col("b.url").rlike("^https?://"), F.col("b.url")).alias("website"),
         F.nullif(F.concat_ws(", ", *(a[k] for k in ("streetAddress", "addressLocality", "addressRegion", "postalCode", "addressCountry"))), F.lit("")).alias("address"),
         F.col("b.geo.latitude").alias("lat"), F.col("b.geo.longitude").alias("lon"), F.col("b.aggregateRating.ratingValue").alias("rating"), F.col("b.aggregateRating.reviewCount").alias("review_count"),
     )

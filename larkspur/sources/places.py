@@ -13,20 +13,42 @@ def _first(*columns: Column) -> Column:
 
 
 def card_text(c: Column) -> Column:
-    """(name, rating, review_count, category) of a result card's lines: the name first, then in any order until a category."""
+    """(name, rating, review_count, category) of a result card's lines.
+
+    The first line is the name. Then, line by line, the first like 4.5 is the rating, the first like
+    (1,234) the review count, and the first other line of 2 to 40 characters the category, which ends the card.
+    """
     lines = F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    start = F.struct(F.lit(None).cast("double").alias("rating"), F.lit(None).cast("int").alias("review_count"), F.lit(None).cast("string").alias("category"))
+
+    def step(a: Column, x: Column) -> Column:
+        open_ = a["category"].isNull()
+        rated = open_ & a["rating"].isNull() & x.rlike(r"^\d(?:\.\d)?$")
+        counted = open_ & ~rated & a["review_count"].isNull() & x.rlike(r"^\([\d,]+\)$")
+        named = open_ & ~rated & ~counted & F.length(x).between(2, 40)
+        return F.struct(
+            F.when(rated, x.try_cast("double")).otherwise(a["rating"]).alias("rating"),
+            F.when(counted, F.regexp_replace(x, "[^0-9]", "").try_cast("int")).otherwise(a["review_count"]).alias("review_count"),
+            F.when(named, x).otherwise(a["category"]).alias("category"),
+        )
+
     rest = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
-    rating, reviews = r"^\d(?:[.,]\d)?$", r"^\(?[\d,]+\)?$"
-    known = F.filter(rest, lambda x: x.rlike(rating))
-    # A category is the first line that neither the rating nor the review count takes.
-    counted = F.filter(rest, lambda x: x.rlike(reviews) & ~x.rlike(rating))
-    words = F.filter(rest, lambda x: ~x.rlike(rating) & ~x.rlike(reviews) & F.length(x).between(2, 40))
-    return F.struct(
-        F.get(lines, F.lit(0)).alias("name"),
-        F.replace(F.get(known, F.lit(0)), F.lit(","), F.lit(".")).try_cast("double").alias("rating"),
-        F.regexp_replace(F.get(counted, F.lit(0)), "[^0-9]", "").try_cast("int").alias("review_count"),
-        F.get(words, F.lit(0)).alias("category"),
-    )
+    return F.aggregate(rest, start, step, lambda a: F.struct(F.get(lines, F.lit(0)).alias("name"), a["rating"].alias("rating"), a["review_count"].alias("review_count"), a["category"].alias("category")))
+
+
+def poi_records(df: DataFrame, name: str, lat: str, lon: str, address: str) -> DataFrame:
+    """Points of interest with a name and numeric coordinates, the rest left out."""
+    out = df.withColumns({"name": F.trim(name), "lat": F.col(lat).try_cast("double"), "lon": F.col(lon).try_cast("double"), "address": F.col(address)})
+    return out.where(filled(F.col("name")) & F.col("lat").isNotNull() & F.col("lon").isNotNull())
+
+
+def with_fallback(first: DataFrame, spare: DataFrame, limit: int) -> DataFrame:
+    """first, and where it holds fewer than half the limit (one at least) also spare rows of names (lower-cased) it lacks."""
+    key = F.lower(F.trim("name"))
+    few = first.limit(max(limit // 2, 1)).agg((F.count("*") < max(limit // 2, 1)).alias("few_"))
+    more = spare.withColumn("key_", key).dropDuplicates(["key_"]).join(first.select(key.alias("key_")).distinct(), "key_", "left_anti")
+    wanted = few.where("few_").select(F.lit(1).alias("one_"))
+    return first.unionByName(more.drop("key_").withColumn("one_", F.lit(1)).join(wanted, "one_", "left_semi").drop("one_"))
 
 
 def geojson_places(df: DataFrame, payload: str, city: str, source: str = "geoapify") -> DataFrame:

@@ -50,3 +50,14 @@ def source_health(outcomes: DataFrame, last: int = 100, least: int = 5, bad: flo
 
     out = "source string, samples int, rate double, unhealthy boolean, failures int, open_until_s long"
     return outcomes.groupBy("source").applyInPandasWithState(step, out, "seen string, failures int, until long", "update", GroupStateTimeout.NoTimeout)
+
+
+def authorised(sent: DataFrame, workspaces: DataFrame) -> DataFrame:
+    """What was sent with the token of its workspace, from (workspace_id, token, ...) rows; the others go."""
+    return sent.join(workspaces.select("workspace_id", "token"), ["workspace_id", "token"])
+
+
+def latest_status(feed: DataFrame, key: str) -> DataFrame:
+    """(key, status, ts_us, event_id) of the newest event of each key so far, from rows in any order."""
+    newest = F.max(F.struct("ts_us", "event_id", "status")).alias("x")
+    return feed.groupBy(key).agg(newest).select(key, "x.status", "x.ts_us", "x.event_id")

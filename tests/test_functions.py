@@ -26,7 +26,8 @@ def test_names(spark):
 def test_messages(spark):
     got = one(spark, ["<p>Hi&nbsp;<b>you</b></p>**bold** `x`<br>- one<blockquote>old", "Yes\nOn Mon, A wrote:\n> no"], text.clean_message)
     assert got == ["Hi you\nbold x\none", "Yes"]
-    assert one(spark, ["new\nFrom: a\nold", "\n> all"], text.strip_quotes)[0] == "new"
+    quoted = ["new\nFrom: a\nold", "ok<br>On Tue, Ai <a@b.c> wrote: <p>x", "hi <b>there</b> &amp; you<blockquote>old", "a\n-----Original Message-----\nb", "a\n_____\nb", "a\n > b", "\n> all"]
+    assert one(spark, quoted, text.strip_quotes) == ["new", "ok", "hi there & you", "a", "a", "a", "\n> all"]
 
 
 def test_email_collect_and_rank(spark):
@@ -65,11 +66,12 @@ def test_phones_in_text(spark):
 
 
 def test_urls(spark):
-    assert one(spark, ["WWW.Shop.com/a/?q=1#x", "http://b.co", "", None], url.normalize_website) == ["https://shop.com/a", "http://b.co", None, None]
+    assert one(spark, ["WWW.Shop.com/a/?q=1#x", "http://b.co", "http://Site.PK/", "https://a.co/x//", "", None], url.normalize_website) == ["https://shop.com/a", "https://b.co", "https://site.pk/", "https://a.co/x", None, None]
     assert one(spark, ["https://www.Shop.com/a", None], url.website_key) == ["shop.com", ""]
-    html = '<a href="/contact-us">x</a><a href="#t">y</a><a href="https://s.co/about/team">z</a><a href="http://other.co/contact">o</a>'
+    html = '<a href="/contact-us">x</a><a href="#t">y</a><a href="../b/./reach.html?x=1">Say  hello</a><a href="http://other.co/contact">o</a><a href="//www.s.co/getintouch/">z</a><a href="mailto:contact@s.co">m</a>'
     got = one(spark, [("https://s.co/p/q", html)], url.contact_pages)[0]
-    assert got[:2] == ["https://s.co/contact", "https://s.co/contact-us"] and got[-1] == "https://s.co/about/team" and len(got) == 6
+    assert got == ["https://s.co" + p for p in url.CONTACT_PATHS] + ["https://s.co/b/reach.html", "https://www.s.co/getintouch"]
+    assert one(spark, [(200, "please VERIFY you are human"), (429, "x"), (200, "attention required")], url.challenge_page) == [True, True, False]
     assert one(spark, ["see https://facebook.com/me), https://x.com/you"], url.social_links) == [{"facebook": "https://facebook.com/me", "twitter": "https://x.com/you"}]
     assert one(spark, ['<meta content="d" name="description">', '<meta property="og:description" content="o">', "<p>"], url.meta_description) == ["d", "o", None]
 

@@ -16,6 +16,8 @@ def one(spark, value, f):
 def test_cards_links_and_phrases(spark):
     r = one(spark, "Sakura Dental\n4.5\n(1,120)\nDentist\nOpen", places.card_text)
     assert tuple(r) == ("Sakura Dental", 4.5, 1120, "Dentist")
+    assert tuple(one(spark, "A\n4,5\n4.5", places.card_text)) == ("A", None, None, "4,5")  # the category ends a card
+    assert tuple(one(spark, "A\n4\n120\n(7)", places.card_text)) == ("A", 4.0, None, "120")
     packed = base64.urlsafe_b64encode(b"https://a.co/x").decode().rstrip("=")
     assert one(spark, f"https://b.com/ck/a?x=1&amp;u={packed}", places.unwrapped_link) == "https://a.co/x"
     assert one(spark, "//d.com/l/?uddg=https%3A%2F%2Fa.co%2F", places.unwrapped_link) == "https://a.co/"
@@ -71,3 +73,29 @@ def test_html_address_and_slots(spark):
     hours = F.create_map(F.lit("monday"), F.array(F.lit("09:00"), F.lit("10:00")), F.lit("tuesday"), F.array(F.lit("09:00"), F.lit("10:00")))
     got = spark.range(1).select(F.transform(clock.open_slots(F.lit("2024-01-15 08:30:00").cast("timestamp"), hours, "UTC"), lambda s: s.cast("string")).alias("s")).first().s
     assert got[:4] == ["2024-01-15 09:00:00", "2024-01-15 09:30:00", "2024-01-16 09:00:00", "2024-01-16 09:30:00"]
+
+
+def test_site_contacts(spark):
+    from larkspur.operators.contacts import site_contacts
+
+    ld = {"@graph": [{"contactPoint": {"telephone": "+1 202 555 0111"}}], "url": "https://shop.co/", "address": {"streetAddress": "1 Road", "postalCode": "7"}, "openingHours": "Mo 9", "sameAs": ["https://www.facebook.com/ld", 3]}
+    pages = [
+        ("shop.co", 2, '<a href="mailto:Sales@shop.co">m</a> noreply@shop.co x@gmail.com https://facebook.com/text https://x.com/me'),
+        ("shop.co", 1, "info@shop.co call 202-555-0199 <script type='application/ld+json'>" + json.dumps(ld) + "</script><script type='application/ld+json'>{bad</script>"),
+        ("b.co", 1, None), ("c.co", 1, "owner@c.co me@gmail.com"), (None, 1, "a@b.co"),
+    ]
+    got = {r.site: r for r in site_contacts(spark.createDataFrame(pages, "site string, n int, html string"), F.col("site"), "n", "html", "US").collect()}
+    r = got["shop.co"]
+    assert r.email == "sales@shop.co" and r.email_candidates == ["info@shop.co", "sales@shop.co", "noreply@shop.co", "x@gmail.com"]
+    assert (r.website, r.address, r.hours) == ("https://shop.co/", "1 Road, 7", "Mo 9")
+    assert r.social_links == {"facebook": "https://www.facebook.com/ld", "twitter": "https://x.com/me"}
+    assert r.phone == "+1 202 555 0111" and set(r.phone_candidates) == {"202-555-0199", r.phone} and set(got) == {"shop.co", "b.co", "c.co"}
+    assert got["b.co"].email is None and got["b.co"].phone is None and got["c.co"].email == "owner@c.co"
+
+
+def test_fallback_listings_and_points(spark):
+    a, b = (spark.createDataFrame([(n,) for n in names], "name string") for names in (["Ay"], ["ay ", "Be", "be"]))
+    assert sorted(r.name.lower() for r in places.with_fallback(a, b, 10).collect()) == ["ay", "be"]
+    assert places.with_fallback(a, b, 2).count() == 1
+    poi = spark.createDataFrame([("A", "1.5", "2"), ("B", "x", "2"), (" ", "1", "2")], "n string, la string, lo string")
+    assert [(r.name, r.lat, r.lon) for r in places.poi_records(poi, "n", "la", "lo", "n").collect()] == [("A", 1.5, 2.0)]
