@@ -111,18 +111,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     n, df = document_frequencies(docs, text)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(0.1)
     rows, sizes = labelled(docs, labels, label, per_class, key, text)
-    # Tasks count the terms; the driver gets what the sample's texts count, not the texts.
-    terms = mapped(rows, ["t"], "at array<int>, n array<float>", _sparse).select("y", "at", "n").collect()
-    sample = sorted((r.y, tuple(r.at), tuple(r.n)) for r in terms)
+    # Tasks count the terms; the driver gets what the sample's texts count, as Arrow, not the texts.
+    found = mapped(rows, ["t"], "at array<int>, n array<float>", _sparse).select("k", "y", "at", "n").toArrow().sort_by([("y", "ascending"), ("k", "ascending")])
+    y = found.column("y").to_numpy().astype(np.float64)
+    raw = np.zeros((len(y), TERMS), np.float32)
+    at, n_at = (found.column(c).combine_chunks() for c in ("at", "n"))
+    raw[np.repeat(np.arange(len(y)), at.value_lengths().to_numpy(zero_copy_only=False)), at.flatten().to_numpy()] = n_at.flatten().to_numpy()
     total = sum(sizes.values())
     prior = sizes.get(1, 0) / total if total else 0.5
-    if not sample:
+    if not len(y):
         return Model(idf, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), np.zeros(0), prior)
-    raw = np.zeros((len(sample), TERMS), np.float32)
-    for row, (_, at, many) in zip(raw, sample):
-        row[list(at)] = many
     x = weighted(raw, idf)
-    y = np.array([v for v, *_ in sample], np.float64)
     # Randomised range finder with two power steps; its own size is fixed by terms and sample bound.
     q = x.T @ np.random.default_rng(seed).standard_normal((len(x), min(latent + 16, len(x)))).astype(np.float32)
     for _ in range(2):
