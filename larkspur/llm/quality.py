@@ -122,6 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     if not len(y):
         return Model(idf, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), np.zeros(0), prior)
     x = weighted(raw, idf)
+    del raw, found, at, n_at
     # Randomised range finder with two power steps; its own size is fixed by terms and sample bound.
     q = x.T @ np.random.default_rng(seed).standard_normal((len(x), min(latent + 16, len(x)))).astype(np.float32)
     for _ in range(2):
@@ -131,7 +132,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     # A vote stands for all labelled documents of its class that the sample left out.
     picked = {v: max(1, int((y == v).sum())) for v in (0, 1)}
     model = Model(idf, basis, np.zeros((0, 1), np.float32), y, np.array([sizes[int(v)] / picked[int(v)] for v in y]), prior)
-    model.vectors = model.latent(raw)
+    z = x @ basis
+    model.vectors = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
     return model
 
 
