@@ -69,9 +69,12 @@ class Model:
         return np.where(total > 1e-12, (vote * self.labels[near]).sum(1) / np.maximum(total, 1e-12), self.prior)
 
 
-def weighted(rows: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = np.log1p(rows) * idf
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+def weighted(rows: np.ndarray, idf: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """Unit rows of damped counts times idf, written into out if given (rows itself may be), so that no second copy is held."""
+    x = np.log1p(rows, out=out)
+    x *= idf
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], 1e-12)
+    return x
 
 
 def document_frequencies(docs: DataFrame, text: str = "text", terms: int = TERMS) -> tuple[int, np.ndarray]:
@@ -121,8 +124,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     prior = sizes.get(1, 0) / total if total else 0.5
     if not len(y):
         return Model(idf, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), np.zeros(0), prior)
-    x = weighted(raw, idf)
-    del raw, found, at, n_at
+    del found, at, n_at
+    x = weighted(raw, idf, out=raw)
     # Randomised range finder with two power steps; its own size is fixed by terms and sample bound.
     q = x.T @ np.random.default_rng(seed).standard_normal((len(x), min(latent + 16, len(x)))).astype(np.float32)
     for _ in range(2):
