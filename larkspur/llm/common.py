@@ -16,6 +16,9 @@ from larkspur.session import durable, remove_folder, shared_folder
 
 __all__ = ["durable", "held_out", "labelled", "mapped", "shared_folder", "staged", "star_join", "table"]
 
+#: Bytes of values that a worker turns into Python objects at once.
+PART = 2 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,22 +42,38 @@ def staged(spark: SparkSession) -> Iterator[Callable[[str, DataFrame], DataFrame
     yield stage
 
 
-def mapped(df: DataFrame, columns: list[str], fields: str, make: Callable[..., list]) -> DataFrame:
-    """df with the columns of ``fields`` (DDL): make() gets a batch's lists of the values of columns and gives their lists.
+def _parts(b: pa.RecordBatch, places: list[int]) -> Iterator[pa.RecordBatch]:
+    """b in pieces of PART bytes in the given columns; a longer row stands alone."""
+    if b.num_rows < 2 or sum(b.column(p).nbytes for p in places) <= PART:
+        yield b
+        return
+    half = b.num_rows // 2
+    yield from _parts(b.slice(0, half), places)
+    yield from _parts(b.slice(half), places)
+
 
-    All other columns pass as Arrow, so that a null beside a long doesn't turn it into a float.
+def mapped(df: DataFrame, columns: list[str], fields: str, make: Callable[..., list], keep: bool = True) -> DataFrame:
+    """df with the columns of ``fields`` (DDL): make() gets lists of the values of columns and gives lists of the new ones.
+
+    All other columns pass as Arrow, so that a null beside a long doesn't turn it into a float. Rows are
+    worked on in parts of bounded size, as a batch of long texts and what is made of them would fill a worker.
+    Without keep the columns that make() reads don't come out, so that texts aren't sent back for nothing.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     added = T.StructType.fromDDL(fields)
     kinds, places = to_arrow_schema(added), [df.columns.index(c) for c in columns]
+    stay = [i for i in range(len(df.columns)) if keep or i not in places]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = make(*(b.column(p).to_pylist() for p in places))
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(m, k.type) for m, k in zip(made, kinds))], names=[*b.schema.names, *added.names])
-
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *added.fields]))
+        for batch in batches:
+            for b in _parts(batch, places):
+                made = make(*(b.column(p).to_pylist() for p in places))
+                new = [pa.array(m, k.type) for m, k in zip(made, kinds)]
+                del made
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in stay), *new], names=[*(b.schema.names[i] for i in stay), *added.names])
+
+    return df.mapInArrow(run, T.StructType([*(df.schema.fields[i] for i in stay), *added.fields]))
 
 
 def star_join(rows: DataFrame, one: DataFrame, key: str, total: int, many: str) -> DataFrame:

@@ -223,6 +223,7 @@ def _digests(table: PrefixTable, text: str | None) -> tuple[int, str, str, str]:
 
 
 def _with(df: DataFrame, model_path: str, row: Callable, fields: str, text: str, keep: list[str] | None) -> DataFrame:
+    stays = keep is None or text in keep
     df = df.select(*dict.fromkeys([*(df.columns if keep is None else keep), text]))
     names = [f.split()[0] for f in fields.split(", ")]
     if clash := {c.lower() for c in df.columns} & set(names):
@@ -235,7 +236,7 @@ def _with(df: DataFrame, model_path: str, row: Callable, fields: str, text: str,
         made = [row(table, v) for v in values]
         return [[m[k] for m in made] for k in range(len(names))]
 
-    return mapped(df, [text], fields, make)
+    return mapped(df, [text], fields, make, keep=stays)
 
 
 def encode(df: DataFrame, model_path: str, text: str = "text") -> DataFrame:

@@ -115,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(0.1)
     rows, sizes = labelled(docs, labels, label, per_class, key, text)
     # Tasks count the terms; the driver gets what the sample's texts count, as Arrow, not the texts.
-    found = mapped(rows, ["t"], "at array<int>, n array<float>", _sparse).select("k", "y", "at", "n").toArrow().sort_by([("y", "ascending"), ("k", "ascending")])
+    found = mapped(rows, ["t"], "at array<int>, n array<float>", _sparse, keep=False).select("k", "y", "at", "n").toArrow().sort_by([("y", "ascending"), ("k", "ascending")])
     y = found.column("y").to_numpy().astype(np.float64)
     raw = np.zeros((len(y), TERMS), np.float32)
     at, n_at = (found.column(c).combine_chunks() for c in ("at", "n"))

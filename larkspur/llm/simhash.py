@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
 
     # Names that no column of docs can clash with; the text itself goes no further.
     own = docs.select(F.col(key).alias("k"), *(F.col(c).alias(f"x{i}") for i, c in enumerate(extra)), F.col(text).alias("t"))
-    made = mapped(own, ["t"], "fp long", make)
+    made = mapped(own, ["t"], "fp long", make, keep=False)
     return made.select(F.col("k").alias(key), *(F.col(f"x{i}").alias(c) for i, c in enumerate(extra)), "fp")
 
 
