@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from larkspur.llm.common import mapped
 
 SPACE = "▁"
-#: Distinct chunks remembered by a worker before it starts afresh.
-MEMO = 400_000
+#: Distinct chunks of one generation in a worker's memo; the one before it is kept, so that frequent chunks stay.
+MEMO = 150_000
 
 
 def load_pieces(model_path: str) -> tuple[list[str], list[float], list[int]]:
@@ -103,6 +103,7 @@ class PrefixTable:
         self.automaton.make_automaton()
         self.compatible: dict[tuple[str, str], bool] = {}
         self.chunks: dict[str, tuple[int, str, str]] = {}
+        self.older = self.chunks
         self.runs: dict[int, tuple[str, ...]] = {}
         # A chunk is a run of spaces and what follows it up to the next one, or to a mark that ends a word.
         self.split = re.compile((f"{SPACE}*\\w++(?=[{marks}])|" if marks else "") + f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
@@ -181,13 +182,14 @@ class PrefixTable:
 
     def chunk(self, chunk: str) -> tuple[int, str, str]:
         """Number of ids, the ids comma-joined, and what they decode to inside a text."""
-        ids = [i for t in self.chunk_tokens(chunk) for i in self.token_ids(t)]
-        pieces, types = self.pieces, self.types
-        plain = "".join([pieces[i] for i in ids if types[i] == 1])
-        known = len(ids), ",".join(map(str, ids)), plain.replace(SPACE, " ") if len(plain) == len(chunk) else self.decode(ids, first=False)
+        if (known := self.chunks.get(chunk) or self.older.get(chunk)) is None:
+            ids = [i for t in self.chunk_tokens(chunk) for i in self.token_ids(t)]
+            pieces, types = self.pieces, self.types
+            plain = "".join([pieces[i] for i in ids if types[i] == 1])
+            known = len(ids), ",".join(map(str, ids)), plain.replace(SPACE, " ") if len(plain) == len(chunk) else self.decode(ids, first=False)
         if len(chunk) <= 64:
             if len(self.chunks) > MEMO:
-                self.chunks.clear()
+                self.older, self.chunks = self.chunks, {}
             self.chunks[chunk] = known
         return known
 
