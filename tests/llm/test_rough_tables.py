@@ -39,3 +39,16 @@ def test_clashing_columns_stay(spark, docs):
     assert "removed_in" in span_dedup.dedup(docs).columns
     assert "n_words_in" in decontaminate.find(docs, spark.createDataFrame([], "item_id long, text string")).columns
     assert chat.digest(spark.createDataFrame([(None, None, None, None)], "conv_id long, turn long, role string, text string")).count() == 2
+
+
+def test_parts_are_bounded_and_whole():
+    import pyarrow as pa
+
+    from larkspur.llm import common
+
+    texts = ["a" * common.PART, None, "", *["b" * 1000] * 9000, "c" * (2 * common.PART)]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["k", "t"])
+    made = list(common._parts(whole, [1]))
+    assert pa.Table.from_batches(made) == pa.Table.from_batches([whole])
+    assert all(b.num_rows == 1 or b.column(1).nbytes <= common.PART for b in made)
+    assert [b.num_rows for b in common._parts(whole.slice(0, 0), [1])] == [0]
