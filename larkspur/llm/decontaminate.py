@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -113,11 +114,11 @@ def _runs(starts: np.ndarray, ends: np.ndarray, n: int) -> list[int]:
 
 
 def _tables(shared, window: int, known: dict = {}) -> Patterns:  # noqa: B006 - the worker's memory of its last part
-    """The tables of a part of the benchmark, built once per worker."""
-    key = shared.id if hasattr(shared, "id") else id(shared)
-    if key not in known:
+    """The tables of a part of the benchmark, built once per worker; a token tells the parts apart, as memory addresses come back."""
+    token, items = shared.value
+    if (key := (token, window)) not in known:
         known.clear()
-        known[key] = Patterns([(i, words(t)) for i, t in shared.value], window)
+        known[key] = Patterns([(i, words(t)) for i, t in items], window)
     return known[key]
 
 
@@ -203,7 +204,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     own = docs.columns
     for k in range(passes):
         part = pieces.where(F.pmod(F.xxhash64("i", "n", "t"), F.lit(passes)) == k).select("i", "t").distinct().collect()
-        shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in part])
+        shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [tuple(r) for r in part]))
         if k:
             held = durable(docs.withColumnsRenamed({n: f"{n}_before" for n in names}))
             docs = mapped(held, [text, "hit_words_before", "hit_items_before"], "hit_words array<int>, hit_items array<string>, n_words long", _search(shared, window)).select(*own, *names)

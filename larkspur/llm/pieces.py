@@ -15,6 +15,7 @@ import gc
 import hashlib
 import heapq
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -50,6 +51,8 @@ def check_model(kind: int, rules, pieces: list[str], scores: list[float], types:
         raise ValueError("models with normaliser rules are not supported")
     if 4 in types:
         raise ValueError("user-defined pieces are not supported")
+    if types.count(6) != 256:
+        raise ValueError("models without a piece for every byte are not supported, as the library joins neighbouring unknowns there")
     blank = {s for p, s, t in zip(pieces, scores, types) if t == 1 and len(p) > 1 and not p.strip(SPACE)}
     longer = [s for p, s, t in zip(pieces, scores, types) if t == 1 and len(p) > 1 and p.strip(SPACE)]
     if len(blank) > 1 or blank and longer and min(blank) > min(longer):
@@ -203,16 +206,17 @@ class PrefixTable:
         return [int(i) for p in self.parts(text) for i in p[1].split(",")]
 
 
-_TABLES: dict[int, PrefixTable] = {}
+_TABLES: dict[str, PrefixTable] = {}
 
 
 def _table(shared) -> PrefixTable:
-    """One table per worker and vocabulary."""
-    if (key := shared.id if hasattr(shared, "id") else id(shared)) not in _TABLES:
+    """One table per worker and broadcast vocabulary; a token tells them apart, as memory addresses come back."""
+    token, vocabulary = shared.value
+    if token not in _TABLES:
         _TABLES.clear()
         gc.set_threshold(200_000)  # the memo only grows; looking through it for cycles is wasted time
-        _TABLES[key] = PrefixTable(*shared.value)
-    return _TABLES[key]
+        _TABLES[token] = PrefixTable(*vocabulary)
+    return _TABLES[token]
 
 
 def _digests(table: PrefixTable, text: str | None) -> tuple[int, str, str, str]:
@@ -231,7 +235,7 @@ def _with(df: DataFrame, model_path: str, row: Callable, fields: str, text: str,
     if clash := {c.lower() for c in df.columns} & set(names):
         df = df.withColumnsRenamed({c: f"{c}_in" for c in df.columns if c.lower() in clash})
         text = f"{text}_in" if text.lower() in clash else text
-    shared = df.sparkSession.sparkContext.broadcast(load_pieces(model_path))
+    shared = df.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, load_pieces(model_path)))
 
     def make(values: list) -> list:
         table = _table(shared)

@@ -37,3 +37,11 @@ def test_passes_agree(spark, monkeypatch):
 def test_empty_tables(spark):
     assert made(spark, ["a b", None], []) == [(2, 0, 0, D.brute_force(["a"], [])[0][3], False), (0, 0, 0, D.brute_force(["a"], [])[0][3], False)]
     assert made(spark, [], ["a"]) == []
+
+
+def test_many_benchmarks_in_one_session(spark):
+    """Workers are reused; each call searches its own benchmark and no earlier one's."""
+    for k in range(20):
+        docs = [f"only{k} one two three", f"other{k} four five"]
+        items = [docs[k % 2]]
+        assert made(spark, docs, items) == D.brute_force(docs, [("0", items[0])])

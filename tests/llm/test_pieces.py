@@ -39,3 +39,32 @@ def test_digest_and_columns(spark):
     assert {"ids", "ids_in", "decoded", "doc_id", "text"} == set(back.columns)
     assert all(r.decoded == lib.decode(lib.encode(r.text or "")) and r.ids_in == "mine" for r in back.collect())
     assert pieces.encode(df.limit(0), MODEL).count() == 0
+
+
+def test_two_vocabularies_in_one_session(spark, tmp_path):
+    """Workers are reused; each call is encoded with its own vocabulary."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(open(MODEL, "rb").read())
+    normal = [i for i, p in enumerate(proto.pieces) if p.type == 1]
+    rows = [(proto.pieces[i].piece, proto.pieces[i].score) for i in normal]
+    for i, (piece, score) in zip(normal, reversed(rows)):
+        proto.pieces[i].piece, proto.pieces[i].score = piece, score
+    other = str(tmp_path / "other.model")
+    with open(other, "wb") as f:
+        f.write(proto.SerializeToString())
+    df = spark.createDataFrame([(i, f"some words number {i}") for i in range(8)], "doc_id long, text string")
+    libs = {m: sp.SentencePieceProcessor(model_file=m) for m in (MODEL, other)}
+    for m in [MODEL, other] * 4:
+        assert all(list(r.ids) == libs[m].encode(r.text) for r in pieces.encode(df, m).collect())
+
+
+def test_models_without_bytes_are_refused():
+    known, scores, types = pieces.load_pieces(MODEL)
+
+    class Rules:
+        precompiled_charsmap, remove_extra_whitespaces, add_dummy_prefix, escape_whitespaces = "", False, True, True
+
+    with pytest.raises(ValueError):
+        pieces.check_model(2, Rules, known, scores, [1 if t == 6 else t for t in types])
