@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import ann, chat, decontaminate, pieces, pii, quality, secret_scan, simhash, span_dedup, toxicity
+from larkspur.llm import ann, chat, decontaminate, pieces, pii, quality, secret_scan, simhash, span_dedup, toxicity, whitening
 from larkspur.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,10 @@ def op10_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_secrets": op1_secrets,
@@ -70,6 +74,7 @@ def queries() -> dict[str, Query]:
         "op8_decontamination": op8_decontamination,
         "op9_simhash": op9_simhash,
         "op10_span_dedup": op10_span_dedup,
+        "op13_whitening": op13_whitening,
     }
 
 
