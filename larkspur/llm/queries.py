@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import ann, chat, decontaminate, hard_negatives, pieces, pii, quality, secret_scan, simhash, span_dedup, toxicity, whitening
+from larkspur.llm import ann, chat, decontaminate, hard_negatives, language, pieces, pii, quality, secret_scan, simhash, span_dedup, toxicity, whitening
 from larkspur.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,10 @@ def op10_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.digest(table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.digest(table(spark, sf_dir, "embeddings"))
 
@@ -78,6 +82,7 @@ def queries() -> dict[str, Query]:
         "op8_decontamination": op8_decontamination,
         "op9_simhash": op9_simhash,
         "op10_span_dedup": op10_span_dedup,
+        "op11_language": op11_language,
         "op12_hard_negatives": op12_hard_negatives,
         "op13_whitening": op13_whitening,
     }
