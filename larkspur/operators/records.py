@@ -87,13 +87,6 @@ def enrichment_batch(leads: DataFrame, plain: DataFrame, browser: DataFrame, loo
     return df.select(key, F.coalesce("plain_", "browser_", "lookup_").alias("found"), via.alias("via"))
 
 
-def cooled(events: DataFrame, account: str, at: str, order: str, seconds: int = 25) -> DataFrame:
-    """Events at least so many seconds after the account's one before."""
-    before = F.lag(at).over(Window.partitionBy(account).orderBy(at, order))
-    gap = F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(before.cast("timestamp"))
-    return events.withColumn("gap_", gap).where((F.col("gap_").isNull()) | (F.col("gap_") >= seconds * 1_000_000)).drop("gap_")
-
-
 # Words of names that tell nothing about whose site a host is.
 GENERIC = ["the", "and", "shop", "store", "company", "services", "service", "group", "restaurant", "clinic", "studio", "center", "centre"]
 

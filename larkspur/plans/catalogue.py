@@ -2,48 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from larkspur.functions import email, geo, phone, text, url
 from larkspur.functions import time as clock
 from larkspur.operators import analytics, enrich, quality_gate, resolve, upsert
+from larkspur.plans.base import QUERIES, SQL, Query, query, streamed, t
 from larkspur.plans.views import LEADS_SQL, leads
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def queries() -> dict[str, Query]:
-    from larkspur.plans import records  # noqa: F401 - registers its queries
+    from larkspur.plans import records, sequences  # noqa: F401 - register their queries
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from larkspur.plans import records  # noqa: F401
+    from larkspur.plans import records, sequences  # noqa: F401
 
     return dict(SQL)
 
 
-def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 NOW = "2024-01-30 00:00:00"
 TS = "timestamp '2024-01-30 00:00:00'"
 
@@ -531,50 +510,8 @@ def cut_then_rank(spark, d):
 # ---- Streams --------------------------------------------------------------------------------------------------------
 
 
-def _streamed(spark: SparkSession, d: str, build: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
-    """The result of a stream over all event files there are, written as Parquet to the shared folder, a folder per batch."""
-    import uuid
-
-    from larkspur.session import shared_folder
-
-    top = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    schema = t(spark, d, "events").schema
-    source = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
-    out = build(source)
-
-    def write(batch: DataFrame, n: int) -> None:
-        batch.withColumn("batch_", F.lit(n)).write.mode("overwrite").parquet(f"{top}/out/batch={n}")
-
-    q = out.writeStream.outputMode(mode).option("checkpointLocation", f"{top}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
-    q.awaitTermination()
-    return spark.read.schema(T.StructType([*out.schema.fields, T.StructField("batch_", T.IntegerType())])).parquet(f"{top}/out/*")
-
-
 @query("select event_id, event_type from events")
 def stream_dedup(spark, d):
     from larkspur.streaming.ingest import deduplicated
 
-    return _streamed(spark, d, lambda e: deduplicated(e, "event_id").select("event_id", "event_type"), "append").select("event_id", "event_type")
-
-
-@query("""with r as (select event_type as source, event_type <> 'error' as ok, row_number() over (partition by event_type order by ts desc, event_id desc) as rn from events)
-select source, cast(count(*) as int) as samples, round_even(avg(case when ok then 1.0 else 0.0 end), 3) as rate from r where rn <= 100 group by 1""")
-def stream_source_health(spark, d):
-    return _health(spark, d, F.col("event_type") != "error")
-
-
-@query("""with r as (select event_type as source, event_id % 3 <> 0 and event_type <> 'error' as ok, row_number() over (partition by event_type order by ts desc, event_id desc) as rn from events)
-select source, cast(count(*) as int) as samples, round_even(avg(case when ok then 1.0 else 0.0 end), 3) as rate from r where rn <= 100 group by 1""")
-def stream_source_health_last100(spark, d):
-    return _health(spark, d, (F.col("event_id") % 3 != 0) & (F.col("event_type") != "error"))
-
-
-def _health(spark: SparkSession, d: str, ok: Column) -> DataFrame:
-    from larkspur.streaming.ingest import source_health
-
-    def build(e: DataFrame) -> DataFrame:
-        o = e.select(F.col("event_type").alias("source"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "event_id", ok.alias("ok"))
-        return source_health(o)
-
-    rows = _streamed(spark, d, build, "update")
-    return analytics.latest(rows, ["source"], [F.desc("batch_")]).select("source", "samples", "rate")
+    return streamed(spark, d, lambda e: deduplicated(e, "event_id").select("event_id", "event_type"), "append").select("event_id", "event_type")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import url
 from larkspur.operators import records, resolve
-from larkspur.plans.catalogue import candidates, query, t
+from larkspur.plans.base import query, streamed, t
+from larkspur.plans.catalogue import candidates
 from larkspur.plans.views import LEADS_SQL, leads
 
 
@@ -60,24 +61,22 @@ def account_routing(spark, d):
 
 @query("select event_id, user_id % 30 as workspace_id from events join nation on n_nationkey = user_id % 30 and n_nationkey % 3 = event_id % 3")
 def stream_webhook_leads(spark, d):
-    from larkspur.plans.catalogue import _streamed
     from larkspur.streaming.ingest import authorised
 
     known = t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("workspace_id"), F.concat(F.lit("t"), F.col("n_nationkey") % 3).alias("token"))
     sent = lambda e: e.select("event_id", (F.col("user_id") % 30).alias("workspace_id"), F.concat(F.lit("t"), F.col("event_id") % 3).alias("token"))
-    return _streamed(spark, d, lambda e: authorised(sent(e), known).select("event_id", "workspace_id"), "append").select("event_id", "workspace_id")
+    return streamed(spark, d, lambda e: authorised(sent(e), known).select("event_id", "workspace_id"), "append").select("event_id", "workspace_id")
 
 
 @query("""with k as (select user_id as message, case event_type when 'view' then 'delivered' when 'click' then 'clicked' when 'error' then 'bounced' end as status, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events where event_type in ('view', 'click', 'error'))
 select message, status from k where rn = 1""")
 def stream_delivery_latest(spark, d):
     from larkspur.operators import analytics
-    from larkspur.plans.catalogue import _streamed
     from larkspur.streaming.ingest import latest_status
 
     said = F.when(F.col("event_type") == "view", "delivered").when(F.col("event_type") == "click", "clicked").when(F.col("event_type") == "error", "bounced")
     feed = lambda e: e.select(F.col("user_id").alias("message"), said.alias("status"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "event_id").where("status is not null")
-    rows = _streamed(spark, d, lambda e: latest_status(feed(e), "message"), "update")
+    rows = streamed(spark, d, lambda e: latest_status(feed(e), "message"), "update")
     return analytics.latest(rows, ["message"], [F.desc("batch_")]).select("message", "status")
 
 
@@ -164,11 +163,6 @@ def enrichment_batch(spark, d):
     return records.enrichment_batch(leads(spark, d), best(o.where("o_orderstatus = 'P'")), best(o.where("o_orderstatus = 'O'")), best(o), "lead_id")
 
 
-@query("with g as (select *, lag(ts) over (partition by user_id order by ts, event_id) as before from events) select event_id, user_id from g where before is null or ts - before >= interval 25 seconds")
-def cooled_replies(spark, d):
-    return records.cooled(t(spark, d, "events"), "user_id", "ts", "event_id").select("event_id", "user_id")
-
-
 @query("select event_id, strftime(ts + interval 5 hours, '%Y-%m-%d %H:%M') as shown, abs(epoch_us(ts) - epoch_us(time_bucket(interval 1 hour, ts) + interval 30 minutes)) < 1000 * 1000 * 1200 as near_slot from events")
 def display_times(spark, d):
     utc = F.col("ts").cast("timestamp")

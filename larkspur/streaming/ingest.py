@@ -1,14 +1,9 @@
-"""Event feeds: idempotent ingestion, rolling source health and circuit breakers."""
+"""Event feeds: idempotent ingestion, webhooks with a workspace's token, delivery events."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def deduplicated(events: DataFrame, key: str, at: str = "ts", delay: str = "1 hour") -> DataFrame:
@@ -16,42 +11,6 @@ def deduplicated(events: DataFrame, key: str, at: str = "ts", delay: str = "1 ho
     return events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
 
 
-def source_health(outcomes: DataFrame, last: int = 100, least: int = 5, bad: float = 0.3, fails: int = 2, open_s: int = 300) -> DataFrame:
-    """(source, samples, rate, unhealthy, failures, open_until_s) after each batch, from (source, ts_us, event_id, ok) rows.
-
-    State per source is its newest outcomes by (ts_us, event_id), the failures in a row, and when an
-    open breaker closes. A batch's rows come in chunks of no order; only a batch as a whole is taken
-    to follow the ones before it.
-    """
-    cols = ["ts_us", "event_id", "ok"]
-
-    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, row, until = state.get if state.exists else ("[]", 0, 0)
-        newest = pd.DataFrame(json.loads(seen), columns=cols).astype({"ts_us": "int64", "event_id": "int64", "ok": "bool"})
-        # What decides the breaker: the batch's latest success and the failures after it.
-        good, failed = None, newest.iloc[:0]
-        for pdf in chunks:
-            pdf = pdf[cols]
-            newest = pd.concat([newest, pdf]).sort_values(cols[:2], kind="stable").tail(last)
-            won = pdf[pdf["ok"]].sort_values(cols[:2]).tail(1)
-            if len(won) and (good is None or tuple(won.iloc[0, :2]) > good):
-                good = tuple(won.iloc[0, :2])
-            failed = pd.concat([failed, pdf[~pdf["ok"]]])
-            if good is not None:
-                failed = failed[(failed["ts_us"] > good[0]) | ((failed["ts_us"] == good[0]) & (failed["event_id"] > good[1]))]
-        if good is not None:
-            row, until = 0, 0
-        row += len(failed)
-        if len(failed) and row >= fails:
-            until = int(failed["ts_us"].max()) // 1_000_000 + open_s
-        state.update((json.dumps([[int(t), int(i), bool(ok)] for t, i, ok in newest.itertuples(index=False)]), row, until))
-        rate = round(int(newest["ok"].sum()) / len(newest), 3) if len(newest) else 1.0
-        yield pd.DataFrame([(key[0], len(newest), rate, rate < bad and len(newest) >= least, row, until)], columns=["source", "samples", "rate", "unhealthy", "failures", "open_until_s"])
-
-    out = "source string, samples int, rate double, unhealthy boolean, failures int, open_until_s long"
-    return outcomes.groupBy("source").applyInPandasWithState(step, out, "seen string, failures int, until long", "update", GroupStateTimeout.NoTimeout)
-
-
 def authorised(sent: DataFrame, workspaces: DataFrame) -> DataFrame:
     """What was sent with the token of its workspace, from (workspace_id, token, ...) rows; the others go."""
     return sent.join(workspaces.select("workspace_id", "token"), ["workspace_id", "token"])

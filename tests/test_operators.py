@@ -150,37 +150,6 @@ def test_last_outcomes(spark, last):
     assert tuple(analytics.last_outcomes(df, "source", [F.desc("ts")], last=last, least=2).first()) == ("s", 3, 0.0, True)
 
 
-def test_stream_health_is_of_the_newest_events(spark, tmp_path):
-    import random
-
-    from larkspur.streaming import ingest
-
-    rng = random.Random(4)
-    rows = [(k, 1_700_000_000 + rng.randrange(2000), "ab"[k % 2], rng.random() < 0.6) for k in range(3000)]
-    newest = {s: sorted(((ts, k, ok) for k, ts, t_, ok in rows if t_ == s))[::-1] for s in "ab"}
-    rows = [(k, ts, s, ok and not (s == "b" and (ts, k) > newest["b"][5][:2])) for k, ts, s, ok in rows]  # b ends in failures
-    schema = "event_id long, ts long, source string, ok boolean"
-    spark.createDataFrame(rows, schema).repartition(3).write.parquet(str(tmp_path / "in"))
-    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
-    try:
-        src = spark.readStream.schema(schema).parquet(str(tmp_path / "in")).selectExpr("source", "ts * 1000000 as ts_us", "event_id", "ok")
-        out = []
-        q = ingest.source_health(src).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).foreachBatch(lambda b, n: out.extend(b.collect())).start()
-        q.awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
-    assert len(out) == 2
-    for r in out:
-        oks = [(ts, ok) for ts, k, s, ok in sorted((ts, k, s, ok) for k, ts, s, ok in rows if s == r.source)]
-        row, until = 0, 0
-        for ts, ok in oks:
-            row = 0 if ok else row + 1
-            until = 0 if ok else ts + 300 if row >= 2 else until
-        assert (r.samples, r.rate) == (100, round(sum(ok for _, ok in oks[-100:]) / 100, 3))
-        assert (r.failures, r.open_until_s) == (row, until)
-
-
 def test_streamed_health_is_the_tables(spark):
     from larkspur.plans import catalogue
 
