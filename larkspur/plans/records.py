@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import url
@@ -177,19 +176,6 @@ def filled_templates(spark, d):
     return s.select("s_suppkey", body.alias("body"), F.format_string("Hello %s,\nwelcome to %s.", "s_name", "n_name").alias("greeting"))
 
 
-@query("select p_partkey, case when contains(lower(p_type), 'brass') then 'metal.brass' when contains(lower(p_type), 'steel') then 'metal.steel' when contains(lower(p_name), 'widget') then 'tools' else 'other' end as category from part")
-def category_of_niche(spark, d):
-    has = lambda c, w: F.contains(F.lower(c), F.lit(w))
-    return t(spark, d, "part").select("p_partkey", F.when(has("p_type", "brass"), "metal.brass").when(has("p_type", "steel"), "metal.steel").when(has("p_name", "widget"), "tools").otherwise("other").alias("category"))
-
-
-@query("with r as (select n_nationkey, n_name, n_regionkey, row_number() over (partition by n_regionkey order by n_nationkey) as rn from nation) select n_regionkey as country, n_name as city, cast(n_nationkey * 7 % 120 as double) - 60 as lat, cast(n_nationkey * 13 % 300 as double) - 150 as lon from r where rn <= 2")
-def top_cities(spark, d):
-    w = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
-    first = t(spark, d, "nation").withColumn("rn", F.row_number().over(w)).where("rn <= 2")
-    return first.select(F.col("n_regionkey").alias("country"), F.col("n_name").alias("city"), F.expr("cast(n_nationkey * 7 % 120 as double) - 60").alias("lat"), F.expr("cast(n_nationkey * 13 % 300 as double) - 150").alias("lon"))
-
-
 @query("select p_partkey, least(greatest(p_size, 1) * 3, 150) as fetch_limit from part")
 def fetch_limits(spark, d):
     return t(spark, d, "part").select("p_partkey", F.least(F.greatest("p_size", F.lit(1)) * 3, F.lit(150)).alias("fetch_limit"))
