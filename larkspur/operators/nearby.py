@@ -74,7 +74,7 @@ def nearest_by_name(cities: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     named = cities.withColumn("rn_", F.row_number().over(Window.partitionBy("country", F.lower("name")).orderBy("ordinal"))).where("rn_ = 1")
     keyed = named.select(F.col("ordinal").alias("id_"), F.col("country").alias("c_"), F.lower("name").alias("n_"), "name", "lat", "lon")
     meant = asked.withColumn("low_", low).join(keyed.select("id_", "c_", "n_"), (F.upper("country") == F.col("c_")) & (F.col("low_") == F.col("n_")))
-    found = nearest(keyed.withColumnRenamed("c_", "w_"), k, "id_", "w_", meant)
+    found = nearest(keyed.withColumnRenamed("c_", "country_"), k, "id_", "country_", meant)
     return meant.select("country", "city", "id_").join(found, "id_").join(keyed.select(F.col("id_").alias("near"), F.col("name").alias("near_name")), "near").select("country", "city", F.col("near_name").alias("near"), "km", "place")
 
 
