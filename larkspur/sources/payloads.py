@@ -80,8 +80,13 @@ def flatten_webhook(df: DataFrame, payload: str) -> DataFrame:
     return v.select(F.col("metadata.phone_number_id").alias("account"), F.explode(F.concat(some("statuses"), some("messages"))).alias("x")).select("account", "x.*")
 
 
-def lead_csv(leads: DataFrame, path: str, columns: list[str]) -> None:
-    """Leads as CSV with a header: nulls empty, maps as "key: value; key: value"."""
-    kinds = dict(leads.dtypes)
+def csv_cells(df: DataFrame, columns: list[str]) -> DataFrame:
+    """columns as texts: nulls empty, maps as "key: value; key: value"."""
+    kinds = dict(df.dtypes)
     cell = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "; ") if kinds[c].startswith("map") else F.col(c).cast("string")
-    leads.select(*(F.coalesce(cell(c), F.lit("")).alias(c) for c in columns)).write.mode("overwrite").csv(path, header=True, emptyValue="")
+    return df.select(*(F.coalesce(cell(c), F.lit("")).alias(c) for c in columns))
+
+
+def lead_csv(leads: DataFrame, path: str, columns: list[str]) -> None:
+    """Leads as CSV with a header, cells as of csv_cells()."""
+    csv_cells(leads, columns).write.mode("overwrite").csv(path, header=True, emptyValue="")
