@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import unescape_common
+from larkspur.functions.html import unescape
 
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 # Hosts, endings and local parts that decide what an address is worth.
@@ -30,7 +30,7 @@ def domain(c: Column) -> Column:
 
 def collect_emails(text: Column, blocked: list[str] = BLOCKED_DOMAINS) -> Column:
     """Distinct lower-cased addresses in order of appearance, at most 40, without assets and boilerplate hosts."""
-    found = F.transform(F.regexp_extract_all(unescape_common(text), F.lit(EMAIL), F.lit(0)), F.lower)
+    found = F.transform(F.regexp_extract_all(unescape(text), F.lit(EMAIL), F.lit(0)), F.lower)
     keep = F.filter(found, lambda e: ~domain(e).isin(blocked) & ~F.substring_index(e, ".", -1).isin(ASSET_ENDINGS))
     return F.slice(F.array_distinct(keep), 1, MOST)
 

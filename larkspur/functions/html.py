@@ -1,13 +1,17 @@
-"""What built-in functions can't do with HTML: Arrow-batched helpers from Python's standard library."""
+"""What built-in functions can't do with HTML: Arrow-batched helpers from Python's standard library.
+
+unescape() decodes all entities of texts that have any; rows without an ampersand aren't sent to Python."""
 
 from __future__ import annotations
 
 import html
 import json
 import re
-from urllib.parse import urljoin, urlparse
+from urllib.parse import urlparse
 
 import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import MapType, StringType, StructField, StructType
 
@@ -18,17 +22,9 @@ def html_unescape(c: pd.Series) -> pd.Series:
     return c.map(html.unescape, na_action="ignore")
 
 
-@pandas_udf(StringType())
-def absolute_url(base: pd.Series, href: pd.Series) -> pd.Series:
-    """href as seen from base; null if either is null or the two can't be joined."""
-
-    def join(b, h):
-        try:
-            return None if pd.isna(b) or pd.isna(h) else urljoin(b, h)
-        except ValueError:
-            return None
-
-    return pd.Series([join(b, h) for b, h in zip(base, href)], dtype=object)
+def unescape(c: Column) -> Column:
+    """c with all named and numeric entities decoded."""
+    return F.coalesce(html_unescape(F.when(F.contains(c, F.lit("&")), c)), c)
 
 
 _FIELDS = ["email", "phone", "website", "address", "hours"]
@@ -71,12 +67,14 @@ def _record(page: str | None) -> dict:
             keep("hours", node.get("openingHours") if isinstance(node.get("openingHours"), str) else None)
             link = node.get("url")
             keep("website", link if isinstance(link, str) and link.startswith(("http://", "https://")) else None)
-            same = node.get("sameAs")
+            same, profiles = node.get("sameAs"), {}
             for u in [same] if isinstance(same, str) else same if isinstance(same, list) else []:
                 host = urlparse(u).netloc.lower().removeprefix("www.") if isinstance(u, str) else ""
                 name = next((p for d, p in PROFILES.items() if host == d or host.endswith("." + d)), None)
                 if name:
-                    made.setdefault("social_links", {}).setdefault(name, u)
+                    profiles[name] = u  # the last of a list, the first of several records
+            if profiles:
+                made["social_links"] = profiles | made.get("social_links", {})
     return made
 
 

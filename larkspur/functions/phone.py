@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from larkspur.functions.email import first_best
-from larkspur.functions.text import unescape_common
+from larkspur.functions.html import unescape
 
 PHONE = r"(?:\+\d{1,3}[\s-]?)?(?:\(?\d{2,4}\)?[\s-]?){2,4}\d{3,4}"
 #: One match takes the label in front with it, so that positions aren't needed.
@@ -29,12 +29,13 @@ def fake(d: Column) -> Column:
 
 def collect_phones(text: Column) -> Column:
     """Distinct candidates in order of appearance, at most 30. A bare run of digits counts only behind a label."""
-    found = F.regexp_extract_all(unescape_common(text), F.lit(LABELLED), F.lit(0))
+    found = F.regexp_extract_all(unescape(text), F.lit(LABELLED), F.lit(0))
     seen = F.transform(found, lambda m: F.struct(F.trim(F.regexp_replace(m, LABEL, "")).alias("v"), m.rlike(LABEL).alias("labelled")))
     seen = F.filter(seen, lambda s: F.length(digits(s["v"])).between(7, 15) & ~fake(digits(s["v"])) & (s["labelled"] | (s["v"] != digits(s["v"]))))
-    values = F.transform(seen, lambda s: s["v"])
-    keys = F.transform(values, digits)
-    return F.slice(F.filter(values, lambda v, i: F.array_position(keys, digits(v)) == i + 1), 1, MOST)
+    keyed = F.transform(seen, lambda s: F.struct(s["v"].alias("v"), digits(s["v"]).alias("d")))
+    none = F.array().cast("array<struct<v:string,d:string>>")
+    again = lambda acc, x: (F.size(acc) >= MOST) | F.exists(acc, lambda y: y["d"] == x["d"])
+    return F.transform(F.aggregate(keyed, none, lambda acc, x: F.when(again(acc, x), acc).otherwise(F.array_append(acc, x))), lambda s: s["v"])
 
 
 def score_phone(c: Column, country: str | None = None) -> Column:

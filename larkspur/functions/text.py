@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from larkspur.functions.html import unescape
+
 # Words that a business name is compared without, and phrases that ask to be left alone.
 NAME_NOISE = ["pvt", "ltd", "llc", "inc", "limited", "private", "company", r"official\s*website", "home"]
 
@@ -44,19 +46,13 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-def collapse_blank_lines(c: Column) -> Column:
-    lines = F.transform(F.split(c, "\n"), lambda x: F.trim(x))
-    return F.trim(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n"), F.lit("\n"))
+LINES = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
-def clean_message(c: Column) -> Column:
-    """A message without quoted history, tags and light markup."""
-    text = F.substring_index(c, "<blockquote", 1)
-    text = F.regexp_replace(text, r"(?s)\bOn [^\n]{0,200}wrote:.*$", "")
-    text = F.regexp_replace(text, r"(?i)<br\s*/?>|</p>", "\n")
-    text = unescape_common(F.regexp_replace(text, "<[^>]+>", ""))
-    text = F.regexp_replace(F.regexp_replace(text, r"\*\*(.+?)\*\*", "$1"), "`([^`]*)`", "$1")
-    return collapse_blank_lines(F.regexp_replace(text, r"(?m)^\s*(?:#{1,6}\s+|[-*•]\s+|\d+\.\s+)", ""))
+def collapse_blank_lines(c: Column) -> Column:
+    """Lines without white space around them (hard spaces are spaces), runs of blank ones as one, none at either end."""
+    lines = F.transform(F.split(c, LINES), lambda x: F.regexp_replace(F.replace(x, F.lit("\xa0"), F.lit(" ")), r"^\s+|\s+$", ""))
+    return F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n"), r"^\n+|\n+$", "")
 
 
 # Where a reply ends and what it quotes begins, in the order in which they are tried.
@@ -69,23 +65,30 @@ QUOTES = [
 ]
 
 
+def plain_message(c: Column) -> Column:
+    """c without what follows a blockquote: line breaks for <br> and </p>, other tags gone, all entities decoded."""
+    text = F.element_at(F.split(c, "(?i)<blockquote", 2), 1)
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"(?i)<br\s*/?>", "\n"), r"(?i)</p\s*>", "\n"), "<[^>]+>", "")
+
+
+def clean_message(c: Column) -> Column:
+    """A message without quoted history, tags and light markup; a null one is empty."""
+    head = F.element_at(F.split(F.element_at(F.split(F.coalesce(c, F.lit("")), "(?i)<blockquote", 2), 1), QUOTES[0], 2), 1)
+    text = unescape(plain_message(head))
+    # The marks that are taken off, in this order.
+    text = F.regexp_replace(F.regexp_replace(text, r"\*\*(.+?)\*\*", "$1"), "`(?!#)([^`]+?)`", "$1")
+    text = F.regexp_replace(text, r"(?m)^\s*#{1,6}\s*", "")
+    return collapse_blank_lines(F.regexp_replace(text, r"(?m)^\s*(?:[-*•]|\d+\.)\s+", ""))
+
+
 def strip_quotes(c: Column) -> Column:
     """A reply as text without what it quotes: up to a blockquote, then up to the first of QUOTES that occurs; if nothing is left, its first 2000 characters."""
-    text = F.element_at(F.split(c, "(?i)<blockquote", 2), 1)
-    text = F.regexp_replace(F.regexp_replace(text, r"(?i)<br\s*/?>", "\n"), r"(?i)</p\s*>", "\n")
-    text = unescape_common(F.regexp_replace(text, "<[^>]+>", ""))
+    text = unescape(plain_message(c))
     pieces = [F.when(text.rlike(p), F.element_at(F.split(text, p, 2), 1)) for p in QUOTES]
     body = collapse_blank_lines(F.coalesce(*pieces, text))
     return F.when(body != "", body).otherwise(F.left(c, F.lit(2000)))
 
 
-def unescape_common(c: Column) -> Column:
-    """The entities that mail bodies use; html_unescape() of functions.html decodes all."""
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#64;", "@"), ("&#x40;", "@"), ("&commat;", "@"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
-
-
 def sender(c: Column) -> Column:
     """(name, email) of a header like ``Name <a@b>``."""
     angle = F.regexp_extract(c, "<([^>]*)>", 1)
@@ -120,3 +123,33 @@ def template_name(body: Column) -> Column:
 def map_first(a: Column, b: Column) -> Column:
     """Both maps; where both have a key, a's value."""
     return F.map_zip_with(a, b, lambda k, x, y: F.coalesce(x, y))
+
+
+def map_set(c: Column, key: str, value: Column) -> Column:
+    """The map with one key set."""
+    return F.map_from_entries(F.concat(F.filter(F.map_entries(c), lambda e: e["key"] != key), F.array(F.struct(F.lit(key).alias("key"), value.alias("value")))))
+
+
+def map_drop(c: Column, key: str) -> Column:
+    return F.map_filter(c, lambda k, v: k != key)
+
+
+def with_parameter(body: Column, name: Column) -> Column:
+    """A message as a template for all: the first name of its recipient replaced by {{1}}, or {{1}} put behind it if the name isn't in it."""
+    first = F.regexp_extract(F.coalesce(name, F.lit("")), r"\S+", 0)
+    return F.when((first != "") & F.contains(body, first), F.replace(body, first, F.lit("{{1}}"))).otherwise(F.concat(body, F.lit(" {{1}}")))
+
+
+# The texts of letters that are sent out.
+SHELL = '<div style="font-family:sans-serif">%s</div>'
+OUTREACH = "<p>Hi %s,</p><p>Thanks for your interest — I'm reaching out from <strong>%s</strong>.</p><p>Would you have a few minutes this week to connect?</p><p>Best regards,<br/>%s</p>"
+
+
+def outreach_letter(name: Column, workspace: Column) -> Column:
+    return F.format_string(SHELL.replace("%s", OUTREACH), name, workspace, workspace)
+
+
+def paragraphs(body: Column) -> Column:
+    """The non-blank lines of a text as paragraphs of a letter."""
+    lines = F.filter(F.split(body, LINES), present)
+    return F.concat(F.lit(SHELL.split("%s")[0]), F.array_join(F.transform(lines, lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))), ""), F.lit(SHELL.split("%s")[1]))

@@ -36,3 +36,8 @@ def open_slots(now: Column, hours: Column, zone: str = "Asia/Karachi", days: int
     opened = F.slice(F.filter(F.transform(all_days, plan), lambda p: p["a"].isNotNull() & p["b"].isNotNull()), 1, days)
     starts = F.transform(opened, lambda p: F.transform(F.filter(F.sequence(p["a"], F.greatest(p["b"], p["a"]), F.lit(step)), lambda m: m < p["b"]), lambda m: F.timestamp_add("MINUTE", m, p["d"])))
     return F.filter(F.flatten(starts), lambda s: s > local)
+
+
+def shown(at: Column, zone: str = "Asia/Karachi") -> Column:
+    """A moment as people of a zone read it."""
+    return F.date_format(F.from_utc_timestamp(at, zone), "yyyy-MM-dd HH:mm")

@@ -18,7 +18,7 @@ SOCIAL = {
 CONTACT_HINT = r"contact|get\s*[-_]?in\s*touch|getintouch|reach\s*us|connect\s*with|about\s*us|say\s*hello|تواصل"
 CONTACT_PATHS = ["/contact", "/contact-us", "/contact.html", "/about", "/about-us"]
 CHALLENGES = ["captcha", "recaptcha", "not a robot", "unusual traffic", "access denied", "verify you are human"]
-ANCHOR = r"(?is)<a\s[^>]*?href=[\"']([^\"'#][^\"']*)[\"'][^>]*>(.*?)</a>"
+ANCHOR = r"(?is)<a[^>]+href=[\"']([^\"'#]+)[\"'][^>]*>(.*?)</a>"
 
 
 def normalize_website(c: Column) -> Column:
@@ -36,9 +36,9 @@ def website_key(c: Column) -> Column:
 
 
 def anchors(html: Column) -> Column:
-    """(href, text) of links that are no fragments, in order."""
+    """(href, text) of links without a fragment, in order; texts without tags, white space collapsed."""
     pairs = F.arrays_zip(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1)).alias("href"), F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(2)).alias("text"))
-    return F.transform(pairs, lambda p: F.struct(p["href"].alias("href"), F.trim(F.regexp_replace(p["text"], "<[^>]+>", "")).alias("text")))
+    return F.transform(pairs, lambda p: F.struct(p["href"].alias("href"), F.trim(F.regexp_replace(F.regexp_replace(p["text"], "<[^>]+>", ""), r"\s+", " ")).alias("text")))
 
 
 def joined(page: Column, href: Column) -> Column:

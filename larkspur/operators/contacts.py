@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import email, phone, url
 from larkspur.functions.html import structured_record
+from larkspur.functions.text import filled
+from larkspur.operators.ordered import running
 
 FIELDS = ["email", "phone", "website", "address", "hours"]
+#: Characters of a site's pages that are kept as its text.
+TEXT = 24_000
 
 
 def _candidates(rows: DataFrame, values: str, same: Column, most: int) -> DataFrame:
@@ -19,8 +23,20 @@ def _candidates(rows: DataFrame, values: str, same: Column, most: int) -> DataFr
     return first.withColumn("nth", nth).where(F.col("nth") <= most).select("site", "same_", F.col("f.v").alias("v"), "nth")
 
 
+def page_texts(pages: DataFrame, site: Column, place: str, html: str, most: int = TEXT) -> DataFrame:
+    """(site, page_text): the first ``most`` characters of a site's non-empty pages put one below the other in order of place, which is distinct within a site.
+
+    Where each page begins is a running sum of lengths; only pages that begin early enough are put together.
+    """
+    rows = pages.select(site.alias("site"), F.col(place).alias("place"), F.col(html).alias("h")).where("site is not null and site <> ''").where(filled(F.col("h")))
+    begins = running(rows.select("site", "place", F.length("h").alias("n_")), ["site"], ["place"], F.col("n_") + 1, "begin_").where(F.col("begin_") < most).select("site", "place")
+    some = rows.join(begins, ["site", "place"], "left_semi").select("site", "place", F.left("h", F.lit(most)).alias("h"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "h"))), lambda x: x["h"]), "\n")
+    return some.groupBy("site").agg(F.left(joined, F.lit(most)).alias("page_text"))
+
+
 def site_contacts(pages: DataFrame, site: Column, place: str, html: str, country: str | None = None) -> DataFrame:
-    """(site, email, phone, website, address, hours, description, social_links, email_candidates, phone_candidates).
+    """(site, email, phone, website, address, hours, description, social_links, email_candidates, phone_candidates, page_text).
 
     Pages of a site are looked at in order of ``place``; site is the host that addresses are compared with.
     A mailto link, else a protected address, is preferred among the found addresses, a tel link among the found
@@ -47,7 +63,7 @@ def site_contacts(pages: DataFrame, site: Column, place: str, html: str, country
         one = each.groupBy("site", "k").agg(F.min(F.struct("place", "v"))["v"].alias("v"))
         return one.groupBy("site").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias(name))
 
-    df = heads.join(mails, "site", "left").join(calls, "site", "left").join(links("links", "l"), "site", "left").join(links("s.social_links", "sl"), "site", "left")
+    df = heads.join(page_texts(pages, site, place, html), "site", "left").join(mails, "site", "left").join(calls, "site", "left").join(links("links", "l"), "site", "left").join(links("s.social_links", "sl"), "site", "left")
     none = F.array().cast("array<string>")
     found = {k: F.coalesce(F.transform(k, lambda x: x["v"]), none) for k in ("e", "p")}
     df = df.withColumns(found)
@@ -59,4 +75,4 @@ def site_contacts(pages: DataFrame, site: Column, place: str, html: str, country
     call = F.coalesce(same, phone.first_best(F.col("p"), lambda v: phone.score_phone(v, country)), "s_phone")
     empty = F.create_map().cast("map<string,string>")
     both = F.map_zip_with(F.coalesce("sl", empty), F.coalesce("l", empty), lambda k, a, b: F.coalesce(a, b))
-    return df.select("site", mail.alias("email"), call.alias("phone"), F.coalesce("s_website", "site").alias("website"), F.col("s_address").alias("address"), F.col("s_hours").alias("hours"), "description", both.alias("social_links"), F.col("e").alias("email_candidates"), F.col("p").alias("phone_candidates"))
+    return df.select("site", mail.alias("email"), call.alias("phone"), F.coalesce("s_website", "site").alias("website"), F.col("s_address").alias("address"), F.col("s_hours").alias("hours"), "description", both.alias("social_links"), F.col("e").alias("email_candidates"), F.col("p").alias("phone_candidates"), F.coalesce("page_text", F.lit("")).alias("page_text"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.operators.ordered import running
@@ -54,19 +54,20 @@ def import_rows(rows: DataFrame, held: DataFrame, rooms: DataFrame, within: str
     day's room is looked at, then the quota, then its keys: once as many are imported as the day has room for, all further
     rows are beyond the day's limit; once the quota is full, the next row ends the import, whether it repeats one or not.
     """
-    marked = mark_duplicates(rows, held, within, order)
-    counted = running(marked, [within], [order], F.col("duplicate").isNull(), "before_").join(rooms.select(within, "day_room", "quota_room"), within, "left")
+    return outcomes(mark_duplicates(rows, held, within, order), F.col("duplicate").isNotNull(), rooms, within, order).withColumn("duplicate", F.when(F.col("outcome") == "duplicate", F.col("duplicate"))).select(*rows.columns, "duplicate", "outcome")
+
+
+def outcomes(rows: DataFrame, repeats: Column, rooms: DataFrame, within: str, order: str) -> DataFrame:
+    """rows with ``outcome``, where repeats tells which rows would be refused as duplicates; rooms as of import_rows()."""
+    counted = running(rows.withColumn("repeats_", repeats), [within], [order], ~F.col("repeats_"), "before_").join(rooms.select(within, "day_room", "quota_room"), within, "left")
     # Whichever room is the smaller one decides about all that follows, the day's where they are alike.
     endless = F.lit(2**62)
     day, quota = (F.greatest(F.coalesce(F.col(c).cast("long"), endless), F.lit(0)) for c in ("day_room", "quota_room"))
     full_day = (day <= quota) & (F.col("before_") >= day)
     full = (quota < day) & (F.col("before_") >= quota)
     ends = counted.where(full).groupBy(within).agg(F.min(order).alias("end_"))
-    out = counted.join(ends, within, "left")
     said = F.when(full_day, "daily_limit_reached").when(full & (F.col(order) == F.col("end_")), "quota_exceeded").when(full, "not_reached")
-    outcome = said.when(F.col("duplicate").isNotNull(), "duplicate").otherwise("imported")
-    reason = F.when(outcome == "duplicate", F.col("duplicate"))
-    return out.select(*rows.columns, reason.alias("duplicate"), outcome.alias("outcome"))
+    return counted.join(ends, within, "left").select(*rows.columns, said.when(F.col("repeats_"), "duplicate").otherwise("imported").alias("outcome"))
 
 
 def update_conflicts(leads: DataFrame, updates: DataFrame, within: str = "workspace_id", key: str = "lead_id") -> DataFrame:

@@ -37,13 +37,6 @@ def replay(activity: DataFrame, workspace: str, last: int = 100) -> DataFrame:
     return one.orderBy(F.desc("created_at"), "stage").limit(last).orderBy("created_at", "stage")
 
 
-def within_radius(pois: DataFrame, limit: int, steps: tuple[float, ...] = (15, 50)) -> DataFrame:
-    """Points (distance_km) of the smallest radius that holds enough of them, else of the largest."""
-    counts = pois.agg(*(F.count_if(F.col("distance_km") <= r).alias(f"r{i}") for i, r in enumerate(steps))).first()
-    enough = next((r for i, r in enumerate(steps) if counts[f"r{i}"] >= limit), steps[-1])
-    return pois.where(F.col("distance_km") <= enough)
-
-
 def web_results(rows: DataFrame, directories: list[str], source: str = "web_search") -> DataFrame:
     """Search results (title, url) as candidates: the title up to a bar as name, directory hosts left out."""
     from larkspur.functions import email, text, url
@@ -51,9 +44,3 @@ def web_results(rows: DataFrame, directories: list[str], source: str = "web_sear
     host = email.host(F.col("url"))
     kept = rows.where(filled(F.col("url")) & ~F.coalesce(url.blocked_host(host, directories), F.lit(False)))
     return kept.select(text.clean_business_name(F.col("title")).alias("name"), F.col("url").alias("website"), F.lit(source).alias("source")).where(filled(F.col("name")))
-
-
-def expand_synonyms(niche: str, groups: dict[str, list[str]], most: int = 3) -> list[str]:
-    """The niche and up to so many other words for it, in the table's order."""
-    key = niche.strip().lower()
-    return list(dict.fromkeys([key, *groups.get(key, [])]))[: most + 1]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import filled
+from larkspur.functions.text import filled, subject
 
 
 def guarded_update(leads: DataFrame, updates: DataFrame, within: str = "workspace_id", key: str = "lead_id") -> DataFrame:
@@ -21,15 +21,28 @@ def guarded_update(leads: DataFrame, updates: DataFrame, within: str = "workspac
     return asked.withColumn("blocked", other).join(own, key).select(key, F.when(F.col("blocked"), F.col("email")).otherwise(F.col("new_email")).alias("email"), "blocked")
 
 
-def find_or_create(conversations: DataFrame, asked: DataFrame, customer: str, oldest: list[str | Column]) -> DataFrame:
-    """(customer, conversation, thread_id, created) for each asked customer (customer, thread_id): the oldest conversation, else a new one.
+def find_or_create(conversations: DataFrame, asked: DataFrame, fill: tuple[str, ...] = ("thread_id", "customer_name")) -> DataFrame:
+    """asked (account, customer_email, customer_name, subject, thread_id, ordinal) with conversation and ``created``; subject, and the fields to fill as they are in the end.
 
-    A thread id is only filled in where the conversation has none.
+    A customer of an account has one conversation, found by address, case and white space around it aside: the oldest
+    (created_at, conversation), else one that the first ask creates, all later asks being of that one; conversation is then null. Of the fields
+    to fill, one that the conversation lacks is taken from the first ask that has it. Only a new conversation gets a subject: the first ask's, "Re: "
+    before it, or one made of the name. Asks without an address are of no conversation and come out with created null. Each customer is one row of
+    partial sums before any ask is looked at, so that one with very many asks is joined, not gathered.
     """
-    first = conversations.withColumn("rn_", F.row_number().over(Window.partitionBy(customer).orderBy(*oldest))).where("rn_ = 1")
-    both = asked.withColumnRenamed("thread_id", "new_").join(first.select(customer, "conversation", "thread_id"), customer, "left")
-    thread = F.when(filled(F.col("thread_id")), F.col("thread_id")).otherwise(F.col("new_"))
-    return both.select(customer, "conversation", thread.alias("thread_id"), F.col("conversation").isNull().alias("created"))
+    key = F.lower(F.trim("customer_email"))
+    keyed = asked.withColumn("key_", F.nullif(key, F.lit("")))
+    old = conversations.where(F.col("customer_email").isNotNull()).withColumn("key_", F.lower("customer_email"))
+    old = old.groupBy("account", "key_").agg(F.min_by(F.struct("conversation", *fill), F.struct("created_at", "conversation")).alias("old_"))
+    who = F.coalesce(F.nullif("customer_name", F.lit("")), F.trim("customer_email"))
+    first = F.struct("ordinal", subject(F.trim("subject"), who).alias("subject"))
+    asks = keyed.where("key_ is not null").groupBy("account", "key_").agg(F.min(first).alias("first_"), *(F.min(F.when(filled(F.col(c)), F.struct("ordinal", c))).alias(f"new_{c}_") for c in fill))
+    known = asks.join(old, ["account", "key_"], "left").withColumnRenamed("account", "a_").withColumnRenamed("key_", "k_")
+    rows = keyed.drop("subject", *fill).join(known, (F.col("account") == F.col("a_")) & (F.col("key_") == F.col("k_")), "left")
+    none = F.col("old_").isNull()
+    values = [F.coalesce(F.when(filled(F.col(f"old_.{c}")), F.col(f"old_.{c}")), F.col(f"new_{c}_.{c}")).alias(c) for c in fill]
+    created = F.when(F.col("k_").isNotNull(), none & (F.col("ordinal") == F.col("first_.ordinal")))
+    return rows.select(*(c for c in asked.columns if c not in ("subject", *fill)), F.col("old_.conversation").alias("conversation"), created.alias("created"), F.when(none, F.col("first_.subject")).alias("subject"), *values)
 
 
 def account_choice(accounts: DataFrame, within: str, active: Column, order: list[str | Column]) -> DataFrame:
@@ -73,28 +86,70 @@ def tier_tags(rows: DataFrame, tier: str, city: str, niche: str, asked_city: str
     return rows.withColumns({"result_city": F.coalesce(F.nullif(city, F.lit("")), F.lit(asked_city)), "is_fallback_city": F.col(tier) > 0, "original_niche": F.when(other, asked_niche)})
 
 
-def enrichment_batch(leads: DataFrame, plain: DataFrame, browser: DataFrame, lookup: DataFrame, key: str, most: int = 10) -> DataFrame:
-    """(key, phone, via): the plain result, else the browser's, else for at most ``most`` leads without phone and website the lookup's.
+FIELDS = ["email", "phone", "website", "address"]
 
-    Inputs have one row (key, found) a lead.
+
+def enrichment_batch(leads: DataFrame, plain: DataFrame, browser: DataFrame, lookup: DataFrame, key: str = "lead_id", order: str = "ordinal", most: int = 10) -> DataFrame:
+    """leads with their empty fields filled, ``via`` (website or google_maps), ``enrichment_status`` and ``enrichment_error``.
+
+    plain has a row (key, blocked, FIELDS) a site that was read: nothing found is a row of nulls, and a site that could not be
+    read at all is blocked. Only a blocked site's lead gets the browser's row (key, FIELDS). Sites count for leads with a name. A lead with a name, no
+    phone and no website gets the lookup's row, but only the first ``most`` such leads are looked up, found or not. Leads without a name fail.
     """
-    side = lambda df, name: df.select(key, F.col("found").alias(name))
-    df = leads.join(side(plain, "plain_"), key, "left").join(side(browser, "browser_"), key, "left")
-    needy = df.where(~filled(F.col("phone")) & ~filled(F.col("website")) & F.col("plain_").isNull() & F.col("browser_").isNull())
-    some = needy.orderBy(key).limit(most).select(key).join(side(lookup, "lookup_"), key)
-    df = df.join(some, key, "left")
-    via = F.when(F.col("plain_").isNotNull(), "plain").when(F.col("browser_").isNotNull(), "browser").when(F.col("lookup_").isNotNull(), "lookup")
-    return df.select(key, F.coalesce("plain_", "browser_", "lookup_").alias("found"), via.alias("via"))
+    fields = [c for c in FIELDS if c in leads.columns]
+    named, sited = filled(F.col("name")), filled(F.col("name")) & filled(F.col("website"))
+    side = lambda df, name, *more: df.select(key, F.struct(*(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in fields)).alias(name), *more)
+    any_ = lambda s: F.greatest(F.lit(False), *(filled(F.col(f"{s}.{c}")) for c in fields))
+    df = leads.join(side(plain, "plain_", F.coalesce("blocked", F.lit(False)).alias("blocked_")), key, "left").join(side(browser, "browser_"), key, "left")
+    asked = leads.where(named & ~filled(F.col("phone")) & ~filled(F.col("website"))).orderBy(order).limit(most).select(key)
+    df = df.join(side(lookup, "lookup_").join(F.broadcast(asked), key), key, "left")
+    site = F.when(sited & ~F.col("blocked_") & any_("plain_"), F.col("plain_")).when(sited & F.col("blocked_") & any_("browser_"), F.col("browser_"))
+    df = df.withColumn("site_", site).withColumn("found_", F.coalesce("lookup_", "site_"))
+    via = F.when(F.col("lookup_").isNotNull(), "google_maps").when(F.col("site_").isNotNull(), "website")
+    new = {c: F.when(filled(F.col(c)) | ~filled(F.col(f"found_.{c}")), F.col(c)).otherwise(F.col(f"found_.{c}")) for c in fields}
+    out = df.withColumns({**new, "via": via, "enrichment_status": F.when(named, "done").otherwise("failed"), "enrichment_error": F.when(~named, "missing name")})
+    return out.select(*leads.columns, "via", "enrichment_status", "enrichment_error")
+
+
+def offered(asked: Column, slots: Column, seconds: int = 1800) -> Column:
+    """Whether a time lies less than so many seconds from one of the slots that were offered."""
+    return F.coalesce(F.exists(slots, lambda s: F.abs(F.unix_micros(s) - F.unix_micros(asked)) < seconds * 1_000_000), F.lit(False))
+
+
+def since(rows: DataFrame, day: str, today: Column) -> DataFrame:
+    """What a daily clean-up leaves: rows of today and later; rows without a day stay."""
+    return rows.where(F.coalesce(F.col(day) >= today, F.lit(True)))
+
+
+def presence(*columns: str) -> Column:
+    """How many of the columns are filled."""
+    return sum((F.when(filled(F.col(c)), 1).otherwise(0) for c in columns), F.lit(0))
+
+
+def member_of(permission: str, grants: Column) -> Column:
+    return F.coalesce(F.array_contains(grants, permission), F.lit(False))
+
+
+# How many rows a source is asked for.
+OVERSAMPLE, FETCH_MOST = 3, 150
+
+
+def fetch_limit(wanted: Column) -> Column:
+    return F.least(F.greatest(wanted, F.lit(1)) * OVERSAMPLE, F.lit(FETCH_MOST))
 
 
 # Words of names that tell nothing about whose site a host is.
-GENERIC = ["the", "and", "shop", "store", "company", "services", "service", "group", "restaurant", "clinic", "studio", "center", "centre"]
+GENERIC = [
+    "dental", "dentist", "dentistry", "clinic", "clinics", "care", "center", "centre", "hospital", "medical", "med", "dr", "doctor", "doctors", "lab", "labs", "laboratory", "opd", "group", "associates", "associate",
+    "services", "service", "and", "the", "of", "co", "ltd", "limited", "pvt", "private", "smile", "smiles", "best", "top", "near", "me", "in", "karachi", "lahore", "islamabad", "pakistan",
+]
 
 
-def own_site(name: Column, host: Column, generic: list[str] = GENERIC) -> Column:
-    """Whether the host holds a distinctive word (over two letters) of the name; a name of generic words only accepts any."""
-    words = F.array_except(F.filter(F.regexp_extract_all(F.lower(name), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) > 2), F.array(*map(F.lit, generic)))
-    return (F.size(words) == 0) | F.exists(words, lambda w: F.contains(F.lower(host), w))
+def own_site(name: Column, href: Column, generic: list[str] = GENERIC) -> Column:
+    """Whether the host of href holds a distinctive word of the name, three letters a-z or more; a name of generic words only accepts any."""
+    host = F.lower(F.regexp_extract(href, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    words = F.array_except(F.regexp_extract_all(F.lower(F.coalesce(name, F.lit(""))), F.lit("[a-z]{3,}"), F.lit(0)), F.array(*map(F.lit, generic)))
+    return (F.size(words) == 0) | F.exists(words, lambda w: F.contains(host, w))
 
 
 def append_log(events: DataFrame, path: str) -> None:

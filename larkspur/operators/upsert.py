@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.operators.imports import outcomes
 
 def insert_absent(new: DataFrame, old: DataFrame, keys: list[str], order: list) -> tuple[DataFrame, DataFrame]:
     """(rows to add, one row with added and skipped): new rows without an old row of their keys, the first of each key."""
@@ -47,27 +48,9 @@ def mark_repeated(leads: DataFrame, flag: str = "already_in_workspace") -> DataF
 
 
 def classify_import(rows: DataFrame, duplicate: Column, used_today: int, daily_limit: int, used: int, quota: int) -> DataFrame:
-    """rows (ordinal) with ``outcome``: imported, duplicate, daily_limit_reached, quota_exceeded or not_reached.
-
-    In order: beyond the day's limit a row is skipped, a duplicate counts against nothing, and the
-    first row that the quota can't take ends the import. Ordinals are distinct. All that is needed
-    of the order is where the room runs out: one top-k over the ordinals of fresh rows, k being the
-    smaller of the two rooms, which plans keep small; no task sees the whole list.
-    """
-    day_room, quota_room = max(0, daily_limit - used_today), max(0, quota - used)
-    ends = quota_room < day_room
-    k = quota_room + 1 if ends else day_room
-    fresh = rows.where(~duplicate).select("ordinal")
-    last = fresh.orderBy("ordinal").limit(k).agg(F.max("ordinal").alias("m"), F.count("*").alias("c")).first() if k else None
-    here = F.col("ordinal")
-    new = F.when(duplicate, "duplicate").otherwise("imported")
-    if last is not None and last.c < k:
-        outcome = new
-    elif ends:
-        outcome = F.when(here > last.m, "not_reached").when(here == last.m, "quota_exceeded").otherwise(new)
-    else:
-        outcome = F.when(here > last.m, "daily_limit_reached").otherwise(new) if k else F.lit("daily_limit_reached")
-    return rows.withColumn("outcome", outcome)
+    """rows (ordinal) of one workspace with ``outcome``: see imports.import_rows(); duplicate tells which rows repeat a lead."""
+    one = rows.sparkSession.createDataFrame([(0, daily_limit - used_today, quota - used)], "one_ int, day_room int, quota_room int")
+    return outcomes(rows.withColumn("one_", F.lit(0)), duplicate, one, "one_", "ordinal").drop("one_")
 
 
 def purge(tables: dict[str, DataFrame], workspace: str, key: str = "workspace_id") -> dict[str, DataFrame]:

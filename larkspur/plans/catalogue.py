@@ -338,13 +338,6 @@ def doc_best_email(spark, d):
     return found.where("best is not null")
 
 
-@query()
-def doc_all_emails(spark, d):
-    """Every document's addresses and the best of them."""
-    e = email.collect_emails(F.coalesce("text", F.lit("")))
-    return t(spark, d, "documents").select("doc_id", F.array_join(e, ",").alias("emails"), F.size(e).cast("long").alias("n"), email.best_email(F.col("text")).alias("best"))
-
-
 @query()
 def doc_phones(spark, d):
     """Every document's numbers and the best of them."""
@@ -370,7 +363,7 @@ def page_meta_description(spark, d):
     return t(spark, d, "pages").select("page_id", url.meta_description(F.col("html")).alias("description"))
 
 
-@query("""select page_id, len(regexp_extract_all(html, '<a href="[^"#][^"]*">[^<]*</a>')) as links from pages""")
+@query("""select page_id, len(regexp_extract_all(html, '(?is)<a[^>]+href=["'']([^"''#]+)["''][^>]*>(.*?)</a>')) as links from pages""")
 def page_links(spark, d):
     return t(spark, d, "pages").select("page_id", F.size(url.anchors(F.col("html"))).cast("long").alias("links"))
 
@@ -410,11 +403,6 @@ def strip_page_tags(spark, d):
     return t(spark, d, "pages").select(F.col("page_id").alias("doc_id"), text.strip_tags(F.col("html")).alias("plain"))
 
 
-@query(r"""select page_id as doc_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) as plain from pages""")
-def strip_whole_page_tags(spark, d):
-    return t(spark, d, "pages").select(F.col("page_id").alias("doc_id"), text.strip_tags(F.col("html")).alias("plain"))
-
-
 # ---- Entity resolution ----------------------------------------------------------------------------------------------
 
 

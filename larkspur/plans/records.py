@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larkspur.functions import url
+from larkspur.functions import text, url
+from larkspur.functions import time as clock
 from larkspur.operators import records, resolve
 from larkspur.plans.base import query, streamed, t
 from larkspur.plans.catalogue import candidates
@@ -81,8 +82,7 @@ def stream_delivery_latest(spark, d):
 
 @query(f"with {LEADS_SQL} select lead_id, cast(coalesce(email, '') <> '' as int) + cast(coalesce(phone, '') <> '' as int) + cast(coalesce(website, '') <> '' as int) as present from leads")
 def contact_presence(spark, d):
-    present = [(F.coalesce(c, F.lit("")) != "").cast("int") for c in ("email", "phone", "website")]
-    return leads(spark, d).select("lead_id", (present[0] + present[1] + present[2]).alias("present"))
+    return leads(spark, d).select("lead_id", records.presence("email", "phone", "website").alias("present"))
 
 
 _NINE = "['google_maps', 'directory', 'openstreetmap', 'web_search', 'wikidata', 'wikipedia', 'certtransparency', 'dns', 'bing_maps']"
@@ -100,12 +100,20 @@ def last_admin_guard(spark, d):
     return records.revocable(t(spark, d, "supplier"), "s_nationkey", F.col("s_acctbal") > 5000).select(F.col("s_suppkey").alias("admin"), "blocked")
 
 
-@query("""with f as (select *, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as rn from orders)
-select c_custkey as customer, o_orderkey as conversation, case when o_orderstatus = 'F' then 'new' || c_custkey else coalesce(o_orderpriority, 'new' || c_custkey) end as thread_id, o_orderkey is null as created from customer left join f on o_custkey = c_custkey and rn = 1""")
+_HELD = "select o_orderkey as conversation, o_orderkey % 3 as account, case when o_orderkey % 7 = 0 then null else concat('User', cast(o_custkey % 701 as varchar(20)), '@X.org') end as customer_email, case when o_orderstatus = 'F' then '' else o_orderpriority end as thread_id, case when o_orderkey % 2 = 0 then null else 'known' end as customer_name, o_orderdate as created_at from orders"
+_ASKS = "select c_custkey as ordinal, c_custkey % 4 as account, case when c_custkey % 11 = 0 then ' ' else concat(' user', cast(c_custkey * 3 % 997 as varchar(20)), '@x.ORG') end as customer_email, case when c_custkey % 3 = 0 then '' else c_name end as customer_name, case c_custkey % 4 when 0 then null when 1 then 're: ' || c_mktsegment when 2 then ' ' else c_mktsegment end as subject, case when c_custkey % 5 = 0 then null else 'new' || c_custkey end as thread_id from customer"
+
+
+@query(f"""with h as (select *, lower(customer_email) as key, row_number() over (partition by account, lower(customer_email) order by created_at, conversation) as rn from ({_HELD}) where customer_email is not null),
+a as (select *, nullif(lower(trim(customer_email)), '') as key from ({_ASKS})), f as (select *, min(ordinal) over (partition by account, key) as first, first_value(nullif(thread_id, '') ignore nulls) over (partition by account, key order by ordinal rows between unbounded preceding and unbounded following) as new_thread,
+first_value(nullif(customer_name, '') ignore nulls) over (partition by account, key order by ordinal rows between unbounded preceding and unbounded following) as new_name, first_value(trim(customer_email)) over (partition by account, key order by ordinal) as spelt, first_value(coalesce(customer_name, '')) over (partition by account, key order by ordinal) as asker, first_value(coalesce(trim(subject), '')) over (partition by account, key order by ordinal) as about from a)
+select f.ordinal, f.account, h.conversation, case when f.key is not null then h.conversation is null and f.ordinal = f.first end as created,
+case when f.key is not null and h.conversation is null then case when about = '' then 'Re: Conversation with ' || case when asker = '' then spelt else asker end when starts_with(lower(about), 're:') then about else 'Re: ' || about end end as subject,
+case when f.key is not null then coalesce(nullif(h.thread_id, ''), new_thread) end as thread_id, case when f.key is not null then coalesce(h.customer_name, new_name) end as customer_name from f left join h on h.account = f.account and h.key = f.key and h.rn = 1""")
 def find_or_create_conversation(spark, d):
-    held = t(spark, d, "orders").select(F.col("o_custkey").alias("customer"), F.col("o_orderkey").alias("conversation"), F.when(F.col("o_orderstatus") == "F", "").otherwise(F.col("o_orderpriority")).alias("thread_id"), "o_orderdate")
-    asked = t(spark, d, "customer").select(F.col("c_custkey").alias("customer"), F.concat(F.lit("new"), "c_custkey").alias("thread_id"))
-    return records.find_or_create(held, asked, "customer", ["o_orderdate", "conversation"])
+    held = spark.sql(_HELD.replace("varchar(20)", "string").replace("from orders", "from {o}"), o=t(spark, d, "orders"))
+    asked = spark.sql(_ASKS.replace("varchar(20)", "string").replace("from customer", "from {c}"), c=t(spark, d, "customer"))
+    return records.find_or_create(held, asked).select("ordinal", "account", "conversation", "created", "subject", "thread_id", "customer_name")
 
 
 @query("with r as (select *, row_number() over (partition by s_nationkey order by s_acctbal > 5000 desc, s_suppkey) as rn from supplier) select s_nationkey as workspace_id, s_suppkey as account from r where rn = 1")
@@ -128,10 +136,9 @@ def lead_search_total(spark, d):
     return leads(spark, d).where(hit).agg(F.count("*").alias("total")).select("total", F.least("total", F.lit(25)).cast("long").alias("shown"))
 
 
-@query("select event_type, count(*) filter (where ts < timestamp '2024-01-15 00:00:00') as deleted, count(*) filter (where ts >= timestamp '2024-01-15 00:00:00') as kept from events group by 1")
+@query("select event_id, event_type from events where ts >= timestamp '2024-01-15 00:00:00'")
 def retention_before_today(spark, d):
-    old = F.col("ts") < F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
-    return t(spark, d, "events").groupBy("event_type").agg(F.count_if(old).alias("deleted"), F.count_if(~old).alias("kept"))
+    return records.since(t(spark, d, "events"), "ts", F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")).select("event_id", "event_type")
 
 
 @query("""select n_nationkey as workspace_id, coalesce(case when n_nationkey % 4 = 0 then 99 end, r_regionkey * 100) as leads_quota, coalesce(case when n_nationkey % 6 = 0 then 7 end, r_regionkey + 1) as seats_quota from nation left join region on r_regionkey = n_regionkey""")
@@ -153,32 +160,39 @@ def tier_tagged_results(spark, d):
     return records.tier_tags(rows, "tier", "city", "niche", "KARACHI", "building").select("lead_id", "result_city", "is_fallback_city", "original_niche")
 
 
-@query(f"""with {LEADS_SQL}, o as (select o_custkey as k, max(o_orderpriority) filter (where o_orderstatus = 'P') as p, max(o_orderpriority) filter (where o_orderstatus = 'O') as b, max(o_orderpriority) as l from orders group by 1),
-j as (select lead_id, coalesce(phone, '') = '' and coalesce(website, '') = '' and p is null and b is null as needy, p, b, l from leads left join o on k = lead_id), n as (select *, needy and row_number() over (partition by needy order by lead_id) <= 10 as looked from j)
-select lead_id, coalesce(p, b, case when looked then l end) as found, case when p is not null then 'plain' when b is not null then 'browser' when looked and l is not null then 'lookup' end as via from n""")
+@query(f"""with {LEADS_SQL}, l as (select lead_id, ordinal, case when lead_id % 8 = 0 then '' else name end as name, phone, email, website, address from leads), o as (select o_custkey as k, max(o_orderpriority) filter (where o_orderstatus = 'P') as p, max(o_orderkey) % 3 = 0 as blocked, max(o_orderpriority) filter (where o_orderstatus = 'O') as b, max(o_orderpriority) as g from orders group by 1),
+n as (select *, name <> '' and coalesce(phone, '') = '' and coalesce(website, '') = '' as needy from l), r as (select *, row_number() over (partition by needy order by ordinal) as place from n),
+x as (select r.*, case when needy and place <= 10 then g end as looked, case when name <> '' and website <> '' then case when blocked then b else p end end as site from r left join o on o.k = lead_id)
+select lead_id, coalesce(nullif(address, ''), looked, site) as address, phone, case when looked is not null then 'google_maps' when site is not null then 'website' end as via, case when name = '' then 'failed' else 'done' end as enrichment_status, case when name = '' then 'missing name' end as enrichment_error from x""")
 def enrichment_batch(spark, d):
-    o = t(spark, d, "orders")
-    best = lambda df: df.groupBy(F.col("o_custkey").alias("lead_id")).agg(F.max("o_orderpriority").alias("found"))
-    return records.enrichment_batch(leads(spark, d), best(o.where("o_orderstatus = 'P'")), best(o.where("o_orderstatus = 'O'")), best(o), "lead_id")
+    every = leads(spark, d).select("lead_id", "ordinal", F.when(F.col("lead_id") % 8 == 0, "").otherwise(F.col("name")).alias("name"), "phone", "email", "website", "address")
+    o = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("lead_id"))
+    only = lambda s: F.max(F.when(F.col("o_orderstatus") == s, F.col("o_orderpriority"))).alias("address")
+    plain, browser = o.agg(only("P"), (F.max("o_orderkey") % 3 == 0).alias("blocked")), o.agg(only("O"))
+    got = records.enrichment_batch(every, plain, browser, o.agg(F.max("o_orderpriority").alias("address")))
+    return got.select("lead_id", "address", "phone", "via", "enrichment_status", "enrichment_error")
 
 
-@query("select event_id, strftime(ts + interval 5 hours, '%Y-%m-%d %H:%M') as shown, abs(epoch_us(ts) - epoch_us(time_bucket(interval 1 hour, ts) + interval 30 minutes)) < 1000 * 1000 * 1200 as near_slot from events")
+@query("select event_id, strftime(ts + interval 5 hours, '%Y-%m-%d %H:%M') as shown, abs(epoch_us(ts) - epoch_us(time_bucket(interval 4 hours, ts) + interval 30 minutes)) < 1800000000 or abs(epoch_us(ts) - epoch_us(time_bucket(interval 4 hours, ts) + interval 150 minutes)) < 1800000000 as near_slot from events")
 def display_times(spark, d):
     utc = F.col("ts").cast("timestamp")
-    slot = F.unix_micros(F.date_trunc("HOUR", utc)) + 1_800_000_000
-    return t(spark, d, "events").select("event_id", F.date_format(F.from_utc_timestamp(utc, "Asia/Karachi"), "yyyy-MM-dd HH:mm").alias("shown"), (F.abs(F.unix_micros(utc) - slot) < 1_200_000_000).alias("near_slot"))
+    four = F.timestamp_micros(F.unix_micros(utc) - F.pmod(F.unix_micros(utc), F.lit(14_400_000_000)))
+    slots = F.array(four + F.expr("interval 30 minutes"), four + F.expr("interval 150 minutes"))
+    return t(spark, d, "events").select("event_id", clock.shown(utc).alias("shown"), records.offered(utc, slots).alias("near_slot"))
 
 
-@query("select s_suppkey, replace('Hi {{1}}, your order is ready', '{{1}}', split_part(s_name, '#', 1)) as body, 'Hello ' || s_name || ',' || chr(10) || 'welcome to ' || n_name || '.' as greeting from supplier join nation on n_nationkey = s_nationkey")
+@query("""with s as (select s_suppkey, ' ' || replace(s_name, '#', ' ') as name, n_name, case when s_suppkey % 3 = 0 then 'Dear client' else 'Dear Supplier, dear Supplier!' end as body from supplier join nation on n_nationkey = s_nationkey)
+select s_suppkey, case when contains(body, 'Supplier') then replace(body, 'Supplier', '{{1}}') else body || ' {{1}}' end as template, '<div style="font-family:sans-serif"><p>Hi' || name || ',</p><p>Thanks for your interest — I''m reaching out from <strong>' || n_name || '</strong>.</p><p>Would you have a few minutes this week to connect?</p><p>Best regards,<br/>' || n_name || '</p></div>' as letter,
+'<div style="font-family:sans-serif"><p>' || body || '</p><p> two</p></div>' as step from s""")
 def filled_templates(spark, d):
     s = t(spark, d, "supplier").join(t(spark, d, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
-    body = F.replace(F.lit("Hi {{1}}, your order is ready"), F.lit("{{1}}"), F.split("s_name", "#")[0])
-    return s.select("s_suppkey", body.alias("body"), F.format_string("Hello %s,\nwelcome to %s.", "s_name", "n_name").alias("greeting"))
+    body, name = F.when(F.col("s_suppkey") % 3 == 0, "Dear client").otherwise("Dear Supplier, dear Supplier!"), F.concat(F.lit(" "), F.replace("s_name", F.lit("#"), F.lit(" ")))
+    return s.select("s_suppkey", text.with_parameter(body, name).alias("template"), text.outreach_letter(F.trim(name), F.col("n_name")).alias("letter"), text.paragraphs(F.concat(body, F.lit("\n  \n two\r\n"))).alias("step"))
 
 
 @query("select p_partkey, least(greatest(p_size, 1) * 3, 150) as fetch_limit from part")
 def fetch_limits(spark, d):
-    return t(spark, d, "part").select("p_partkey", F.least(F.greatest("p_size", F.lit(1)) * 3, F.lit(150)).alias("fetch_limit"))
+    return t(spark, d, "part").select("p_partkey", records.fetch_limit(F.col("p_size")).alias("fetch_limit"))
 
 
 @query("select l_orderkey as job, string_agg(case when l_linenumber = 2 then 'done' else l_returnflag end, ',' order by l_linenumber, l_partkey, l_returnflag) as items from lineitem group by 1")
@@ -188,36 +202,46 @@ def patched_job_items(spark, d):
     return got.select("job", F.array_join(patched, ",").alias("items"))
 
 
-@query("select event_id, 'm:' || coalesce(event_type, '') || ',seen:yes' as props from events")
+@query("select event_id, case when event_id % 2 = 0 then 'k=' || (props::json->>'k') || ',seen=' || event_type else 'seen=' || event_type end as props from events")
 def map_keys_set_and_dropped(spark, d):
-    m = F.create_map(F.lit("m"), F.lit("old"), F.lit("k"), F.lit("gone"))
-    dropped = F.map_filter(m, lambda k, v: k != "k")
-    both = F.map_zip_with(dropped, F.create_map(F.lit("m"), F.coalesce("event_type", F.lit("")), F.lit("seen"), F.lit("yes")), lambda k, a, b: F.coalesce(b, a))
-    said = F.array_join(F.transform(F.array_sort(F.map_entries(both)), lambda e: F.concat_ws(":", e["key"], e["value"])), ",")
+    m = text.map_set(F.from_json("props", "map<string,string>"), "seen", F.col("event_type"))
+    m = F.when(F.col("event_id") % 2 == 0, m).otherwise(text.map_drop(m, "k"))
+    said = F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
     return t(spark, d, "events").select("event_id", said.alias("props"))
 
 
-_GEN = "['" + "','".join(records.GENERIC) + "']"
-
-
-@query(f"""with w as (select p_partkey, p_type, list_filter(regexp_extract_all(lower(p_name), '[a-z0-9]+'), lambda w: length(w) > 2 and not list_contains({_GEN}, w)) as ws from part)
-select p_partkey, len(ws) = 0 or len(list_filter(ws, lambda w: contains(lower(p_type), w))) > 0 as own from w""")
+@query("""with w as (select s_suppkey, s_suppkey % 4 in (1, 3) as vague, regexp_extract_all(lower(n_name), '[a-z]{3,}') as words, 'www.' || lower(replace(n_name, ' ', '')) || '.example.org' as host from supplier join nation on n_nationkey = s_nationkey)
+select s_suppkey, vague or len(words) = 0 or len(list_filter(words, lambda x: contains(host, x))) > 0 as own, vague or len(words) = 0 or len(list_filter(words, lambda x: contains('other.example.org', x))) > 0 as other from w""")
 def own_site_check(spark, d):
-    return t(spark, d, "part").select("p_partkey", records.own_site(F.col("p_name"), F.col("p_type")).alias("own"))
+    s = t(spark, d, "supplier").join(t(spark, d, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    k = F.col("s_suppkey") % 4
+    name = F.when(k == 0, F.concat(F.lit("Dental Care of "), "n_name")).when(k == 1, "The best clinic in Karachi").when(k == 2, F.concat(F.lit("Dr. "), "n_name", F.lit(" & co")))
+    href, other = F.concat(F.lit("https://www."), F.lower(F.replace("n_name", F.lit(" "), F.lit(""))), F.lit(".example.org/supplier")), F.concat(F.lit("http://other.example.org/"), F.lower("n_name"))
+    return s.select("s_suppkey", records.own_site(name, href).alias("own"), records.own_site(name, other).alias("other"))
 
 
 @query("""select s_suppkey as admin, coalesce(bool_or(l_returnflag = 'R'), false) as may_revoke from supplier left join lineitem on l_suppkey = s_suppkey group by 1""")
 def permission_membership(spark, d):
     grants = t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.collect_set("l_returnflag").alias("p"))
     s = t(spark, d, "supplier").select("s_suppkey").join(grants, "s_suppkey", "left")
-    return s.select(F.col("s_suppkey").alias("admin"), F.coalesce(F.array_contains("p", "R"), F.lit(False)).alias("may_revoke"))
+    return s.select(F.col("s_suppkey").alias("admin"), records.member_of("R", F.col("p")).alias("may_revoke"))
 
 
-@query("""with c as (select event_id, unnest(['403', '200', '200', '200']) as s, unnest(['x', 'Please solve the CAPTCHA', 'Verify you are human', 'welcome ' || event_type]) as b from events) select event_id, s as status, s = '403' or regexp_matches(lower(b), 'captcha|not a robot|unusual traffic|access denied|verify you are human') as blocked from c""")
+_SEEN = "case page_id % 5 when 0 then concat(html, ' Please solve the CAPTCHA') when 1 then concat('Unusual Traffic ', html) else html end"
+
+
+@query(f"with c as (select page_id, case when page_id % 7 = 0 then 403 when page_id % 11 = 0 then 429 when page_id % 13 = 0 then 500 else 200 end as status, {_SEEN} as body from pages) select page_id, status, status in (403, 429) or regexp_matches(lower(body), 'captcha|not a robot|unusual traffic|access denied|verify you are human') as blocked from c")
 def challenge_pages(spark, d):
-    rows = F.array(*(F.struct(F.lit(s).alias("s"), b.alias("b")) for s, b in (("403", F.lit("x")), ("200", F.lit("Please solve the CAPTCHA")), ("200", F.lit("Verify you are human")), ("200", F.concat(F.lit("welcome "), "event_type")))))
-    e = t(spark, d, "events").select("event_id", F.explode(rows).alias("r"))
-    return e.select("event_id", F.col("r.s").alias("status"), url.challenge_page(F.col("r.s").cast("int"), F.col("r.b")).alias("blocked"))
+    n = F.col("page_id")
+    status = F.when(n % 7 == 0, 403).when(n % 11 == 0, 429).when(n % 13 == 0, 500).otherwise(200)
+    return t(spark, d, "pages").select("page_id", status.alias("status"), url.challenge_page(status, F.expr(_SEEN)).alias("blocked"))
+
+
+@query("""select o_orderkey, 'Hello ' || o_custkey || ' café € & ’' || chr(10) || 'first' || chr(10) || 'second ' || o_orderpriority || chr(10) || 'Head' || chr(10) || 'code' as cleaned, '**Hello** ' || o_custkey || ' café € & ’' || chr(10) || '- first' || chr(10) || '2. second ' || o_orderpriority || chr(10) || '# Head' || chr(10) || '`code`' as reply from orders""")
+def cleaned_messages(spark, d):
+    """Messages without quotes, tags, entities and light markup, and replies without quotes, tags and entities."""
+    said = F.concat(F.lit("<p>**Hello** "), "o_custkey", F.lit(" caf&eacute; &#8364; &amp; &#x2019;</p>- first<br/>2. second "), "o_orderpriority", F.lit("<BR># Head<br>`code`\nOn Mon, 1 Jan, A <a@b.co> wrote:\n> old"))
+    return t(spark, d, "orders").select("o_orderkey", text.clean_message(said).alias("cleaned"), text.strip_quotes(said).alias("reply"))
 
 
 @query()

@@ -30,6 +30,23 @@ def test_messages(spark):
     assert one(spark, quoted, text.strip_quotes) == ["new", "ok", "hi there & you", "a", "a", "a", "\n> all"]
 
 
+def test_entities_templates_and_maps(spark):
+    assert one(spark, ["a &eacute; &#8217;&#x20ac; &notit; &amp;amp; &", "plain"], text.unescape) == ["a é ’€ ¬it; &amp; &", "plain"]
+    assert one(spark, ["x\r\n \xa0\n\n\n y\t\n"], text.collapse_blank_lines) == ["x\n\ny"]
+    assert one(spark, [("Hi Ann, dear Ann", " Ann Lee"), ("Hi", "Ann"), ("Hi", None)], text.with_parameter) == ["Hi {{1}}, dear {{1}}", "Hi {{1}}", "Hi {{1}}"]
+    assert one(spark, ["one\n \ntwo"], text.paragraphs) == ['<div style="font-family:sans-serif"><p>one</p><p>two</p></div>']
+    m = F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2"))
+    row = spark.range(1).select(text.map_set(m, "a", F.lit("9")).alias("s"), text.map_set(m, "c", F.lit("3")).alias("n"), text.map_drop(m, "a").alias("d")).first()
+    assert (row.s, row.n, row.d) == ({"a": "9", "b": "2"}, {"a": "1", "b": "2", "c": "3"}, {"b": "2"})
+
+
+def test_whose_site(spark):
+    from larkspur.operators import records
+
+    cases = [("Inspire Dental Network", "https://inspiredental.net/x"), ("M. Sarwar Dental Clinic", "https://profdrnavidrashidqureshi.com"), ("Dental Clinic Karachi", "https://any.org"), (None, "https://any.org"), ("Studio Nine", "https://STUDIO.pk:80/a")]
+    assert one(spark, cases, records.own_site) == [True, False, True, True, True]
+
+
 def test_email_collect_and_rank(spark):
     page = "icons/name@2x-hash.png error@sentry.io a@wixpress.com Info@Brightsmile.pk hello&#64;brightsmile.pk"
     assert one(spark, [page, None], email.collect_emails)[0] == ["info@brightsmile.pk", "hello@brightsmile.pk"]

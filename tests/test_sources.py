@@ -67,8 +67,8 @@ def test_enrichment(spark):
 
 
 def test_html_address_and_slots(spark):
-    assert one(spark, "a&#64;b &eacute;", html.html_unescape) == "a@b é"
-    assert one(spark, "../x", lambda c: html.absolute_url(F.lit("https://a.co/p/q/r"), c)) == "https://a.co/p/x"
+    assert one(spark, "a&#64;b &eacute;", html.unescape) == "a@b é"
+    assert one(spark, "no entity", html.unescape) == "no entity"
     assert [one(spark, a, geo.plausible_address) for a in ("12 Main Road", "great clinic", "call 12 now", None)] == [True, False, False, False]
     hours = F.create_map(F.lit("monday"), F.array(F.lit("09:00"), F.lit("10:00")), F.lit("tuesday"), F.array(F.lit("09:00"), F.lit("10:00")))
     got = spark.range(1).select(F.transform(clock.open_slots(F.lit("2024-01-15 08:30:00").cast("timestamp"), hours, "UTC"), lambda s: s.cast("string")).alias("s")).first().s
@@ -78,7 +78,7 @@ def test_html_address_and_slots(spark):
 def test_site_contacts(spark):
     from larkspur.operators.contacts import site_contacts
 
-    ld = {"@graph": [{"contactPoint": {"telephone": "+1 202 555 0111"}}], "url": "https://shop.co/", "address": {"streetAddress": "1 Road", "postalCode": "7"}, "openingHours": "Mo 9", "sameAs": ["https://www.facebook.com/ld", 3]}
+    ld = {"@graph": [{"contactPoint": {"telephone": "+1 202 555 0111"}}], "url": "https://shop.co/", "address": {"streetAddress": "1 Road", "postalCode": "7"}, "openingHours": "Mo 9", "sameAs": ["https://www.facebook.com/old", "https://www.facebook.com/ld", 3]}
     pages = [
         ("shop.co", 2, '<a href="mailto:Sales@shop.co">m</a> noreply@shop.co x@gmail.com https://facebook.com/text https://x.com/me'),
         ("shop.co", 1, "info@shop.co call 202-555-0199 <script type='application/ld+json'>" + json.dumps(ld) + "</script><script type='application/ld+json'>{bad</script>"),
@@ -90,9 +90,18 @@ def test_site_contacts(spark):
     assert (r.website, r.address, r.hours) == ("https://shop.co/", "1 Road, 7", "Mo 9")
     assert r.social_links == {"facebook": "https://www.facebook.com/ld", "twitter": "https://x.com/me"}
     assert r.phone == "+1 202 555 0111" and set(r.phone_candidates) == {"202-555-0199", r.phone} and set(got) == {"shop.co", "b.co", "c.co"}
+    assert r.page_text == pages[1][2] + "\n" + pages[0][2] and got["b.co"].page_text == "" and got["c.co"].page_text == pages[3][2]
     assert got["b.co"].email is None and got["b.co"].phone is None and got["c.co"].email == "owner@c.co"
 
 
+def test_page_texts_are_cut(spark):
+    from larkspur.operators.contacts import page_texts
+
+    rows = [("s", i, c * n) for i, (c, n) in enumerate([("a", 9), ("b", 0), ("c", 3), ("d", 50), ("e", 4)])] + [("t", 1, None)]
+    df = spark.createDataFrame(rows, "site string, n int, html string")
+    assert {r.site: r.page_text for r in page_texts(df, F.col("site"), "n", "html", 20).collect()} == {"s": "aaaaaaaaa\nccc\ndddddd"}
+
+
 def test_fallback_listings_and_points(spark):
     a, b = (spark.createDataFrame([(n,) for n in names], "name string") for names in (["Ay"], ["ay ", "Be", "be"]))
     assert sorted(r.name.lower() for r in places.with_fallback(a, b, 10).collect()) == ["ay", "be"]
