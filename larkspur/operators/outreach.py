@@ -9,8 +9,8 @@ from larkspur.functions.text import filled
 
 
 def apply_sends(leads: DataFrame, sends: DataFrame) -> DataFrame:
-    """leads after send results (lead_id, ok, at, error): a New lead becomes Contacted and is stamped by its first success; errors are cut at 500."""
-    s = sends.groupBy("lead_id").agg(F.min(F.when(F.col("ok"), F.col("at"))).alias("at_"), F.max_by(F.when(~F.col("ok"), F.left("error", F.lit(500))), "at").alias("send_error"))
+    """leads after send results (lead_id, ok, at, error): a New lead becomes Contacted and is stamped by its first success; send_error is the latest failure's, cut at 500."""
+    s = sends.groupBy("lead_id").agg(F.min(F.when(F.col("ok"), F.col("at"))).alias("at_"), F.max_by(F.left("error", F.lit(500)), F.when(~F.col("ok"), F.col("at"))).alias("send_error"))
     df = leads.join(s, "lead_id", "left")
     sent = F.col("at_").isNotNull()
     return df.withColumns({"status": F.when(sent & (F.col("status") == "New"), "Contacted").otherwise(F.col("status")), "outreach_sent_at": F.coalesce("outreach_sent_at", "at_")}).drop("at_")

@@ -12,13 +12,13 @@ from larkspur.plans.base import QUERIES, SQL, Query, query, streamed, t
 from larkspur.plans.views import LEADS_SQL, leads
 
 def queries() -> dict[str, Query]:
-    from larkspur.plans import discovery, records, sequences, tables  # noqa: F401 - register their queries
+    from larkspur.plans import discovery, payloads, records, sequences, tables  # noqa: F401 - register their queries
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from larkspur.plans import discovery, records, sequences, tables  # noqa: F401
+    from larkspur.plans import discovery, payloads, records, sequences, tables  # noqa: F401
 
     return dict(SQL)
 
