@@ -28,3 +28,13 @@ def plausible_address(c: Column) -> Column:
     low = F.lower(F.trim(c))
     prose = F.exists(F.array(*map(F.lit, PROSE)), lambda p: F.contains(low, p))
     return F.coalesce((low != "") & (F.length(low) <= 160) & ~prose & (low.rlike(STREET) | low.rlike("[0-9]")), F.lit(False))
+
+
+# Names of countries and the codes of their directories.
+COUNTRIES = {"pakistan": "pk", "united states": "us", "usa": "us", "america": "us", "united kingdom": "uk", "britain": "uk", "england": "uk", "australia": "au", "canada": "ca", "new zealand": "nz", "united arab emirates": "ae", "uae": "ae", "saudi arabia": "sa", "india": "in", "germany": "de", "france": "fr", "spain": "es", "italy": "it", "netherlands": "nl", "singapore": "sg"}
+
+
+def country_code(c: Column) -> Column:
+    """The code of a country's name, case aside; empty for unknown ones."""
+    codes = F.create_map(*(F.lit(x) for pair in COUNTRIES.items() for x in pair))
+    return F.coalesce(F.try_element_at(codes, F.lower(c)), F.lit(""))

@@ -134,6 +134,39 @@ def map_drop(c: Column, key: str) -> Column:
     return F.map_filter(c, lambda k, v: k != key)
 
 
+def title(c: Column) -> Column:
+    """Every run of letters with a capital first letter and small ones after it."""
+    runs = F.regexp_extract_all(c, F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.left(r, F.lit(1))), F.lower(F.substring(r, F.lit(2), F.length(r))))), "")
+
+
+ADDRESS = r"[^\s<>()\[\]\\,;:\"@]+@[^\s<>()\[\]\\,;:\"@]+"
+_NAMES = ["name", "display_name", "displayName", "full_name", "sender_name", "senderName"]
+_MAILS = ["email", "address", "mail", "email_address", "emailAddress", "sender_email", "senderEmail"]
+
+
+def any_sender(c: Column) -> Column:
+    """(name, email) of a sender however it is given: an object, ``"Name" <a@b>``, an address with or without a name, a name alone; null of blank texts."""
+    made = lambda name, mail: F.struct(name.alias("name"), mail.alias("email"))
+    bind = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))  # noqa: E731 - value is worked out once
+    angle = r"^\"?([^\"<]*)\"?\s*<\s*([^>]+)\s*>$"
+
+    def beside(s: Column, found: Column) -> Column:
+        at = F.instr(s, found)
+        rest = F.concat(F.left(s, at - 1), F.substring(s, at + F.length(found), F.length(s)))
+        rest = F.trim(F.regexp_replace(F.regexp_replace(rest, "[<>\"']", ""), r"[,\s]+$", ""))
+        return F.when(found == "", made(s, F.lit(""))).when(found == s, made(F.lit(""), found)).otherwise(made(rest, found))
+
+    def of(s: Column) -> Column:
+        known = lambda keys: F.trim(F.coalesce(*(F.get_json_object(F.when(s.startswith("{"), s), f"$.{k}") for k in keys), F.lit("")))
+        quoted = F.regexp_replace(F.trim(F.regexp_extract(s, angle, 1)), "^[\"']+|[\"']+$", "")
+        text = F.when(s.rlike(angle), made(quoted, F.trim(F.regexp_extract(s, angle, 2)))).otherwise(bind(F.regexp_extract(s, ADDRESS, 0), lambda found: beside(s, found)))
+        given = bind(made(known(_NAMES), known(_MAILS)), lambda g: F.when((g["name"] != "") | (g["email"] != ""), g).otherwise(text))
+        return F.when(s != "", given)
+
+    return bind(F.regexp_replace(c, r"^\s+|\s+$", ""), of)
+
+
 def with_parameter(body: Column, name: Column) -> Column:
     """A message as a template for all: the first name of its recipient replaced by {{1}}, or {{1}} put behind it if the name isn't in it."""
     first = F.regexp_extract(F.coalesce(name, F.lit("")), r"\S+", 0)

@@ -90,6 +90,23 @@ def top_cities(cities: DataFrame, n: int) -> DataFrame:
     return cities.withColumn("rn_", F.row_number().over(Window.partitionBy("country").orderBy("ordinal"))).where(F.col("rn_") <= n).drop("rn_")
 
 
+def typeahead(cities: DataFrame, asked: DataFrame, limit: int = 8) -> DataFrame:
+    """(id, name, lat, lon, place) for each asked (id, country, query): cities that begin with the query, else those that hold it, else the query itself at 0, 0.
+
+    Case and white space around a query are no matter; queries of under two characters get nothing. Queries are compared with their own
+    country's cities, each different one once.
+    """
+    q = asked.select("id", F.upper("country").alias("c_"), F.trim("query").alias("q_")).where(F.length("q_") >= 2)
+    texts = q.select("c_", "q_", F.lower("q_").alias("low_")).distinct()
+    known = cities.select(F.col("country").alias("c_"), "ordinal", "name", "lat", "lon")
+    hit = texts.join(known, "c_").where(F.contains(F.lower("name"), F.col("low_"))).withColumn("tier_", F.when(F.startswith(F.lower("name"), F.col("low_")), 0).otherwise(1))
+    first = hit.withColumn("best_", F.min("tier_").over(Window.partitionBy("c_", "q_"))).where("tier_ = best_")
+    ranked = first.withColumn("place", F.row_number().over(Window.partitionBy("c_", "q_").orderBy("ordinal"))).where(F.col("place") <= limit)
+    found = q.join(ranked.select("c_", "q_", "name", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), "place"), ["c_", "q_"], "left")
+    unknown = F.col("name").isNull()
+    return found.select("id", F.coalesce("name", "q_").alias("name"), F.when(unknown, 0.0).otherwise(F.col("lat")).alias("lat"), F.when(unknown, 0.0).otherwise(F.col("lon")).alias("lon"), F.coalesce("place", F.lit(1)).alias("place"))
+
+
 def within_radius(pois: DataFrame, limit: int, steps: tuple[float, ...] = (15, 50)) -> DataFrame:
     """Points (distance_km) of the smallest radius that holds enough of them, else of the largest; counted in one pass, no row moved."""
     counts = pois.agg(*(F.count_if(F.col("distance_km") <= r).alias(f"r{i}_") for i, r in enumerate(steps)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import email, phone
-from larkspur.functions.text import clean_business_name, filled, present
+from larkspur.functions.text import clean_business_name, filled, present, title
 
 WEIGHTS = {"name": 10, "address": 15, "phone": 20, "email": 25, "website": 20}
 SOCIAL_WEIGHT = 10
@@ -45,7 +45,7 @@ def clean(candidates: DataFrame, industry: str, directory_domains: list[str]) ->
     from larkspur.functions.url import blocked_host
 
     site = F.when(~F.coalesce(blocked_host(email.host(F.col("website")), directory_domains), F.lit(False)), F.col("website"))
-    return candidates.withColumns({"name": clean_business_name(F.col("name")), "industry": F.coalesce("industry", F.initcap(F.lit(industry))), "website": site})
+    return candidates.withColumns({"name": clean_business_name(F.col("name")), "industry": F.coalesce("industry", title(F.lit(industry))), "website": site})
 
 
 def cut_then_rank(valid: DataFrame, limit: int) -> DataFrame:

@@ -155,3 +155,20 @@ def own_site(name: Column, href: Column, generic: list[str] = GENERIC) -> Column
 def append_log(events: DataFrame, path: str) -> None:
     """Events added to a log of Parquet files; earlier ones stay."""
     events.write.mode("append").parquet(path)
+
+
+def lead_read(leads: DataFrame, metadata: str = "lead_metadata") -> DataFrame:
+    """leads as clients read them: what the metadata (a JSON text, or null) says beside the columns, and empty where it says nothing of links."""
+    m = F.col(metadata)
+    said = lambda k: F.get_json_object(m, f"$.{k}")
+    empty = F.create_map().cast("map<string,string>")
+    links = F.coalesce(F.from_json(said("social_links"), "map<string,string>"), empty)
+    return leads.withColumns({
+        "scoring_failed": F.coalesce(said("scoring_failed").isin("true", "1"), F.lit(False)), "social_links": links, "completeness": said("completeness").try_cast("int"),
+        **{k: said(k) for k in ("enrichment_status", "enrichment_source", "last_enriched_at", "description", "hours")},
+    }).drop(metadata)
+
+
+def workspaces_of(members: DataFrame, workspaces: DataFrame, user: Column, key: str = "workspace_id") -> DataFrame:
+    """The workspaces that a user is an active member of."""
+    return workspaces.join(members.where(user & F.col("is_active")).select(key), key, "left_semi")

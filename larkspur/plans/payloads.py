@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import email, geo, phone, text, url
 from larkspur.functions import time as clock
 from larkspur.functions.people import people
-from larkspur.operators import enrich, outreach
+from larkspur.operators import enrich, nearby, outreach, records, upsert
 from larkspur.plans.base import query, t
 from larkspur.plans.views import LEADS_SQL, leads
 from larkspur.sources import payloads, places
@@ -303,3 +303,84 @@ def leads_after_enrichment(spark, d):
     patch = patch.withColumns({"website": F.lit(None).cast("string"), "social_links": none})
     got = enrich.apply_to_leads(leads(spark, d).withColumn("social_links", none), patch)
     return got.select("lead_id", "email", "phone", "changed")
+
+
+# ---- Texts and records ----------------------------------------------------------------------------------------------
+
+_SENT = "case c_custkey % 6 when 0 then '\"' || c_name || '\" <C' || c_custkey || '@x.org>' when 1 then ' c' || c_custkey || '@x.org ' when 2 then c_name || ', c' || c_custkey || '@x.org' when 3 then '{\"displayName\": \"' || c_name || '\", \"mail\": \"m@x.org\"}' when 4 then c_name else '  ' end"
+
+
+@query("""select c_custkey, case when c_custkey % 6 in (0, 2, 3, 4) then c_name when c_custkey % 6 = 1 then '' end as name, case c_custkey % 6 when 0 then 'C' || c_custkey || '@x.org' when 1 then 'c' || c_custkey || '@x.org' when 2 then 'c' || c_custkey || '@x.org' when 3 then 'm@x.org' when 4 then '' end as email from customer""")
+def sender_forms(spark, d):
+    got = t(spark, d, "customer").select("c_custkey", text.any_sender(F.expr(_SENT)).alias("s"))
+    return got.select("c_custkey", "s.name", "s.email")
+
+
+@query(
+    """with p as (select p_partkey, lower(p_type) || ' o''neil''s ' || p_brand as raw from part) select p_partkey, array_to_string(list_transform(regexp_extract_all(raw, '[A-Za-z]+|[^A-Za-z]+'), lambda x: upper(x[1]) || lower(x[2:])), '') as title, case when p_partkey % 2 = 0 then 'Name ' || p_partkey else '| x' end as business from p"""
+)
+def titles(spark, d):
+    raw = F.concat(F.lower("p_type"), F.lit(" o'neil's "), "p_brand")
+    name = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" Name "), "p_partkey", F.lit(" | Home"))).otherwise("| x")
+    return t(spark, d, "part").select("p_partkey", text.title(raw).alias("title"), text.clean_business_name(name).alias("business"))
+
+
+@query("select n_nationkey, case upper(n_name) when 'CANADA' then 'ca' when 'FRANCE' then 'fr' when 'GERMANY' then 'de' when 'INDIA' then 'in' when 'SAUDI ARABIA' then 'sa' when 'UNITED KINGDOM' then 'uk' when 'UNITED STATES' then 'us' else '' end as code from nation")
+def directory_country_codes(spark, d):
+    return t(spark, d, "nation").select("n_nationkey", geo.country_code(F.col("n_name")).alias("code"))
+
+
+@query("""with c as (select n_regionkey as country, n_nationkey as ordinal, n_name as name, cast(n_nationkey + 1 as double) as lat, cast(n_nationkey + 2 as double) as lon from nation), q as (select s_suppkey as id, s_suppkey % 5 as country, case s_suppkey % 4 when 0 then 'N' when 1 then ' ia ' when 2 then lower(left(n_name, 3)) else 'zz top' end as query from supplier join nation on n_nationkey = s_nationkey),
+h as (select id, name, lat, lon, ordinal, case when starts_with(lower(name), lower(trim(query))) then 0 else 1 end as tier from q join c using (country) where length(trim(query)) >= 2 and contains(lower(name), lower(trim(query)))), b as (select *, min(tier) over (partition by id) as best from h),
+r as (select *, row_number() over (partition by id order by ordinal) as place from b where tier = best) select id, name, lat, lon, cast(place as int) as place from r where place <= 2 union all select id, trim(query), 0.0, 0.0, 1 from q where length(trim(query)) >= 2 and id not in (select id from h)""")
+def city_typeahead(spark, d):
+    n = t(spark, d, "nation")
+    c = n.select(F.col("n_regionkey").cast("string").alias("country"), F.col("n_nationkey").alias("ordinal"), F.col("n_name").alias("name"), (F.col("n_nationkey") + 1).alias("lat"), (F.col("n_nationkey") + 2).alias("lon"))
+    k = F.col("s_suppkey") % 4
+    asked = t(spark, d, "supplier").join(n.select(F.col("n_nationkey").alias("s_nationkey"), "n_name"), "s_nationkey")
+    asked = asked.select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 5).cast("string").alias("country"), F.when(k == 0, "N").when(k == 1, " ia ").when(k == 2, F.lower(F.left("n_name", F.lit(3)))).otherwise("zz top").alias("query"))
+    return nearby.typeahead(c, asked, 2)
+
+
+@query(f"""with {LEADS_SQL} select lead_id, lead_id % 4 = 0 as scoring_failed, case when lead_id % 2 = 0 then 1 else 0 end as links, case when lead_id % 4 <> 3 then lead_id % 101 end as completeness, case when lead_id % 4 <> 3 then 'done' end as enrichment_status, case when lead_id % 4 <> 3 then 'About ' || company end as description from leads""")
+def leads_as_read(spark, d):
+    k = F.col("lead_id")
+    meta = F.to_json(F.struct((k % 4 == 0).alias("scoring_failed"), F.when(k % 2 == 0, F.create_map(F.lit("facebook"), F.lit("u"))).alias("social_links"), (k % 101).alias("completeness"), F.lit("done").alias("enrichment_status"), F.concat(F.lit("About "), "company").alias("description")))
+    got = records.lead_read(leads(spark, d).withColumn("lead_metadata", F.when(k % 4 != 3, meta)))
+    return got.select("lead_id", "scoring_failed", F.size("social_links").alias("links"), "completeness", "enrichment_status", "description")
+
+
+@query("select n_nationkey as workspace_id, n_name from nation where n_nationkey in (select s_nationkey from supplier where s_suppkey % 10 = 3 and s_acctbal > 0)")
+def workspaces_of_member(spark, d):
+    members = t(spark, d, "supplier").select(F.col("s_nationkey").alias("workspace_id"), (F.col("s_suppkey") % 10).alias("user_id"), (F.col("s_acctbal") > 0).alias("is_active"))
+    w = t(spark, d, "nation").select(F.col("n_nationkey").alias("workspace_id"), "n_name")
+    return records.workspaces_of(members, w, F.col("user_id") == 3)
+
+
+@query("""with o as (select c_custkey as k, c_name as name, c_acctbal as v from customer), n as (select o_custkey as k, max(case when o_orderstatus = 'P' then 'patched' end) as name, max(o_totalprice) as v from orders group by 1) select coalesce(o.k, n.k) as k, coalesce(n.name, o.name) as name, coalesce(n.v, o.v) as v from o full join n on n.k = o.k""")
+def patched_settings(spark, d):
+    old = t(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("v"))
+    new = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.max(F.when(F.col("o_orderstatus") == "P", "patched")).alias("name"), F.max("o_totalprice").alias("v"))
+    return upsert.upsert(old, new, ["k"], ["v"], patch=True)
+
+
+@query("""with f as (select s_name as name from supplier where s_suppkey <= 3), s as (select s_name as name from supplier) select name from f union all select name from s where name not in (select name from f)""")
+def listings_with_fallback(spark, d):
+    s = t(spark, d, "supplier").select(F.col("s_name").alias("name"), "s_suppkey")
+    spare = s.select("name").unionAll(s.select(F.upper("name")))
+    got = places.with_fallback(s.where("s_suppkey <= 3").select("name"), spare, 20)
+    return got.select(F.concat(F.upper(F.left("name", F.lit(1))), F.lower(F.substring("name", F.lit(2), F.length("name")))).alias("name"))
+
+
+@query("select event_id, event_type, user_id from events")
+def stream_event_log(spark, d):
+    """Events appended to a log of Parquet files by a stream, and the log read back."""
+    import uuid
+
+    from larkspur.session import shared_folder
+
+    top = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    e = spark.readStream.schema(t(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    q = e.select("event_id", "event_type", "user_id").writeStream.format("parquet").option("path", f"{top}/log").option("checkpointLocation", f"{top}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema("event_id long, event_type string, user_id long").parquet(f"{top}/log")

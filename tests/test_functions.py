@@ -40,6 +40,14 @@ def test_entities_templates_and_maps(spark):
     assert (row.s, row.n, row.d) == ({"a": "9", "b": "2"}, {"a": "1", "b": "2", "c": "3"}, {"b": "2"})
 
 
+def test_senders_and_titles(spark):
+    given = ['"Ann B" <Ann@B.co>', "Ann<a@b.co>", "a@b.co", "Ann, a@b.co", '{"sender_name": "Ann", "mail": "a@b.co"}', "{not json", "Ann", " ", None]
+    got = [tuple(s) if s else None for s in one(spark, given, text.any_sender)]
+    assert got == [("Ann B", "Ann@B.co"), ("Ann", "a@b.co"), ("", "a@b.co"), ("Ann", "a@b.co"), ("Ann", "a@b.co"), ("{not json", ""), ("Ann", ""), None, None]
+    assert one(spark, ["o'neil's éCOLE 2nd", None], text.title) == ["O'Neil'S École 2Nd", None]
+    assert one(spark, ["UAE", "Atlantis", None], geo.country_code) == ["ae", "", ""]
+
+
 def test_whose_site(spark):
     from larkspur.operators import records
 
