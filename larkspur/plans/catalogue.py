@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions import email, geo, phone, text, url
+from larkspur.functions import email, phone, text, url
 from larkspur.functions import time as clock
-from larkspur.operators import analytics, enrich, quality_gate, resolve, upsert
+from larkspur.operators import analytics, enrich, nearby, quality_gate, resolve, upsert
 from larkspur.plans.base import QUERIES, SQL, Query, query, streamed, t
 from larkspur.plans.views import LEADS_SQL, leads
 
@@ -291,11 +291,7 @@ _CITIES = "select n_nationkey as city, n_regionkey as country, cast(n_nationkey
 select city, near, round(km, 3) as km, cast(rn as int) as place from (select *, row_number() over (partition by city order by round(km, 6), near) rn from p) where rn <= 3""")
 def nearby_cities(spark, d):
     c = t(spark, d, "nation").selectExpr("n_nationkey as city", "n_regionkey as country", "cast(n_nationkey * 7 % 120 as double) - 60 as lat", "cast(n_nationkey * 13 % 300 as double) - 150 as lon")
-    a, b = c.alias("a"), c.alias("b")
-    pairs = a.join(b, (F.col("a.country") == F.col("b.country")) & (F.col("a.city") != F.col("b.city")))
-    pairs = pairs.select(F.col("a.city").alias("city"), F.col("b.city").alias("near"), geo.haversine_km(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")).alias("km"))
-    w = Window.partitionBy("city").orderBy(F.round("km", 6), "near")
-    return pairs.withColumn("place", F.row_number().over(w)).where("place <= 3").withColumn("km", F.round("km", 3))
+    return nearby.nearest(c, 3).withColumn("km", F.round("km", 3))
 
 
 @query("""with k(place, key) as (values (0, 'widget'), (1, 'gadget'), (2, 'gizmo'), (3, 'bolt')) select p_partkey, p_name, coalesce((select key from k where p_name like '%' || key || '%' order by place limit 1), lower(p_name)) as niche from part""")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def session(name: str = "larkspur", **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # what durable() wrote goes when nothing refers to it any more
     for k, v in conf.items():
         builder = builder.config(k.replace("__", "."), v)
     return builder.getOrCreate()
