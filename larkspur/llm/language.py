@@ -25,10 +25,14 @@ LANGUAGES, SAMPLE, WINDOWS = 256, 2400, 3
 EPOCHS, RATE = 4, 0.02
 PAD = 256
 UNKNOWN = "und"
-some_letter = re.compile(r"[^\W\d_]").search
+latin_letter = re.compile("[A-Za-z]").search
 UPPER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+def some_letter(text: str) -> bool:
+    return bool(latin_letter(text)) or any(map(str.isalpha, text))
+
+
 def folded(text: str) -> np.ndarray:
     """The UTF-8 bytes of a text, letters A-Z and Latin-1 capitals as small ones; as many bytes as the text has."""
     b = np.frombuffer(text.encode("utf-8", "replace").translate(UPPER), np.uint8).copy()

@@ -70,7 +70,7 @@ def test_gradients_as_differences():
 def test_held_out_accuracy_and_rough_rows(spark):
     rng = random.Random(4)
     rows = [(i, said(lang := rng.choice(list(SOUNDS)), rng, rng.randint(3, 60)), lang, 0.0) for i in range(600)]
-    rows += [(1000, None, "aa", 0.0), (1001, "", "bb", 0.0), (1002, "12 34 !!", "cc", 0.0), (1003, rows[0][1], None, 0.0), (None, said("bb", rng, 20), "bb", 0.0)]
+    rows += [(1000, None, "aa", 0.0), (1001, "", "bb", 0.0), (1002, "12 34 !! ½ ² _", "cc", 0.0), (1003, rows[0][1], None, 0.0), (None, said("bb", rng, 20), "bb", 0.0)]
     rows += [(1004, said("cc", rng, 30_000), "cc", 0.0), rows[5], rows[5]]
     got = L.digest(table(spark, rows)).toPandas()
     assert len(got) == len(rows) and set(got.columns) == {"doc_id", "held_out", "lang_pred", "score"}
