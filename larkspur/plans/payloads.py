@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import email, geo, phone, text, url
 from larkspur.functions import time as clock
 from larkspur.functions.people import people
-from larkspur.operators import enrich, nearby, outreach, records, upsert
+from larkspur.operators import enrich, nearby, outreach, quality_gate, records, upsert
 from larkspur.plans.base import query, t
 from larkspur.plans.views import LEADS_SQL, leads
 from larkspur.sources import payloads, places
@@ -317,12 +317,12 @@ def sender_forms(spark, d):
 
 
 @query(
-    """with p as (select p_partkey, lower(p_type) || ' o''neil''s ' || p_brand as raw from part) select p_partkey, array_to_string(list_transform(regexp_extract_all(raw, '[A-Za-z]+|[^A-Za-z]+'), lambda x: upper(x[1]) || lower(x[2:])), '') as title, case when p_partkey % 2 = 0 then 'Name ' || p_partkey else '| x' end as business from p"""
+    """with p as (select p_partkey, lower(p_type) || ' o''neil''s ' || p_brand as raw from part) select p_partkey, array_to_string(list_transform(regexp_extract_all(raw, '[A-Za-z]+|[^A-Za-z]+'), lambda x: upper(x[1]) || lower(x[2:])), '') as title, 'agent_' || left(sha1(raw), 8) as template, case when p_partkey % 2 = 0 then 'Name ' || p_partkey else '| x' end as business from p"""
 )
 def titles(spark, d):
     raw = F.concat(F.lower("p_type"), F.lit(" o'neil's "), "p_brand")
     name = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" Name "), "p_partkey", F.lit(" | Home"))).otherwise("| x")
-    return t(spark, d, "part").select("p_partkey", text.title(raw).alias("title"), text.clean_business_name(name).alias("business"))
+    return t(spark, d, "part").select("p_partkey", text.title(raw).alias("title"), text.template_name(raw).alias("template"), text.clean_business_name(name).alias("business"))
 
 
 @query("select n_nationkey, case upper(n_name) when 'CANADA' then 'ca' when 'FRANCE' then 'fr' when 'GERMANY' then 'de' when 'INDIA' then 'in' when 'SAUDI ARABIA' then 'sa' when 'UNITED KINGDOM' then 'uk' when 'UNITED STATES' then 'us' else '' end as code from nation")
@@ -384,3 +384,18 @@ def stream_event_log(spark, d):
     q = e.select("event_id", "event_type", "user_id").writeStream.format("parquet").option("path", f"{top}/log").option("checkpointLocation", f"{top}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema("event_id long, event_type string, user_id long").parquet(f"{top}/log")
+
+
+@query(f"""with {LEADS_SQL} select lead_id, name, case when lead_id % 3 = 0 then 'Dental Clinic' else company end as industry, case when lead_id % 4 > 0 then website end as website from leads""")
+def cleaned_candidates(spark, d):
+    k = F.col("lead_id")
+    rows = leads(spark, d).select("lead_id", F.concat(F.lit(" "), "name", F.lit(" | Home")).alias("name"), F.when(k % 3 > 0, F.col("company")).alias("industry"), F.when(k % 4 == 0, F.concat(F.lit("https://biz.yelp.com/"), k)).otherwise(F.col("website")).alias("website"))
+    return quality_gate.clean(rows, "dental clinic", ["yelp.com"])
+
+
+@query("""with c as (select c_custkey, cast(1000000 + c_custkey as varchar) as n from customer) select c_custkey, case c_custkey % 4 when 0 then '+92300' || n when 1 then '+92300' || n when 2 then '+92' || n else null end as e164, case c_custkey % 4 when 0 then '+92300' || n when 1 then '+0300' || n when 2 then '+' || n else '+12' end as messages from c""")
+def phones_for_messages(spark, d):
+    n = F.format_string("%d", 1000000 + F.col("c_custkey"))
+    k = F.col("c_custkey") % 4
+    raw = F.when(k == 0, F.concat(F.lit("0092 (300) "), n)).when(k == 1, F.concat(F.lit("0300-"), n)).when(k == 2, n).otherwise("1 2")
+    return t(spark, d, "customer").select("c_custkey", phone.normalize_e164(raw, F.lit("92")).alias("e164"), phone.for_messages(raw).alias("messages"))
