@@ -27,7 +27,7 @@ def next_slots(profiles: DataFrame, bookings: DataFrame, now: Column, count: int
     ``ahead`` after the first aren't looked at, and the search goes in steps, an hour over closed days and a day over
     open ones, of which there are 500 at most: with one open day a week it ends after three weeks.
 
-    Bookings are first reduced to the first and last of each half hour, so that neither a profile with very many of them nor
+    Bookings within reach of a profile's slots are first reduced to the first and last of each half hour, so that neither a profile with very many of them nor
     the order they come in matters; a slot asks for the half hour it begins in and the two beside it.
     """
     step = minutes * MINUTE
@@ -48,13 +48,16 @@ def next_slots(profiles: DataFrame, bookings: DataFrame, now: Column, count: int
     start = F.when(F.col("i") == 0, F.col("floor_")).when(F.col("seen_") == 0, F.col("day_") + F.pmod(F.col("floor_"), F.lit(HOUR))).otherwise(F.col("day_"))
     start = F.greatest(start, F.col("day_") + F.col("open_") * F.lit(MINUTE))
     end = F.col("day_") + F.col("close_") * F.lit(MINUTE)
-    slots = days.withColumns({"from_": start, "to_": end}).where("from_ < to_")
-    slots = slots.withColumn("slot_", F.explode(F.sequence(F.col("from_"), F.col("to_") - 1, F.lit(step)))).where("slot_ > now_").select("profile", "zone", "slot_")
+    spans = days.withColumns({"from_": start, "to_": end}).where("from_ < to_")
+    slots = spans.withColumn("slot_", F.explode(F.sequence(F.col("from_"), F.col("to_") - 1, F.lit(step)))).where("slot_ > now_").select("profile", "zone", "slot_")
     half = lambda c: F.floor(c / step)
-    local = bookings.select("profile", "at").join(p.select("profile", "zone"), "profile").select("profile", "zone", F.unix_micros(F.from_utc_timestamp(F.col("at").cast("timestamp"), F.col("zone"))).alias("b_"))
-    taken = local.where("b_ is not null").groupBy("profile", "zone", half(F.col("b_")).alias("h_")).agg(F.min("b_").alias("low_"), F.max("b_").alias("high_"))
+    reach = spans.groupBy("profile", "zone").agg((F.min("from_") - step).alias("from_"), (F.max("to_") + step).alias("to_"))
+    local = bookings.select("profile", "at").join(reach, "profile").withColumn("b_", F.unix_micros(F.from_utc_timestamp(F.col("at").cast("timestamp"), F.col("zone"))))
+    taken = local.where("b_ > from_ and b_ < to_").groupBy("profile", "zone", half(F.col("b_")).alias("h_")).agg(F.min("b_").alias("low_"), F.max("b_").alias("high_"))
     asks = slots.withColumn("h_", F.explode(F.array(*(half(F.col("slot_")) + d for d in (-1, 0, 1)))))
-    hit = asks.join(taken, ["profile", "zone", "h_"]).where((F.abs(F.col("slot_") - F.col("high_")) < step) | (F.abs(F.col("low_") - F.col("slot_")) < step)).select("profile", "zone", "slot_").distinct()
+    # Spark takes exploded rows for as few as they were made of and would broadcast them.
+    close = (F.abs(F.col("slot_") - F.col("high_")) < step) | (F.abs(F.col("low_") - F.col("slot_")) < step)
+    hit = asks.hint("merge").join(taken, ["profile", "zone", "h_"]).where(close).select("profile", "zone", "slot_").distinct().hint("merge")
     free = slots.join(hit, ["profile", "zone", "slot_"], "left_anti")
     first = free.withColumn("place", F.row_number().over(Window.partitionBy("profile", "zone").orderBy("slot_"))).where(F.col("place") <= count)
     wall = F.timestamp_micros("slot_")

@@ -139,3 +139,23 @@ def test_slots_of_many_profiles(spark):
             got.setdefault(r.profile, []).append(r.slot)
         for i, zone, hours in profiles:
             assert got.get(i, []) == step_by_step(zone, hours, now, [x for j, x in booked if j == i]), (i, zone, hours)
+
+
+def exploded_into_broadcast(df):
+    """Whether the plan broadcasts exploded rows that no aggregate has made fewer: they are estimated as if they weren't exploded."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-*()0123456789")) for x in lines]
+    for i, x in enumerate(lines):
+        if "BroadcastExchange" in x:
+            below = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            kinds = [k for y in lines[i + 1 : below] for k in ("Generate", "Aggregate") if y.lstrip(" :+-*()0123456789").split(" ")[0].split("(")[0].endswith(k)]
+            if kinds[:1] == ["Generate"]:
+                return True
+    return False
+
+
+def test_slots_are_not_broadcast(spark):
+    """A driver that holds all slots of all profiles is full at 60,000 profiles."""
+    p = spark.range(100).selectExpr("id as profile", "'UTC' as zone", "map('monday', array('09:00', '17:00')) as hours")
+    b = spark.range(10_000).selectExpr("id % 100 as profile", "timestampadd(MINUTE, id * 17 % 40000, timestamp '2024-03-07 00:00:00') as at")
+    assert not exploded_into_broadcast(slots.next_slots(p, b, F.expr("timestamp '2024-03-07 23:40:00'")))
