@@ -1,6 +1,7 @@
 """The nearest places of each place, over a grid whose cells grow until enough are found.
 
-The first grid is the coarsest one without crowded cells. A place asks the nine cells round its own; what lies outside of them is farther than a bound
+The first grid is the coarsest one without crowded cells. Of places at one spot only the first
+k + 1 by key can be among anyone's k nearest, so that no more are looked at. A place asks the nine cells round its own; what lies outside of them is farther than a bound
 that follows from the cell's width and the place's latitude. Places that have enough within
 that bound are done; the others ask again over cells of twice the width. At the widest, nine
 cells hold the globe.
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from larkspur.functions.geo import EARTH_KM, haversine_km, somewhere
 from larkspur.session import durable
 
-#: Columns of the finest and of the coarsest grid, as powers of two; places of one cell of the grid to begin with, as a multiple of k.
+#: Columns of the finest and of the coarsest grid, as powers of two; places of nine cells of the grid to begin with, as a multiple of k.
 FINEST, COARSEST = 16, 1
 CROWD = 64
 
@@ -28,10 +29,10 @@ def _cell(lat: Column, lon: Column, columns: int) -> tuple[Column, Column]:
 
 
 def _begin(at: DataFrame, within: str, k: int) -> int:
-    """The coarsest grid on which no cell of a group holds more than CROWD * k places, else the finest; counted by partial sums."""
+    """The coarsest grid on which no nine cells of a group hold more than CROWD * k places, else the finest; counted by partial sums."""
     cells = F.array(*(F.struct(F.lit(p).alias("p"), *(c.alias(n) for n, c in zip("xy", _cell(F.col("lat"), F.col("lon"), 1 << p)))) for p in range(COARSEST, FINEST + 1)))
     full = at.select(within, F.explode(cells).alias("c")).groupBy(within, "c").count().groupBy("c.p").agg(F.max("count").alias("most"))
-    return min((r.p for r in full.where(F.col("most") <= CROWD * k).collect()), default=FINEST)
+    return min((r.p for r in full.where(9 * F.col("most") <= CROWD * k).collect()), default=FINEST)
 
 
 def nearest(places: DataFrame, k: int, key: str = "city", within: str = "country", asking: DataFrame | None = None) -> DataFrame:
@@ -42,24 +43,29 @@ def nearest(places: DataFrame, k: int, key: str = "city", within: str = "country
     """
     at = durable(places.where(somewhere(F.col("lat"), F.col("lon"))).select(key, within, F.col("lat").cast("double"), F.col("lon").cast("double")))
     asked = at if asking is None else at.join(asking.select(key).distinct(), key, "left_semi")
+    spot = Window.partitionBy(within, "lat", "lon").orderBy(key)
+    seen = durable(at.withColumn("rn_", F.row_number().over(spot)).where(F.col("rn_") <= k + 1).drop("rn_"))
     done, open_ = [], durable(asked)
-    for power in range(_begin(at, within, k), COARSEST - 1, -1):
+    for power in range(_begin(seen, within, k), COARSEST - 1, -1):
         columns = 1 << power
         x, y = _cell(F.col("lat"), F.col("lon"), columns)
-        here = at.select(F.col(key).alias("near"), F.col(within).alias("w_"), F.col("lat").alias("lat_"), F.col("lon").alias("lon_"), x.alias("x_"), y.alias("y_"))
+        here = seen.select(F.col(key).alias("near"), F.col(within).alias("w_"), F.col("lat").alias("lat_"), F.col("lon").alias("lon_"), x.alias("x_"), y.alias("y_"))
         nine = F.array_distinct(F.array(*(F.struct(F.pmod(x + dx, F.lit(columns)).alias("x"), (y + dy).alias("y")) for dx in (-1, 0, 1) for dy in (-1, 0, 1))))
         looks = open_.withColumn("c_", F.explode(nine))
-        pairs = looks.join(here, (F.col(within) == F.col("w_")) & (F.col("c_.x") == F.col("x_")) & (F.col("c_.y") == F.col("y_")) & (F.col(key) != F.col("near")))
+        # Neither side is broadcast: Spark takes exploded rows for as few as they were made of.
+        pairs = looks.join(here.hint("merge"), (F.col(within) == F.col("w_")) & (F.col("c_.x") == F.col("x_")) & (F.col("c_.y") == F.col("y_")) & (F.col(key) != F.col("near")))
         pairs = pairs.withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("lat_"), F.col("lon_")))
         first = pairs.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.round("km", 6), "near"))).where(F.col("place") <= k)
+        if power == COARSEST:  # nine cells hold the globe
+            done.append(durable(first.select(key, "near", "km", "place")))
+            break
         wide = 360.0 / columns
-        # To the parallel a cell's width away, and to the meridian a cell's width away; the whole globe at last.
+        # To the parallel a cell's width away, and to the meridian a cell's width away.
         bound = F.least(F.lit(EARTH_KM) * F.radians(F.lit(wide)), F.lit(EARTH_KM) * F.asin(F.cos(F.radians("lat")) * F.sin(F.radians(F.lit(min(wide, 90.0))))))
-        bound = F.lit(1e9) if power == COARSEST else bound
-        first = durable(first.withColumn("bound_", bound).select(key, "near", "km", "place", "bound_"))
-        enough = first.where((F.col("place") == k) & (F.col("km") + 1e-5 < F.col("bound_"))).select(key) if power > COARSEST else open_.select(key)
-        done.append(first.join(enough, key, "left_semi").select(key, "near", "km", "place"))
-        open_ = durable(open_.join(enough, key, "left_anti"))
+        enough = (F.col("place") == k) & (F.col("km") + 1e-5 < bound)
+        first = durable(first.withColumn("enough_", F.max(enough).over(Window.partitionBy(key))).where("enough_").select(key, "near", "km", "place"))
+        done.append(first)
+        open_ = durable(open_.join(first.where(F.col("place") == k).select(key).hint("merge"), key, "left_anti"))
         if open_.isEmpty():
             break
     return reduce(DataFrame.unionByName, done)

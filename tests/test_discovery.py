@@ -159,3 +159,23 @@ def test_slots_are_not_broadcast(spark):
     p = spark.range(100).selectExpr("id as profile", "'UTC' as zone", "map('monday', array('09:00', '17:00')) as hours")
     b = spark.range(10_000).selectExpr("id % 100 as profile", "timestampadd(MINUTE, id * 17 % 40000, timestamp '2024-03-07 00:00:00') as at")
     assert not exploded_into_broadcast(slots.next_slots(p, b, F.expr("timestamp '2024-03-07 23:40:00'")))
+
+
+def test_nearest_looks_are_not_broadcast(spark, monkeypatch):
+    broadcast, durable = [], nearby.durable
+    monkeypatch.setattr(nearby, "durable", lambda df: (broadcast.append(exploded_into_broadcast(df)), durable(df))[1])
+    df = spark.range(2000).selectExpr("id as city", "id % 2 as country", "double(id * 37 % 160) - 80 as lat", "double(id * 101 % 360) - 180 as lon")
+    assert nearby.nearest(df, 2).count() == 4000
+    assert broadcast and not any(broadcast)
+
+
+def test_nearest_of_many_at_one_spot(spark):
+    df = spark.range(900).selectExpr("id as city", "1 as country", "if(id < 600, 24.9, id / 20) as lat", "if(id < 600, 67.0, 70 + id / 20) as lon")
+    got = {}
+    for r in nearby.nearest(df, 3).collect():
+        got.setdefault(r.city, []).append((r.place, r.near))
+    assert sorted(got) == list(range(900))
+    assert all(sorted(got[i]) == list(enumerate([j for j in range(4) if j != i][:3], 1)) for i in range(600))
+    spots = {i: (24.9, 67.0) if i < 600 else (i / 20, 70 + i / 20) for i in range(900)}
+    for i in (600, 601, 750, 899):
+        assert sorted(got[i]) == [(n, j) for n, (_, j) in enumerate(sorted((round(km(spots[i], spots[j]), 6), j) for j in spots if j != i)[:3], 1)]
