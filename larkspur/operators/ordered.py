@@ -46,8 +46,9 @@ def successors(moments: DataFrame, by: str, at: str, gap: int) -> DataFrame:
     asked = moments.select(by, (F.col(at) + gap).alias("t_"), F.lit(0).alias("kind_"), F.col(at).alias("own_"))
     rows = in_parts(there.unionAll(asked), [by, "t_", "kind_"])
     moment = F.when(F.col("kind_") == 1, F.col("t_"))
-    ahead = Window.partitionBy("part_", by).orderBy("t_", "kind_").rowsBetween(1, Window.unboundedFollowing)
-    later = Window.partitionBy(by).orderBy("part_").rowsBetween(1, Window.unboundedFollowing)
+    # Backwards, as Spark keeps a running value only of frames that begin with the first row; it works others out anew for each row.
+    ahead = Window.partitionBy("part_", by).orderBy(F.desc("t_"), F.desc("kind_")).rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(by).orderBy(F.desc("part_")).rowsBetween(Window.unboundedPreceding, -1)
     firsts = rows.groupBy("part_", by).agg(F.min(moment).alias("first_")).withColumn("later_", F.min("first_").over(later)).drop("first_")
     found = rows.withColumn("here_", F.min(moment).over(ahead)).where("kind_ = 0").join(firsts, ["part_", by])
     return found.select(by, F.col("own_").alias(at), F.coalesce("here_", "later_").alias("next"))

@@ -35,6 +35,16 @@ def test_spaced_events(spark):
     assert ordered.spaced(df.limit(0), "account", "ts", "id", 1).count() == 0
 
 
+def test_successors_in_one_pass(spark):
+    """A frame that ends at the last row is worked out anew for each row: the square of a group."""
+    rng = random.Random(6)
+    rows = {(rng.choice(["hot"] * 8 + ["y", "z"]), rng.randint(0, 4000)) for _ in range(900)}
+    got = ordered.successors(spark.createDataFrame(sorted(rows), "g string, t long"), "g", "t", 25)
+    assert "unboundedfollowing" not in got._jdf.queryExecution().executedPlan().toString().lower()
+    want = {(g, x): min((y for h, y in rows if h == g and y >= x + 25), default=None) for g, x in rows}
+    assert {(r.g, r.t): r.next for r in got.collect()} == want
+
+
 def one_by_one(rows, held, rooms):
     seen = {}
     for w, _, e, p in held:
