@@ -19,12 +19,13 @@ def apply_sends(leads: DataFrame, sends: DataFrame) -> DataFrame:
 def apply_bookings(leads: DataFrame, bookings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(leads to write, crm entries, system messages) of bookings (workspace_id, reference, name, email, at).
 
-    A lead of the workspace with the e-mail, case aside, becomes Hot; a booking without one makes a Hot lead.
+    A lead of the workspace with the e-mail, case aside, becomes Hot; bookings without one make a Hot lead with the first one's name
+    (the earliest, of those at one time the first by reference; those without a time come last).
     """
     b = bookings.withColumn("mail_", F.lower("email"))
     known = leads.withColumn("mail_", F.lower("email")).where(filled(F.col("email")))
     old = known.join(b.select("workspace_id", "mail_").distinct(), ["workspace_id", "mail_"], "left_semi").select("workspace_id", "mail_", "name", "email", F.lit("Hot").alias("status"))
-    new = b.join(known, ["workspace_id", "mail_"], "left_anti").groupBy("workspace_id", "mail_").agg(F.min_by("name", "at").alias("name"), F.min_by("email", "at").alias("email")).withColumn("status", F.lit("Hot"))
+    new = b.join(known, ["workspace_id", "mail_"], "left_anti").groupBy("workspace_id", "mail_").agg(F.min(F.struct(F.col("at").isNull(), "at", "reference", "name", "email")).alias("b_")).select("workspace_id", "mail_", "b_.name", "b_.email").withColumn("status", F.lit("Hot"))
     hot = old.unionByName(new).select("workspace_id", "name", "email", "status")
     crm = b.groupBy("workspace_id", "mail_").agg(F.min("at").alias("added_at")).withColumnRenamed("mail_", "email")
     said = F.concat(F.lit("Meeting booked! Reference: "), F.col("reference"), F.lit(". Lead: "), F.col("name"), F.lit(". Email: "), F.col("email"), F.lit(". Date: "), F.date_format("at", "yyyy-MM-dd HH:mm"))

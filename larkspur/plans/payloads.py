@@ -273,7 +273,7 @@ def leads_after_sends(spark, d):
 
 @query(f"""with {LEADS_SQL}, b as (select c_nationkey as workspace_id, 'user' || c_custkey % 997 || '@mail' || c_custkey % 50 || '.example.org' as mail, c_name as name, o_orderdate as at, o_orderkey from orders join customer on c_custkey = o_custkey where o_orderstatus = 'P'),
 old as (select l.workspace_id, l.name, lower(l.email) as email from leads l where l.email is not null and exists (select 1 from b where b.workspace_id = l.workspace_id and b.mail = lower(l.email))),
-new as (select workspace_id, min(name) as name, mail as email from b where not exists (select 1 from leads l where l.workspace_id = b.workspace_id and lower(l.email) = b.mail) group by 1, 3) select workspace_id, name, email, 'Hot' as status from old union all select workspace_id, name, email, 'Hot' from new""")
+new as (select workspace_id, arg_min(name, (b.at, cast(o_orderkey as varchar))) as name, mail as email from b where not exists (select 1 from leads l where l.workspace_id = b.workspace_id and lower(l.email) = b.mail) group by 1, 3) select workspace_id, name, email, 'Hot' as status from old union all select workspace_id, name, email, 'Hot' from new""")
 def hot_after_bookings(spark, d):
     b = t(spark, d, "orders").where("o_orderstatus = 'P'").join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     mail = F.concat(F.lit("user"), F.col("c_custkey") % 997, F.lit("@mail"), F.col("c_custkey") % 50, F.lit(".example.org"))

@@ -26,6 +26,16 @@ def test_bookings_round_trip(spark):
     assert back["R2"] == ("Bob", "bob@x.co", "2024-01-02 10:00")
 
 
+def test_bookings_of_one_address(spark):
+    """The earliest booking names the lead, of those at one time the first by reference, in whatever order they come."""
+    leads = spark.createDataFrame([], "workspace_id string, name string, email string, status string")
+    rows = [("w", "R3", "Adam", "a@x.co", T2), ("w", "R2", "Zed", "A@x.co", T1), ("w", "R4", "Bob", "a@X.co", T1), ("w", "R1", "Al", "a@x.co", None), ("v", "R5", "Nil", "a@x.co", None)]
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        b = spark.createDataFrame(order, "workspace_id string, reference string, name string, email string, at timestamp").coalesce(1)
+        hot, _, _ = outreach.apply_bookings(leads, b)
+        assert sorted((r.workspace_id, r.name, r.email) for r in hot.collect()) == [("v", "Nil", "a@x.co"), ("w", "Zed", "A@x.co")]
+
+
 def test_small_ones(spark):
     a = spark.createDataFrame([("w", T1, "s", "a"), ("w", T1, "s", "a"), ("w", T2, "t", "b"), ("v", T2, "t", "c")], "workspace_id string, created_at timestamp, stage string, detail string")
     assert [r.stage for r in outreach.replay(a, "w", 1).collect()] == ["t"] and outreach.replay(a, "w").count() == 2
