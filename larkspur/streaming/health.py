@@ -12,6 +12,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from itertools import groupby
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -108,31 +109,36 @@ class Health(StatefulProcessor):
         pass
 
 
+PATCH = "job long, item long, ts_us long, seq long, status string, batch long"
+JOB = "job long, batch long, items long, done long, status string"
+
+
 class Job(StatefulProcessor):
-    """State of a job: its items' statuses (a map). Gives (job, items, done, status) after each batch that patched one.
+    """State of a job: its items' statuses (a map), and how many items there are and are done. Gives a JOB row after each batch that patched one.
 
-    An item keeps the status of its latest patch; a job is done once all its items are done or failed.
+    An item keeps the status of its latest patch; a job is done once all its items are done or failed. Only patched items are read and written.
     """
 
     def init(self, handle) -> None:
         self.items = handle.getMapState("items", "item long", "ts_us long, seq long, status string")
+        self.counts = handle.getValueState("counts", "items long, done long")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        for r in rows:
-            old = self.items.getValue((r.item,)) if self.items.containsKey((r.item,)) else None
-            if old is None or (r.ts_us, r.seq) >= (old[0], old[1]):
-                self.items.updateValue((r.item,), (r.ts_us, r.seq, r.status))
-        said = [v[2] for v in self.items.values()]
-        done = sum(s in ("done", "failed") for s in said)
-        yield Row(job=key[0], items=len(said), done=done, status="done" if done == len(said) else "in_progress")
+        n, done = self.counts.get() if self.counts.exists() else (0, 0)
+        for batch, patches in groupby(sorted(rows, key=lambda r: r.batch), lambda r: r.batch):
+            for r in patches:
+                old = self.items.getValue((r.item,))
+                if old is None or (r.ts_us, r.seq) >= (old[0], old[1]):
+                    n += old is None
+                    done += (r.status in ("done", "failed")) - (old is not None and old[2] in ("done", "failed"))
+                    self.items.updateValue((r.item,), (r.ts_us, r.seq, r.status))
+            yield Row(job=key[0], batch=batch, items=n, done=done, status="done" if done == n else "in_progress")
+        self.counts.update((n, done))
 
     def close(self) -> None:
         pass
 
 
-JOB = "job long, items long, done long, status string"
-
-
 @contextmanager
 def rocks(spark: SparkSession) -> Iterator[None]:
     """The state store that processors need, for the streams started inside."""
@@ -173,10 +179,16 @@ def source_health(outcomes: DataFrame, known: DataFrame | None = None, delay: st
 
 
 def job_progress(patches: DataFrame, path: str | None = None) -> DataFrame:
-    """JOB rows of a stream of patches (job, item, ts_us, seq, status), with ``batch_``: one a job and batch."""
+    """(job, items, done, status, batch_) of a stream of patches (job, item, ts_us, seq, status): one row a job and batch.
+
+    Two streams, as for source_health: one writes the latest patch of each item of a batch, which partial sums find (of patches
+    alike in ts_us and seq the one with the last status in the alphabet), the other feeds those to the state.
+    """
     spark = patches.sparkSession
     top = path or f"{shared_folder(spark)}/jobs-{uuid.uuid4().hex}"
+    last = F.max(F.struct("ts_us", "seq", "status")).alias("p")
+    to_files(patches, f"{top}/sums", lambda b, n: b.groupBy("job", "item").agg(last).select("job", "item", "p.*", F.lit(n).cast("long").alias("batch")))
     with rocks(spark):
-        state = patches.groupBy("job").transformWithState(Job(), T.StructType.fromDDL(JOB), "update", "none")
-        to_files(state, top, lambda b, n: b, "update")
-    return spark.read.schema(T.StructType.fromDDL(JOB).add("batch_", T.IntegerType())).parquet(f"{top}/out")
+        state = spark.readStream.schema(PATCH).parquet(f"{top}/sums/out/batch_=*").groupBy("job").transformWithState(Job(), T.StructType.fromDDL(JOB), "update", "none")
+        to_files(state, f"{top}/state", lambda b, n: b, "update")
+    return spark.read.schema(JOB).parquet(f"{top}/state/out/batch_=*").withColumn("batch", F.col("batch").cast("int")).withColumnRenamed("batch", "batch_")

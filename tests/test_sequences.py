@@ -154,3 +154,15 @@ def test_job_progress(spark, tmp_path):
     first, second = sorted({b for b, _ in said})
     assert said[first, 1] == (2, 1, "in_progress") and said[first, 2] == (1, 1, "done")
     assert said[second, 1] == (2, 2, "done") and said[second, 2] == (2, 1, "in_progress")
+
+
+def test_job_state_gets_one_row_an_item(spark, tmp_path):
+    """Of 600 patches of two items the state's Python sees two rows; later batches leave what is newer, and batches read at once are told apart."""
+    schema = "job long, item long, ts_us long, seq long, status string"
+    spark.createDataFrame([(1, i % 2, i, i, "done" if i > 590 else "running") for i in range(600)], schema).repartition(3).write.parquet(f"{tmp_path}/in/b=0")
+    got = health.job_progress(spark.readStream.schema(schema).parquet(f"{tmp_path}/in/b=*"), str(tmp_path / "top"))
+    assert [(r.items, r.done, r.status) for r in got.collect()] == [(2, 2, "done")]
+    assert spark.read.parquet(f"{tmp_path}/top/sums/out").count() == 2
+    spark.createDataFrame([(1, 0, 5, 5, "running"), (1, 1, 700, 700, "queued"), (1, 2, 1, 1, "failed")], schema).coalesce(1).write.parquet(f"{tmp_path}/in/b=1")
+    got = health.job_progress(spark.readStream.schema(schema).parquet(f"{tmp_path}/in/b=*"), str(tmp_path / "top"))
+    assert [(r.items, r.done, r.status) for r in got.orderBy("batch_").collect()] == [(2, 2, "done"), (3, 2, "in_progress")]
