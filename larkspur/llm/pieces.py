@@ -94,6 +94,7 @@ class PrefixTable:
         self.pieces, self.types = pieces, types
         self.rank = {p: s for p, s, t in zip(pieces, scores, types) if t == 1}
         self.ids = {p: i for i, (p, t) in enumerate(zip(pieces, types)) if t == 1}
+        self.said = {p: str(i) for p, i in self.ids.items()}
         self.bytes = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(pieces, types)) if t == 6}
         self.unknown = next((i for i, t in enumerate(types) if t == 2), 0)
         # Marks that no piece has after a letter or digit: a word ends in front of them.
@@ -122,20 +123,14 @@ class PrefixTable:
 
     def prefix_encode(self, word: str) -> list[str]:
         """The tokens of a chunk without inner spaces."""
-        last: list[str] = [""] * (len(word) + 1)
-        known, filled = self.compatible.get, 0
+        last = ["", *word]  # where no longer piece fits, the character itself is the last token
+        known, found = self.compatible.get, -1
         for end, piece in self.automaton.iter(word):
-            while filled < end:  # where no longer piece fits, the character itself is the last token
-                filled += 1
-                last[filled] = last[filled] or word[filled - 1]
-            if not last[end + 1]:
+            if end != found:
                 left = last[end + 1 - len(piece)]
                 # A token that doesn't reproduce itself fails this test for any neighbour.
                 if (fits := known((left, piece))) or fits is None and self.fits(left, piece):
-                    last[end + 1] = piece
-        while filled < len(word):
-            filled += 1
-            last[filled] = last[filled] or word[filled - 1]
+                    last[end + 1], found = piece, end
         out, j = [], len(word)
         while j:
             out.append(last[j])
@@ -186,10 +181,13 @@ class PrefixTable:
     def chunk(self, chunk: str) -> tuple[int, str, str]:
         """Number of ids, the ids comma-joined, and what they decode to inside a text."""
         if (known := self.chunks.get(chunk) or self.older.get(chunk)) is None:
-            ids = [i for t in self.chunk_tokens(chunk) for i in self.token_ids(t)]
-            pieces, types = self.pieces, self.types
-            plain = "".join([pieces[i] for i in ids if types[i] == 1])
-            known = len(ids), ",".join(map(str, ids)), plain.replace(SPACE, " ") if len(plain) == len(chunk) else self.decode(ids, first=False)
+            tokens = self.chunk_tokens(chunk)
+            said = [*map(self.said.get, tokens)]
+            if None not in said:  # normal pieces only, which decode to themselves
+                known = len(said), ",".join(said), chunk.replace(SPACE, " ")
+            else:
+                ids = [i for t in tokens for i in self.token_ids(t)]
+                known = len(ids), ",".join(map(str, ids)), self.decode(ids, first=False)
         if len(chunk) <= 64:
             if len(self.chunks) > MEMO:
                 self.older, self.chunks = self.chunks, {}
@@ -220,12 +218,12 @@ def _table(shared) -> PrefixTable:
 
 
 def _digests(table: PrefixTable, text: str | None) -> tuple[int, str, str, str]:
-    parts = table.parts(text or "")
-    decoded = "".join([p[2] for p in parts])
+    counts, ids, decoded = zip(*table.parts(text)) if text else ((), (), ())
+    decoded = "".join(decoded)
     # The space in front of the text is the encoder's own; the decoder takes it off again.
     decoded = decoded[1:] if decoded.startswith(" ") else decoded
-    ids = ",".join([p[1] for p in parts])
-    return sum([p[0] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), ids
+    ids = ",".join(ids)
+    return sum(counts), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), ids
 
 
 def _with(df: DataFrame, model_path: str, row: Callable, fields: str, text: str, keep: list[str] | None) -> DataFrame:

@@ -68,3 +68,16 @@ def test_models_without_bytes_are_refused():
 
     with pytest.raises(ValueError):
         pieces.check_model(2, Rules, known, scores, [1 if t == 6 else t for t in types])
+
+
+def test_known_pieces_need_no_second_look(monkeypatch):
+    """Ids of a chunk of normal pieces are looked up in one go; others go the long way, and both give the library's ids and text."""
+    table, lib = pieces.PrefixTable(*pieces.load_pieces(MODEL)), sp.SentencePieceProcessor(model_file=MODEL)
+    slow, token_ids = [], table.token_ids
+    monkeypatch.setattr(table, "token_ids", lambda t: (slow.append(t), token_ids(t))[1])
+    for text, long_way in (("the same words, the same ids", False), ("a ☃\x01 b", True), ("", False)):
+        slow.clear()
+        ids = lib.encode(text)
+        digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        assert pieces._digests(table, text)[:3] == (len(ids), digest(",".join(map(str, ids))), digest(lib.decode(ids)))
+        assert bool(slow) == long_way
