@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from larkspur.functions.html import unescape
+from larkspur.functions.html import html_unescape, unescape  # noqa: F401 - unescape is for callers
 
 # Words that a business name is compared without, and phrases that ask to be left alone.
 NAME_NOISE = ["pvt", "ltd", "llc", "inc", "limited", "private", "company", r"official\s*website", "home"]
@@ -47,34 +47,46 @@ def slug(c: Column) -> Column:
 
 
 LINES = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+# The first end of a line with the blanks around it, or all others that follow: two matches at most in a run of white space. The class that it
+# starts with is only to leave other characters quickly.
+_WHITE = r"[ \t\xa0\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028-\u2029]"
+BREAK = rf"(?={_WHITE})(?:(?<!{_WHITE})[ \t\xa0]*+(?:{LINES})[ \t\xa0]*+|(?<={_WHITE})(?:{LINES}){_WHITE}*+)"
 
 
 def collapse_blank_lines(c: Column) -> Column:
     """Lines without white space around them (hard spaces are spaces), runs of blank ones as one, none at either end."""
-    lines = F.transform(F.split(c, LINES), lambda x: F.regexp_replace(F.replace(x, F.lit("\xa0"), F.lit(" ")), r"^\s+|\s+$", ""))
-    return F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n"), r"^\n+|\n+$", "")
+    return F.btrim(F.replace(F.regexp_replace(c, BREAK, "\n"), F.lit("\xa0"), F.lit(" ")), F.lit(" \t\n"))
 
 
 # Where a reply ends and what it quotes begins, in the order in which they are tried.
 QUOTES = [
     r"(?i)\bOn\b[^\n]*?\bwrote\s*:\s*(?:\n|$)?",
-    r"(?i)\n\s*[-_]{3,}\s*\n?\s*(Original Message|Reply Message)\s*[-_]{3,}",
+    r"(?i)\n\s*[-_]{3,}\s*\n?\s*(?:Original Message|Reply Message)\s*[-_]{3,}",
     r"\n\s*[-_]{4,}\s*\n",
-    r"(?i)\n\s*(From|To|Sent|Cc|Bcc|Subject|Date|Reply-To|Return-Path|Message-ID|MIME-Version|Content-Type|Delivered-To):\s*\S",
+    r"(?i)\n\s*(?:From|To|Sent|Cc|Bcc|Subject|Date|Reply-To|Return-Path|Message-ID|MIME-Version|Content-Type|Delivered-To):\s*\S",
     r"\n\s*>",
 ]
+# A whole text; the group of the first of QUOTES that occurs anywhere holds what is before it.
+QUOTED = r"(?s)\A(?:" + "|".join(rf"(.*?)(?:{p}).*" for p in QUOTES) + ")"
+# What a message quotes: from a blockquote on, or from the first of QUOTES unless a blockquote stands between its two words.
+HISTORY = r"(?is)(?:<blockquote|\bOn\b(?>[^\n]*?(?:<blockquote|\bwrote\s*:))(?<!<blockquote)).*"
+# Line breaks of HTML, also where a <br> that is one itself stands in a </p>; tags and all from a blockquote on, which no tag reaches over.
+BR = r"(?i)</p(?:\s|<br\s*+/?>)*+>|<br\s*+/?>"
+TAG = r"(?is)<(?:blockquote.*|(?:[^<>]++|<(?!blockquote))++>)"
+
+
+# In these functions each value is used once: where one is used twice, Spark works out all the steps before it for both. Texts go to Python with an
+# ampersand or not for that reason. A quote is cut off by regexp_replace(), as split() compiles its pattern in every row.
 
 
 def plain_message(c: Column) -> Column:
     """c without what follows a blockquote: line breaks for <br> and </p>, other tags gone, all entities decoded."""
-    text = F.element_at(F.split(c, "(?i)<blockquote", 2), 1)
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"(?i)<br\s*/?>", "\n"), r"(?i)</p\s*>", "\n"), "<[^>]+>", "")
+    return html_unescape(F.regexp_replace(F.regexp_replace(c, BR, "\n"), TAG, ""))
 
 
 def clean_message(c: Column) -> Column:
     """A message without quoted history, tags and light markup; a null one is empty."""
-    head = F.element_at(F.split(F.element_at(F.split(F.coalesce(c, F.lit("")), "(?i)<blockquote", 2), 1), QUOTES[0], 2), 1)
-    text = unescape(plain_message(head))
+    text = plain_message(F.regexp_replace(F.coalesce(c, F.lit("")), HISTORY, ""))
     # The marks that are taken off, in this order.
     text = F.regexp_replace(F.regexp_replace(text, r"\*\*(.+?)\*\*", "$1"), "`(?!#)([^`]+?)`", "$1")
     text = F.regexp_replace(text, r"(?m)^\s*#{1,6}\s*", "")
@@ -83,10 +95,8 @@ def clean_message(c: Column) -> Column:
 
 def strip_quotes(c: Column) -> Column:
     """A reply as text without what it quotes: up to a blockquote, then up to the first of QUOTES that occurs; if nothing is left, its first 2000 characters."""
-    text = unescape(plain_message(c))
-    pieces = [F.when(text.rlike(p), F.element_at(F.split(text, p, 2), 1)) for p in QUOTES]
-    body = collapse_blank_lines(F.coalesce(*pieces, text))
-    return F.when(body != "", body).otherwise(F.left(c, F.lit(2000)))
+    body = collapse_blank_lines(F.regexp_replace(plain_message(c), QUOTED, "".join(f"${i + 1}" for i in range(len(QUOTES)))))
+    return F.get(F.transform(F.array(body), lambda b: F.when(b != "", b).otherwise(F.left(c, F.lit(2000)))), F.lit(0))
 
 
 def sender(c: Column) -> Column:

@@ -30,6 +30,15 @@ def test_messages(spark):
     assert one(spark, quoted, text.strip_quotes) == ["new", "ok", "hi there & you", "a", "a", "a", "\n> all"]
 
 
+def test_messages_take_each_step_once(spark):
+    df = spark.createDataFrame([("x",)], "c string").select(text.clean_message(F.col("c")).alias("a"), text.strip_quotes(F.col("c")).alias("b"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert (plan.count("</p"), plan.count("wrote"), plan.count("split(")) == (2, 2, 0)
+    odd = ["On a <blockquote> wrote: b", "<a <blockquote> x", "a</p<br>>b", "a \xa0\r\n\t\r\n\x0b \nb\xa0c\r\rd", "<b></b>", "", None]
+    assert one(spark, odd, text.clean_message) == ["On a", "<a", "a\nb", "a\n\nb c\n\nd", "", "", ""]
+    assert one(spark, odd, text.strip_quotes) == ["On a", "<a", "a\nb", "a\n\nb c\n\nd", "<b></b>", "", None]
+
+
 def test_entities_templates_and_maps(spark):
     assert one(spark, ["a &eacute; &#8217;&#x20ac; &notit; &amp;amp; &", "plain"], text.unescape) == ["a é ’€ ¬it; &amp; &", "plain"]
     assert one(spark, ["x\r\n \xa0\n\n\n y\t\n"], text.collapse_blank_lines) == ["x\n\ny"]
